@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, secrets
+from . import bpe, langid, minhash, mixing, secrets
 from .common import table
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -22,6 +22,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_secrets, op9_langid, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_secrets, op7_minhash, op9_langid, op10_mixing)}
 ORACLE_SQL = {"op10_mixing": mixing.MIX_SQL}
