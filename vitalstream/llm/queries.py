@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, secrets
+from . import bpe, langid, minhash, mixing, neighbours, rotated, secrets
 from .common import table
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -14,10 +14,19 @@ TOKENIZERS = os.environ.get("VITALSTREAM_TOKENIZERS", "/opt/tokenizers")
 BPE_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def op1_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -34,5 +43,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_secrets, op7_minhash, op9_langid, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_rotated, op2_bpe, op3_neighbours, op4_secrets, op7_minhash, op9_langid, op10_mixing)}
 ORACLE_SQL = {"op10_mixing": mixing.MIX_SQL}
