@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, neighbours, rotated, secrets
+from . import bpe, ctw, html, langid, minhash, mixing, neighbours, rotated, secrets
 from .common import table
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -31,10 +31,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_rotated, op2_bpe, op3_neighbours, op4_secrets, op7_minhash, op9_langid, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_rotated, op2_bpe, op3_neighbours, op4_secrets, op5_ctw, op7_minhash, op8_html, op9_langid, op10_mixing)}
 ORACLE_SQL = {"op10_mixing": mixing.MIX_SQL}
