@@ -12,9 +12,11 @@ import heapq
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,10 +138,10 @@ class ForcedBoundaryBPE:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        ids = self.encode(text or "")
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by commas, and of the decoded text."""
         listed = ",".join(map(self.decimal.__getitem__, ids))
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode("utf-8")).hexdigest()
+        return hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode("utf-8")).hexdigest()
 
 
 _loaded: dict[bytes, ForcedBoundaryBPE] = {}
@@ -187,19 +189,32 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of docs: encode, then decode, in one pass over the texts.
 
-    Null and empty texts have no tokens and the digests of ''. Equal rows give equal results. Other columns are ignored.
+    with_ids adds ids, the array of token ids. Null and empty texts have no tokens and the digests of ''. Equal rows give
+    equal results. Other columns are ignored.
     """
     model = spark.sparkContext.broadcast(read_vocabulary(path))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(model.value)
         for batch in batches:
-            rows = [bpe.digest(t.as_py()) for t in batch.column(1)]
-            n, ids, decoded = zip(*rows) if rows else ((), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n, listed, decoded, every = [], [], [], []
+            for text in batch.column(1):
+                ids = bpe.encode(text.as_py() or "")
+                a, b = bpe.digests(ids)
+                n.append(len(ids))
+                listed.append(a)
+                decoded.append(b)
+                if with_ids:
+                    every.append(array("i", ids))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                offsets = pa.array(list(accumulate(n, initial=0)), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(map(bytes, every)), np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -28,13 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: each row is computed once and survives lost executors.
 
-    The folder goes when the application ends.
+    The folder goes when the application ends. Spark drops the shuffle files of finished jobs only when the driver collects
+    its garbage, so that is asked for here; else a chain of such tables would hold all its shuffles on disk.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vitalstream-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, html, langid, minhash, mixing, neighbours, rotated, secrets
+from . import bpe, ctw, html, langid, minhash, mixing, neighbours, repeats, rotated, secrets
 from .common import table
 
 #: Where the public tokenizer files are; the environment may name another folder.
@@ -35,6 +35,10 @@ def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_rotated, op2_bpe, op3_neighbours, op4_secrets, op5_ctw, op7_minhash, op8_html, op9_langid, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_rotated, op2_bpe, op3_neighbours, op4_secrets, op5_ctw, op6_repeats, op7_minhash, op8_html, op9_langid, op10_mixing)}
 ORACLE_SQL = {"op10_mixing": mixing.MIX_SQL}
