@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import report_queries
+from . import report_queries, scalar_queries
 
-MODULES = (report_queries,)
+MODULES = (report_queries, scalar_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
