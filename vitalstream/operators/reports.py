@@ -107,10 +107,10 @@ def report_summary(events: DataFrame) -> DataFrame:
 
 
 def clinical_note(events: DataFrame) -> DataFrame:
-    """(ord, line): the one-screen note. All figures come from grouped rows; the last event time stands for the time of making."""
+    """(ord, line): the one-screen note, whole also without any event. All figures come from grouped rows; the last event time stands for the time of making."""
     line = lambda df, ord_, text: df.select(F.lit(ord_).alias("ord"), text.alias("line"))
     one = events.sparkSession.createDataFrame([(1,)], "x int")
-    span = event_time_range(events).where("stream = 'all'")
+    span = events.agg(F.min("event_time").alias("min_event_time"), F.max("event_time").alias("max_event_time"))
     total = table_totals(events)
     by_source = source_totals(events)
     signals = observation_signals(events).agg(
@@ -121,7 +121,7 @@ def clinical_note(events: DataFrame) -> DataFrame:
         line(one, 1, F.lit("Summary of health events")),
         line(run_label(events), 2, F.concat(F.lit("run_id="), "run_label")),
         line(span, 3, F.concat(F.lit("generated_at="), F.coalesce(high, F.lit("1970-01-01T00:00:00Z")))),
-        line(distinct_people(events).where("stream = 'all'"), 4, F.concat(F.lit("people="), F.col("people").cast("string"))),
+        line(events.where("canonical_person_id is not null").select("canonical_person_id").distinct().agg(F.count("*").alias("people")), 4, F.concat(F.lit("people="), F.col("people").cast("string"))),
         line(span, 5, F.concat(F.lit("event_time_range="), F.coalesce(F.concat(low, F.lit(".."), high), F.lit("")))),
         total.select((F.array_position(F.array(*map(F.lit, STREAMS)), F.col("stream")) + 5).cast("int").alias("ord"), F.concat(F.lit("totals."), "stream", F.lit("="), F.col("rows").cast("string")).alias("line")),
         by_source.select((F.array_position(F.array(*map(F.lit, ("healthkit", "fhir", "cda"))), F.col("source")) + 9).cast("int").alias("ord"), F.concat(F.lit("sources."), "source", F.lit("="), F.col("rows").cast("string")).alias("line")),
