@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 #: The words of every word-based contract: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,34 +47,6 @@ def hashed_block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(id, component): for every id with a link the smallest id that links reach.
-
-    Alternating large-star and small-star rounds; each keeps at most one row per link, so a hub costs as many rows as it
-    has links. A hub's minimum is pre-aggregated before the shuffle and joined back, which adaptive skew joins can split.
-    Each round is written to the shared folder; the loop ends when a round changes nothing (at the latest after rounds,
-    which raises).
-    """
-    edges = materialize(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
-    state = None
-    for _ in range(rounds):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = materialize(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == state:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        state = (now.n, now.h)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): for every id with a link the smallest id that links reach; each round is written to the shared folder."""
+    return graph.components(links, materialize, a, b)
