@@ -56,10 +56,10 @@ def test_empty_and_wordless(documents):
 
 
 def test_documents_of_the_mix(documents):
-    frame = documents([r for r in ROWS if r[0] not in (7,)])
+    frame = documents([r for r in ROWS if r[0] not in (7,)]).selectExpr("*", "'own' AS mix_id", "0 AS mix_times", "0 AS MIX_COPY")
     times = {}
     for r in mixing.mixed_documents(frame).collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
-        assert r.block == 1
+        assert r.block == 1 and r.mix_id == "own"
     whole = {r.doc_id: r.taken // r.size for r in mixing.mix(frame, whole=True).collect() if r.taken}
     assert times == whole

@@ -63,7 +63,9 @@ def test_models_add_spans_and_spare_identifiers(documents):
 
 
 def test_redaction_and_empty_table(documents):
-    out = {r.doc_id: r for r in secrets.redact(documents([r for r in TRICKY if r[0] not in (6, 7)])).collect()}
+    frame = documents([r for r in TRICKY if r[0] not in (6, 7)]).selectExpr("*", "'own' AS spans", "1 AS secret_key", "2 AS secret_spans")
+    out = {r.doc_id: r for r in secrets.redact(frame).collect()}
+    assert out[3].spans == "own" and out[3].secret_spans == 2
     assert out[3].text == "[secret] [secret]".replace("[secret] ", "password=token:abcdef123 ", 1)
     assert "Zx9+" not in out[4].text and out[4].text.startswith("é😀 [secret]")
     assert out[1].text is None and out[2].text == ""

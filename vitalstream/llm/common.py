@@ -42,6 +42,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to clash with a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def hashed_block(key: Column, blocks: int) -> Column:
     """A block number from 0 to blocks - 1 by the hash of key; nulls go to a block too."""
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

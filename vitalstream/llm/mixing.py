@@ -13,7 +13,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, free_names, materialize
 
 
 def targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -89,15 +89,16 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as mix(whole=True) takes them: a document of one and a half epochs comes once or twice.
 
-    Documents without words are kept once if they are in a source that the mix takes whole. doc_id must identify a row;
-    rows with equal ids and sizes are taken equally often.
+    Documents without words are not in the mix. doc_id must identify a row: rows with equal ids all come as often as the one
+    of them that is taken most often.
     """
-    counts = mix(docs, whole=True, **options).select(
-        F.col("doc_id").alias("m_id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int").alias("m_times")
-    ).where("m_times > 0").groupBy("m_id").agg(F.max("m_times").alias("m_times"))
     columns = docs.columns
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["m_id"]))
-    return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_times"))).select(*[F.col(f"`{c}`") for c in columns])
+    key, times, copy = free_names(docs, "mix_id", "mix_times", "mix_copy")
+    found = mix(docs, whole=True, **options)
+    found = found.select(F.col("doc_id").alias(key), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int").alias(times))
+    counts = found.where(F.col(times) > 0).groupBy(key).agg(F.max(times).alias(times))
+    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts[key]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 #: The same rules in SQL; {weights} etc. are the production parameters.

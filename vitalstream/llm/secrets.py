@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 #: Fixed values of the contract: kind, pattern, least length, and the group whose length counts.
 KINDS = (
@@ -135,8 +135,9 @@ def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
     doc_id must identify a text: rows with equal ids get the spans of one of them only if their texts are equal.
     """
     columns = docs.columns
-    spans = scan(docs, **options).where("size(spans) > 0").select(F.col("doc_id").alias("s_id"), "spans").dropDuplicates(["s_id"])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["s_id"]), "left")
+    key, found = free_names(docs, "secret_key", "secret_spans")
+    spans = scan(docs, **options).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(found)).dropDuplicates([key])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[key]), "left")
     text = F.col("text")
 
     def cut(acc: Column, s: Column) -> Column:
@@ -145,5 +146,5 @@ def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
         return F.struct(F.concat(acc["out"], more).alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
 
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cleaned = F.aggregate("spans", zero, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(cleaned)).select(*[F.col(f"`{c}`") for c in columns])
+    cleaned = F.aggregate(F.col(found), zero, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.withColumn("text", F.when(F.col(found).isNull(), text).otherwise(cleaned)).select(*[F.col(f"`{c}`") for c in columns])
