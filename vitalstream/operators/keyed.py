@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """One row per key: the first by order. min_by with map-side combine, so a hot key never meets in one task as rows."""
@@ -77,17 +79,25 @@ def apply_deletes(rows: DataFrame, deletes: DataFrame, key: str) -> DataFrame:
     return rows.join(deletes.select(key), key, "left_anti")
 
 
-def pseudonym_labels(people: DataFrame) -> DataFrame:
-    """people (person_key, last, first) with label `Patient N`, numbered by (last, first, key).
+def numbered(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """df with its place from 1 in the order of keys, which must be a total order.
 
-    Numbers are offsets of sorted name groups plus the place inside, so the sort is over distinct last names only; the
-    rows of one last name are numbered on their own.
+    Rows are dealt out by ranges of the keys and written with their range's number; a place is the sum of the earlier
+    ranges' counts and the number inside the range. Only one count per range meets in one task.
     """
-    by_last = people.groupBy("last").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = by_last.select("last", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("last").orderBy("first", "person_key"))
-    return people.withColumn("own", own).join(offsets, "last").select("person_key", "first", "last", F.concat(F.lit("Patient "), (F.col("before") + F.col("own")).cast("string")).alias("label"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(ranges, *keys).withColumn("range_no", F.spark_partition_id()))
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("range_no").agg(F.count("*").alias("rows_in_range"))
+    before = counts.select("range_no", F.coalesce(F.sum("rows_in_range").over(earlier), F.lit(0)).alias("rows_before"))
+    inside = F.row_number().over(Window.partitionBy("range_no").orderBy(*keys))
+    return dealt.withColumn("inside", inside).join(before, "range_no").withColumn(column, F.col("rows_before") + F.col("inside")).drop("range_no", "rows_before", "inside")
+
+
+def pseudonym_labels(people: DataFrame) -> DataFrame:
+    """people (person_key, last, first) with label `Patient N`, numbered by (last, first, key)."""
+    placed = numbered(people.select("person_key", "first", "last"), "n", "last", "first", "person_key")
+    return placed.select("person_key", "first", "last", F.concat(F.lit("Patient "), F.col("n").cast("string")).alias("label"))
 
 
 def collisions(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import keyed
@@ -121,13 +120,11 @@ def pseudonym_labels(spark, sf):
 
 
 def canonical_sort(spark, sf):
-    """The six-key order, NULL as empty: the rows with their place in it, by a range sort and distributed numbering."""
+    """The six-key order, NULL as empty: the rows with their place in it."""
     ev = all_events(spark, sf).where("stream in ('observations', 'conditions')")
-    keys = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("canonical_person_id", "event_time", "source", "source_file", "code", "record_key")]
-    bucket = ev.withColumn("person", keys[0])
-    before = bucket.groupBy("person").agg(F.count("*").alias("n")).select("person", F.coalesce(F.sum("n").over(Window.orderBy("person").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = bucket.withColumn("own", F.row_number().over(Window.partitionBy("person").orderBy(*keys[1:])))
-    return placed.join(before, "person").select("record_key", (F.col("before") + F.col("own")).alias("place"))
+    names = ("canonical_person_id", "event_time", "source", "source_file", "code", "record_key")
+    keys = ev.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in names])
+    return keyed.numbered(keys, "place", *names).select("record_key", "place")
 
 
 def bundle_manifest(spark, sf):

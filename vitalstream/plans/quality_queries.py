@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import fold_name
 from ..operators import identity, keyed, privacy, quality
 from ..sources import clinical
-from ..sources.tables import new_folder, table
+from ..sources.tables import table, written
 from .keyed_queries import hits
 
 # ---- validation of lines that are broken by formula
@@ -100,20 +100,11 @@ def patient_hits(spark, sf):
     return rows.select("event_id", fold_name(F.col("n.first")).alias("first"), fold_name(F.col("n.last")).alias("last"), F.to_json("ids").alias("ids"))
 
 
-def written(spark):
-    def keep(df):
-        path = new_folder(spark, "round")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 def assign_person(spark, sf):
     rows = hits(spark, sf).select(F.col("p_partkey").alias("hit"), F.array("external_id", F.concat(F.lit("mrn"), F.expr("cast(p_partkey div 3 as string)"))).alias("ids"), F.concat_ws(" ", "first", "last").alias("name"))
     names = rows.where("hit % 17 = 0").select("name", F.concat(F.lit("known"), F.col("hit").cast("string")).alias("person"))
     links = rows.where("hit % 50 = 0 and hit < 700").select(F.col("ids")[0].alias("id"), F.concat(F.lit("linked"), F.col("hit").cast("string")).alias("person"))
-    return identity.assign_persons(rows, links, names, "run", written(spark))
+    return identity.assign_persons(rows, links, names, "run", written)
 
 
 # ---- profiles of documents
