@@ -67,6 +67,12 @@ def test_corpus(spark):
     check(repeats.remove_repeats(df).collect(), [(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_part_of_one_text(documents, monkeypatch):
+    """A long text alone in its part, then none with a string: the columns keep their types."""
+    rows = [(1, "word " * 20000, None, None), (2, "x", None, None), (3, "y" * 199, None, None)]
+    check(repeats.remove_repeats(documents(rows).repartition(1)).collect(), [r[:2] for r in rows])
+
+
 def test_empty(documents):
     frame = documents([(1, "x", None, None)])
     assert repeats.remove_repeats(frame.limit(0)).collect() == []

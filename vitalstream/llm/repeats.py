@@ -32,8 +32,9 @@ LENGTH = 200
 FIRST = 64
 REACH = LENGTH - FIRST + 1
 STEP = 16
-#: Bytes that are worked on at once; longer texts are cut into overlapping parts of as many string starts.
-PART = 1 << 18
+#: Bytes that are worked on at once (their names stay in a core's cache); longer texts are cut into overlapping parts of as
+#: many string starts.
+PART = 1 << 15
 _PLACE = np.uint64((1 << 24) - 1)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
@@ -41,7 +42,8 @@ _BYTE = np.random.default_rng(41).integers(0, 2**64, 256, dtype=np.uint64)
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The names of strings from the names of their first and their last part."""
-    x = a * _K1 + b
+    x = a * _K1
+    x += b
     x ^= x >> np.uint64(31)
     x *= _K2
     x ^= x >> np.uint64(29)
@@ -86,7 +88,7 @@ def runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     key = (first & ~_PLACE) | np.arange(len(first), dtype=np.uint64)
     at = (sliding_min(key, REACH) & _PLACE).astype(np.int64)
     start = np.arange(len(at))
-    text = np.searchsorted(ends, start, side="right")
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(at)]
     valid = start + LENGTH <= ends[text]
     new = np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1]))
     begin = np.flatnonzero(new)
@@ -131,7 +133,7 @@ def all_runs(texts: DataFrame) -> DataFrame:
             for raw, owner, shift, ends in parts([t.encode() for t in batch.column(1).to_pylist()]):
                 s, n, off, place, name = runs(np.frombuffer(raw, np.uint8), np.array(ends))
                 piece = np.searchsorted(ends, s, side="right")
-                begin = np.append(0, ends[:-1])[piece] - np.array(shift)[piece]
+                begin = np.array([0, *ends[:-1]], np.int64)[piece] - np.array(shift, np.int64)[piece]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid[np.array(owner, np.int64)[piece]]), pa.array(s - begin), pa.array(n), pa.array(off), pa.array(place.view(np.int64)), pa.array(name.view(np.int64))],
                     ["rid", "s", "n", "off", "place", "run"],
