@@ -39,7 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.shared_path = path
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more, once what was derived from it has been written."""
+    where = written.sparkSession._jvm.org.apache.hadoop.fs.Path(written.shared_path)
+    where.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 LENGTH = 200
 FIRST = 64
@@ -163,6 +163,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     every = materialize(all_runs(texts))
     shared = every.groupBy("place").agg(F.count("*").alias("c")).where("c > 1").select("place")
     live = materialize(every.join(shared, "place"))
+    release(every)  # the largest of the tables
     kinds = live.groupBy("place", "run").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s", "n", "off")).alias("one"))
     kinds = materialize(kinds)
     several = kinds.groupBy("place").agg(F.count("*").alias("kinds")).where("kinds > 1").select("place")
