@@ -28,9 +28,11 @@ from .common import hashed_block, materialize
 DEPTH = 5
 END = b"\n"  # closes a text; words hold no white space, so it is no part of one
 HALF = log(0.5)
-#: Documents of about so many characters make a block; so many blocks' questions meet in a task.
+#: Documents of about so many characters, and about so many of them at most, make a block; so many blocks' questions meet in
+#: a task.
 BLOCK_CHARS = 24 << 20
-ASKED_BLOCKS = 32
+BLOCK_ROWS = 20_000
+ASKED_BLOCKS = 64
 WORD_GROUPS = 1 << 20  # groups of words are numbered from here, above all pairs of bytes
 WORD_BUCKETS = 256
 
@@ -42,32 +44,43 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def grams(words: list[bytes]) -> np.ndarray:
-    """(context, byte) of each byte of a text's words, each closed by a blank, and END: packed, the latest byte of the
-    context highest and the byte itself lowest, so that keys sort by subtree. Before the text stand ENDs."""
-    raw = END * DEPTH + b"".join([w + b" " for w in words]) + END
-    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+def closed(words: list[bytes]) -> bytes:
+    """A text as the tree reads it: its words, each closed by a blank, and END; DEPTH ENDs stand before it."""
+    return END * DEPTH + b" ".join(words) + (b" " if words else b"") + END
+
+
+def grams(raw: bytes) -> np.ndarray:
+    """(context, byte) of each byte of closed(), packed: the latest byte of the context highest and the byte itself lowest,
+    so that keys sort by subtree."""
+    a = np.frombuffer(raw, np.uint8).astype(np.int64)
     n = len(a) - DEPTH
     key = a[DEPTH - 1 : DEPTH - 1 + n].copy()
     for back in range(2, DEPTH + 1):
-        key = (key << np.uint64(8)) | a[DEPTH - back : DEPTH - back + n]
-    return ((key << np.uint64(8)) | a[DEPTH:]).view(np.int64)
+        key <<= 8
+        key |= a[DEPTH - back : DEPTH - back + n]
+    key <<= 8
+    key |= a[DEPTH:]
+    return key
+
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the top bit clear, and -1 for the end of the text, which is no word's."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.append((h >> np.uint64(1)).view(np.int64), -1)
 
-_memo: dict[bytes, int] = {}
 
+def packed(keys: np.ndarray, words: bool) -> bytes:
+    """Keys of one group as bytes: grams without the two bytes that the group says."""
+    return keys.tobytes() if words else (keys & ((1 << (8 * (DEPTH - 1))) - 1)).astype(_REST).tobytes()
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, the top bit clear; -1, the end of a text, is no word's."""
-    if len(_memo) > 500_000:
-        _memo.clear()
-    known = _memo.get
 
-    def new(word: bytes) -> int:
-        _memo[word] = h = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
+def unpacked(blob: bytes, group: int) -> np.ndarray:
+    if group >= WORD_GROUPS - 1:
+        return np.frombuffer(blob, np.int64)
+    return np.frombuffer(blob, _REST).astype(np.int64) | (group << (8 * (DEPTH - 1)))
+
 
-    return np.fromiter((known(w) or new(w) for w in words), np.int64, len(words))
+_REST = np.uint32 if DEPTH <= 5 else np.int64
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +102,7 @@ class Gathered:
     def add(self, keys: np.ndarray) -> None:
         self.raw.append(keys)
         self.size += len(keys)
-        if self.size > 4_000_000:
+        if self.size > 8_000_000:
             self.merge()
 
     def merge(self) -> None:
@@ -244,8 +257,8 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
     spark = docs.sparkSession
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(1))
     sized = docs.select("doc_id", "text")
-    chars = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, ceil(chars / block_chars))
+    chars, rows = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, ceil(chars / block_chars), ceil(rows / BLOCK_ROWS))
     placed = sized.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held_out_fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), hashed_block(F.struct("doc_id", "text"), blocks).alias("block"))
     dealt = placed.repartition(blocks, "block")
 
@@ -255,7 +268,7 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
         for batch in batches:
             for block, held_out, text in zip(batch.column(3).to_numpy(), batch.column(1).to_pylist(), batch.column(2)):
                 words = tokens(text.as_py())
-                for is_words, keys in ((False, grams(words)), (True, np.append(word_keys(words), -1))):
+                for is_words, keys in ((False, grams(closed(words))), (True, word_keys(words))):
                     held.setdefault((int(block), is_words, held_out), Gathered()).add(keys)
         for block, is_words in sorted({k[:2] for k in held}):
             both = [held.pop((block, is_words, h), Gathered()) for h in (False, True)]
@@ -270,7 +283,7 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
             g = groups_of(every, is_words)
             cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             ends = np.append(cuts[1:], len(g))
-            blobs = [every[a:b].tobytes() for a, b in zip(cuts, ends)]
+            blobs = [packed(every[a:b], is_words) for a, b in zip(cuts, ends)]
             n = len(cuts)
             yield pa.RecordBatch.from_arrays([pa.array(g[cuts].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, block, np.int32)), pa.array(blobs, pa.binary())], GATHERED)
 
@@ -298,9 +311,9 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["grp", "block", "answer"])
         order = np.argsort(known["k"].to_numpy(), kind="stable")
         k, n = known["k"].to_numpy()[order], known["n"].to_numpy()[order]
-        blobs = [np.frombuffer(b, np.int64) for b in questions["asked"].to_pylist()]
-        every = np.unique(np.concatenate(blobs))
         group = questions["grp"][0].as_py()
+        blobs = [unpacked(b, group) for b in questions["asked"].to_pylist()]
+        every = np.unique(np.concatenate(blobs))
         if group >= WORD_GROUPS - 1:
             at = np.minimum(np.searchsorted(k, every), max(0, len(k) - 1))
             value = np.where(k[at] == every, n[at], 0).astype(np.float64) if len(k) else np.zeros(len(every))
@@ -310,6 +323,7 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
             for s in range(0, len(every), 20_000):
                 part = every[s : s + 20_000]
                 value[s : s + 20_000] = score_keys(top.value, levels, part)
+            value = value.astype(np.float32)
         answers = [value[np.searchsorted(every, b)].tobytes() for b in blobs]
         return pa.table([questions["grp"].cast(pa.int32()), questions["block"].cast(pa.int32()), pa.array(answers, pa.binary())], ["grp", "block", "answer"])
 
@@ -320,31 +334,56 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
 
     def sums(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Scores of a block's documents: the block's distinct keys, found anew, are in the order of the answers."""
-        rows = []
-        words = [tokens(t) for t in texts["text"].to_pylist()]
-        by = {g: np.frombuffer(a, np.float64) for g, a in zip(answers["grp"].to_pylist(), answers["answer"].to_pylist())}
-        value = [np.concatenate([by[g] for g in sorted(by) if (g >= WORD_GROUPS - 1) == w]) for w in (False, True)]
-        distinct_keys = []
-        for make in (grams, lambda x: np.append(word_keys(x), -1)):
-            seen = Gathered()
-            for x in words:
-                seen.add(make(x))
-            seen.merge()
-            distinct_keys.append(seen.keys)
+        by = dict(zip(answers["grp"].to_pylist(), answers["answer"].to_pylist()))
+        value = [np.concatenate([np.frombuffer(by[g], t) for g in sorted(by) if (g >= WORD_GROUPS - 1) == w] or [np.empty(0, t)]) for w, t in ((False, np.float32), (True, np.float64))]
+        raws, keys, n = [], [], []
+        for text in texts["text"]:
+            words = tokens(text.as_py())
+            raws.append(closed(words))
+            keys.append(word_keys(words))
+            n.append(len(keys[-1]))
+        distinct_words, where = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_inverse=True)
+        begins = np.cumsum([0, *n[:-1]])
         smooth = np.log10((value[1] + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
-        for x in words:
-            g, w = np.sort(grams(x)), np.append(word_keys(x), -1)
-            at = np.searchsorted(distinct_keys[1], w)
-            total = float(value[0][np.searchsorted(distinct_keys[0], g)].sum())
-            rows.append((len(w), int((value[1][at] > 0).sum()), float(smooth[at].sum()), total, -total / log(2, 10) / len(g)))
-        n, known, base, own, bits = zip(*rows) if rows else ((), (), (), (), ())
-        return pa.table([texts["doc_id"].cast(pa.int64()), texts["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+        known = np.add.reduceat((value[1] > 0).astype(np.int64)[where], begins) if n else []
+        base = np.add.reduceat(smooth[where], begins) if n else []
+        own = document_sums(raws, value[0].astype(np.float64))
+        bits = [-x / log(2, 10) / (len(r) - DEPTH) for x, r in zip(own, raws)]
+        columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(bits, pa.float64())]
+        return pa.table([texts["doc_id"].cast(pa.int64()), texts["held_out"], *columns], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     scored = placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(sums, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
+def document_sums(raws: list[bytes], value: np.ndarray) -> np.ndarray:
+    """Of each text the sum over its grams of value, which belongs to the sorted distinct grams of all of them.
+
+    A gram leaves the bits of a text number free, so one sort brings equal grams together without losing whose they are.
+    """
+    spare = 63 - 8 * (DEPTH + 1)
+    out = np.zeros(len(raws))
+    sizes = [len(r) - DEPTH for r in raws]
+    every = np.empty(sum(sizes), np.int64)
+    if len(raws) >> spare:
+        raise ValueError(f"more than {1 << spare} texts in a block")
+    at = 0
+    for i, (raw, size) in enumerate(zip(raws, sizes)):
+        every[at : at + size] = (grams(raw) << spare) | i
+        at += size
+    every.sort()
+    seen, last = -1, None
+    for a in range(0, len(every), 1 << 20):
+        part = every[a : a + (1 << 20)]
+        key = part >> spare
+        new = np.append(key[0] != last, key[1:] != key[:-1])
+        rank = np.cumsum(new) + seen
+        out += np.bincount(part & ((1 << spare) - 1), value[rank], len(raws))
+        seen, last = int(rank[-1]), key[-1]
+    return out
+
+
 GATHERED = ["grp", "k", "n", "block", "asked"]
 
 
