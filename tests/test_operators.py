@@ -100,6 +100,30 @@ def test_identity_over_components(spark, tmp_path):
     assert got[5][1] == got[6][1] == "new" and got[5][0] != got[6][0]  # a name that occurs twice in a run matches nobody
 
 
+def test_identity_rounds_equal_the_fold(spark, tmp_path):
+    """Hits that all hang together: the rounds give what one fold over all of them gives, and no task folds them."""
+    import random
+    import uuid
+
+    def keep(df):
+        path = f"{tmp_path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rng = random.Random(6)
+    rows = [(i, [f"a{rng.randrange(60)}", f"b{rng.randrange(90)}"], f"n{rng.randrange(150)}") for i in range(300)] + [(300, [], "alone"), (301, ["a1", "a1"], "twice")]
+    links, names = {f"a{i}": f"p{i % 3}" for i in range(0, 60, 9)}, {f"n{i}": f"q{i}" for i in range(0, 150, 4)}
+    count = {}
+    for _, _, n in rows:
+        count[n] = count.get(n, 0) + 1
+    frame = pd.DataFrame([(h, ids, [links.get(i, "") for i in ids], names.get(n) if count[n] == 1 else None) for h, ids, n in rows], columns=["hit", "ids", "linked", "name_person"])
+    want = {r.hit: (r.person_key, r.state) for r in identity.fold(frame, "run").itertuples()}
+    assert {s for _, s in want.values()} == {"new", "verified", "unverified", "conflict"}
+    out = identity.assign_persons(spark.createDataFrame(rows, "hit long, ids array<string>, name string"), spark.createDataFrame(list(links.items()), "id string, person string"), spark.createDataFrame(list(names.items()), "name string, person string"), "run", keep)
+    assert {r.hit: (r.person_key, r.state) for r in out.collect()} == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_append_keeps_first_and_is_idempotent(spark):
     schema = "k string, n int, v string"
     new = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 3, None)], schema)

@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-
-ASSIGNED = "hit long, person_key string, state string"
-
 
 def fold(rows: pd.DataFrame, run: str) -> pd.DataFrame:
     """Persons of one component's hits (hit, ids, linked, name_person), in hit order.
@@ -38,21 +34,46 @@ def fold(rows: pd.DataFrame, run: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["hit", "person_key", "state"])
 
 
+def settled(ids: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(hit, id) of the hits that claim their ids, of ids (hit, id) of the hits without a linked id.
+
+    A hit claims its ids unless an earlier one has claimed any of them. In a round the hits that are the earliest open ones
+    of all their ids claim, which settles them and all that share an id with them. A round's tables are written; there are
+    as many rounds as the longest run of hits of which each waits for the one before.
+    """
+    claims, left = None, keep(ids.distinct())
+    while not left.isEmpty():
+        first = left.groupBy("id").agg(F.min("hit").alias("first"))
+        own = left.join(first, "id").groupBy("hit").agg(F.max(F.col("first") < F.col("hit")).alias("waits")).where("not waits").select("hit")
+        new = keep(left.join(own, "hit", "left_semi").select("hit", "id"))
+        claims = new if claims is None else claims.unionByName(new)
+        gone = left.join(new.select("id"), "id", "left_semi").select("hit").distinct()
+        left = keep(left.join(gone, "hit", "left_anti").select("hit", "id"))
+    return left if claims is None else claims
+
+
 def assign_persons(hits: DataFrame, links: DataFrame, names: DataFrame, run: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(hit, person_key, state) for hits (hit long, ids array<string>, name string).
+    """(hit, person_key, state) for hits (hit long, ids array<string>, name string), as fold() states it.
 
-    links (id, person) and names (name, person) are what is known before the run. Hits that share ids directly or over
-    others are a component; hits of different components cannot affect each other, so each is folded on its own. A fold is
-    sequential: its task holds the hits of one component, which are one person's in clean data.
+    links (id, person) and names (name, person) are what is known before the run. Which hits claim their ids is found in
+    rounds over all hits (settled()); every other hit then meets the persons of its ids by a join, so no task holds the
+    hits of a component.
     """
-    ids = hits.select("hit", F.explode("ids").alias("id"))
-    first = ids.groupBy("id").agg(F.min("hit").alias("first"))
-    edges = ids.join(first, "id").where("hit <> first").select(F.col("first").alias("a"), F.col("hit").alias("b"))
-    groups = components(edges, keep)
-    known = ids.join(links, "id", "left").groupBy("hit").agg(F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("person", F.lit(""))))).alias("known"))
+    ids = keep(hits.select("hit", F.explode("ids").alias("id")).distinct())
+    linked = ids.join(links.where("person <> ''"), "id").select("hit", "person")
+    claims = settled(ids.join(linked.select("hit").distinct(), "hit", "left_anti"), keep)
     unique = hits.groupBy("name").agg(F.count("*").alias("n"), F.min("hit").alias("hit")).where("n = 1")
-    single = names.groupBy("name").agg(F.count_distinct("person").alias("p"), F.min("person").alias("name_person")).where("p = 1")
+    single = names.groupBy("name").agg(F.count_distinct("person").alias("p"), F.min("person").alias("name_person")).where("p = 1 and name_person <> ''")
     named = unique.join(single, "name").select("hit", "name_person")
-    rows = hits.join(known, "hit", "left").join(named, "hit", "left").join(groups, hits["hit"] == groups["id"], "left")
-    rows = rows.select("hit", "ids", F.transform("ids", lambda i: F.coalesce(F.try_element_at(F.col("known"), i), F.lit(""))).alias("linked"), "name_person", F.coalesce("component", hits["hit"]).alias("component"))
-    return rows.groupBy("component").applyInPandas(lambda pdf: fold(pdf, run), ASSIGNED)
+    new = F.substring(F.sha2(F.concat(F.lit(f"{run}:"), F.col("hit").cast("string")).cast("binary"), 256), 1, 32)
+    own = hits.select("hit").join(named, "hit", "left").select("hit", F.coalesce("name_person", new).alias("own"), F.when(F.col("name_person").isNull(), "new").otherwise("unverified").alias("own_state"))
+    claimed = claims.join(own, "hit").select("id", F.col("hit").alias("by"), F.col("own").alias("person"))
+    met = ids.join(claimed, "id").where("by < hit").select("hit", "person").unionByName(linked)
+    found = met.groupBy("hit").agg(F.min("person").alias("least"), F.max("person").alias("most"))
+    rows = own.join(found, "hit", "left")
+    several = F.col("least") < F.col("most")
+    return rows.select(
+        "hit",
+        F.when(F.col("least").isNull(), F.col("own")).when(~several, F.col("least")).alias("person_key"),
+        F.when(F.col("least").isNull(), F.col("own_state")).when(several, "conflict").otherwise("verified").alias("state"),
+    )

@@ -25,8 +25,12 @@ def scan_healthkit_records(spark, sf):
         "CASE WHEN event_id % 2 = 0 THEN concat(' startDate=\"', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' -0500\"') ELSE '' END, ' endDate=\"', date_format(ts, 'yyyyMMddHHmmss'), '\"/>')"
     )
     path = new_folder(spark, "exports")
-    person = table(spark, sf, "events").groupBy("user_id").agg(F.concat_ws("\n", F.lit("<HealthData>"), F.collect_list(F.expr(record)), F.lit("</HealthData>")).alias("value"))
-    person.write.partitionBy("user_id").text(path)  # an export file for each person
+    ev = table(spark, sf, "events")
+    users = ev.select("user_id").distinct()
+    ends = [users.select("user_id", F.lit(n).alias("n"), F.lit(tag).alias("value")) for n, tag in ((0, "<HealthData>"), (2, "</HealthData>"))]
+    lines = ev.select("user_id", F.lit(1).alias("n"), F.expr(record).alias("value")).unionByName(ends[0]).unionByName(ends[1])
+    # An export file for each person, its lines written one by one.
+    lines.repartition("user_id").sortWithinPartitions("user_id", "n").select("user_id", "value").write.partitionBy("user_id").text(path)
     return files.healthkit_records(spark, path).drop("record_key")
 
 
