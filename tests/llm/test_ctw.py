@@ -84,6 +84,36 @@ def test_matches_the_definition(documents):
         assert r.bits_per_byte == pytest.approx(-r.score / log10(2) / (len(string_of(text)) - ctw.DEPTH))
 
 
+def test_many_equal_rows(spark):
+    """Rows of one id and text beyond what a block can number: each is scored and counts in training."""
+    many = spark.range(40_000).selectExpr("cast(null as bigint) AS doc_id", "cast(null as string) AS text")
+    some = spark.range(25_000).selectExpr("cast(7 as bigint) AS doc_id", "'the cat' AS text")
+    other = spark.createDataFrame([(i, f"the hat {i}") for i in range(20)], "doc_id long, text string")
+    got = Counter(map(tuple, ctw.score(many.unionByName(some).unionByName(other)).collect()))
+    held = [i for i in range(20) if crc32(str(i).encode()) % 10 == 0]
+    assert sum(got.values()) == 65_020 and sorted(got.values())[-2:] == [25_000, 40_000] and len(got) == 22
+    assert {r[4] for r in got} == {40_000 + (0 if crc32(b"7") % 10 == 0 else 75_000) + 4 * (20 - len(held))}
+
+
+@pytest.mark.parametrize("chars", [200, 5000])
+def test_counted_rows_score_like_rows(documents, monkeypatch, chars):
+    rows = [(i % 7, TEXTS[i % 7], "en", None) for i in range(90)] + [(None, TEXTS[0], "en", None)] * 5
+    plain = ctw.score(documents(rows), block_chars=1 << 30).collect()
+    monkeypatch.setattr(ctw, "EXPANDED", 4)
+    counted = ctw.score(documents(rows), block_chars=chars).collect()
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+    assert sorted(map(key, plain)) == sorted(map(key, counted))
+    for a, b in zip(sorted(plain, key=key), sorted(counted, key=key)):
+        assert a.score == pytest.approx(b.score, rel=1e-6) and a.base_score == pytest.approx(b.base_score, rel=1e-9)
+
+
+def test_sums_of_more_texts_than_a_gram_leaves_bits_for():
+    raws = [ctw.closed([w]) for w in (b"a", b"bc", b"cat")] * 11_000
+    known = np.unique(np.concatenate([ctw.grams(r) for r in raws[:3]]))
+    value = np.arange(1.0, len(known) + 1)
+    assert np.allclose(ctw.document_sums(raws, value), np.tile(ctw.document_sums(raws[:3], value), 11_000))
+
+
 def test_beats_word_frequencies_on_held_out_texts(spark):
     rows = [r for r in ctw.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -32,6 +32,9 @@ HALF = log(0.5)
 #: a task.
 BLOCK_CHARS = 24 << 20
 BLOCK_ROWS = 20_000
+#: Equal rows that come to more than this part of a block, by number or characters, are scored as one row with a count.
+REPEATED = 16
+EXPANDED = 10_000
 ASKED_BLOCKS = 64
 WORD_GROUPS = 1 << 20  # groups of words are numbered from here, above all pairs of bytes
 WORD_BUCKETS = 256
@@ -96,20 +99,25 @@ class Gathered:
 
     def __init__(self) -> None:
         self.raw: list[np.ndarray] = []
+        self.repeated: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
         self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
-        self.raw.append(keys)
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
+        if times > 1:
+            k, c = np.unique(keys, return_counts=True)
+            self.repeated.append((k, c * times))
+        else:
+            self.raw.append(keys)
         self.size += len(keys)
         if self.size > 8_000_000:
             self.merge()
 
     def merge(self) -> None:
-        if self.raw:
-            k, c = np.unique(np.concatenate(self.raw), return_counts=True)
-            self.keys, self.counts = merged([self.keys, k], [self.counts, c])
-            self.raw, self.size = [], 0
+        if self.raw or self.repeated:
+            more = [np.unique(np.concatenate(self.raw), return_counts=True)] if self.raw else []
+            self.keys, self.counts = merged(*map(list, zip((self.keys, self.counts), *more, *self.repeated)))
+            self.raw, self.repeated, self.size = [], [], 0
 
 
 def groups_of(keys: np.ndarray, words: bool) -> np.ndarray:
@@ -246,6 +254,23 @@ class Top:
 # ---- the operator
 
 
+def weighed(docs: DataFrame, rows_limit: float, chars_limit: float) -> tuple[DataFrame, bool]:
+    """(doc_id, text, times) of docs (doc_id, text), and whether any row stands for several.
+
+    Equal rows are one row with their number where that is over rows_limit or their characters are over chars_limit, so that
+    no block holds many of them; others stay rows of their own. Candidates are told by hash, and counted by id and text.
+    """
+    key = F.xxhash64("doc_id", "text")
+    counts = docs.groupBy(key.alias("h")).agg(F.count("*").alias("c"), F.max(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    often = materialize(counts.where((F.col("c") > 1) & ((F.col("c") > rows_limit) | (F.col("c") * F.col("chars") > chars_limit))).select("h"))
+    if often.isEmpty():
+        return docs.withColumn("times", F.lit(1).cast("long")), False
+    hashed = docs.withColumn("h", key)
+    once = hashed.join(often, "h", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("times"))
+    several = materialize(hashed.join(often, "h", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("times")))
+    return once.unionByName(several), True
+
+
 def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per input row.
 
@@ -259,17 +284,18 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
     sized = docs.select("doc_id", "text")
     chars, rows = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, ceil(chars / block_chars), ceil(rows / BLOCK_ROWS))
-    placed = sized.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held_out_fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), hashed_block(F.struct("doc_id", "text"), blocks).alias("block"))
+    weighted, repeated = weighed(sized, BLOCK_ROWS / REPEATED, block_chars / REPEATED)
+    placed = weighted.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held_out_fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), hashed_block(F.struct("doc_id", "text"), blocks).alias("block"), "times")
     dealt = placed.repartition(blocks, "block")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block: its distinct keys by group (asked), and the training counts by key (kind 1)."""
         held: dict[tuple[int, bool, bool], Gathered] = {}
         for batch in batches:
-            for block, held_out, text in zip(batch.column(3).to_numpy(), batch.column(1).to_pylist(), batch.column(2)):
+            for block, held_out, text, times in zip(batch.column(3).to_numpy(), batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist()):
                 words = tokens(text.as_py())
                 for is_words, keys in ((False, grams(closed(words))), (True, word_keys(words))):
-                    held.setdefault((int(block), is_words, held_out), Gathered()).add(keys)
+                    held.setdefault((int(block), is_words, held_out), Gathered()).add(keys, times)
         for block, is_words in sorted({k[:2] for k in held}):
             both = [held.pop((block, is_words, h), Gathered()) for h in (False, True)]
             for g in both:
@@ -350,10 +376,14 @@ def score(docs: DataFrame, folds: int = 10, held_out_fold: int = 0, block_chars:
         own = document_sums(raws, value[0].astype(np.float64))
         bits = [-x / log(2, 10) / (len(r) - DEPTH) for x, r in zip(own, raws)]
         columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(bits, pa.float64())]
-        return pa.table([texts["doc_id"].cast(pa.int64()), texts["held_out"], *columns], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+        return pa.table([texts["doc_id"].cast(pa.int64()), texts["held_out"], texts["times"].cast(pa.int64()), *columns], ["doc_id", "held_out", "times", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
+    schema = "doc_id long, held_out boolean, times long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     scored = placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(sums, schema)
+    if repeated:
+        # As many rows again as there were, in two steps so that no task lists all rows of one text.
+        scored = scored.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / EXPANDED)))).repartition(F.col("run"), F.col("doc_id"), F.col("score"))
+        scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(EXPANDED).cast("long"), F.col("times") - F.col("run") * EXPANDED))))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
@@ -366,8 +396,11 @@ def document_sums(raws: list[bytes], value: np.ndarray) -> np.ndarray:
     out = np.zeros(len(raws))
     sizes = [len(r) - DEPTH for r in raws]
     every = np.empty(sum(sizes), np.int64)
-    if len(raws) >> spare:
-        raise ValueError(f"more than {1 << spare} texts in a block")
+    if len(raws) > 1 << spare:
+        runs = [raws[a : a + (1 << spare)] for a in range(0, len(raws), 1 << spare)]
+        own = [np.unique(np.concatenate([grams(r) for r in run])) for run in runs]
+        known = np.unique(np.concatenate(own))
+        return np.concatenate([document_sums(run, value[np.searchsorted(known, k)]) for run, k in zip(runs, own)])
     at = 0
     for i, (raw, size) in enumerate(zip(raws, sizes)):
         every[at : at + size] = (grams(raw) << spare) | i
