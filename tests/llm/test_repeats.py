@@ -54,6 +54,15 @@ def test_matches_brute_force(documents):
     check(repeats.remove_repeats(documents([(i, t, "en", None) for i, t in rows])).collect(), rows)
 
 
+def test_spans_of_equal_rows_are_listed_once(documents):
+    text = texts()[0]
+    one = repeats.spans_by_text(repeats.keyed(documents([(1, text, None, None), (2, text, None, None)]))).collect()
+    rows = [(1, text, None, None)] * 200 + [(None, text, None, None)] * 200
+    many = repeats.spans_by_text(repeats.keyed(documents(rows))).collect()
+    assert len(one) == len(many) == 2 and max(len(r.spans) for r in many) <= max(len(r.spans) for r in one)
+    check(repeats.remove_repeats(documents(rows)).collect(), [r[:2] for r in rows])
+
+
 def test_long_texts_are_cut_into_parts(documents, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 256)
     raw = [t.encode() for t in texts() if t]

@@ -227,6 +227,12 @@ def covered(spans: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, min(z, size)) for a, z in out]
 
 
+def spans_by_text(texts: DataFrame) -> DataFrame:
+    """(rid, spans): the distinct runs of repeated_spans() of each rid. Equal rows share a rid and find the same runs, so a
+    list is bounded by its text however many rows have it."""
+    return repeated_spans(texts).groupBy("rid").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed), one row per input row; removed lists the byte runs cut.
 
@@ -234,7 +240,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anywhere else, in the same or another text; equal rows repeat each other. Texts under LENGTH bytes stay whole.
     """
     texts = keyed(docs)
-    spans = repeated_spans(texts).groupBy("rid").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    spans = spans_by_text(texts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
