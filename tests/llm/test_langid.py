@@ -29,3 +29,11 @@ def test_whole_text_counts(documents):
     rows = [(i, "der die und nicht eine " * 30, "de", "a") for i in range(40)] + [(100 + i, "the and with of this " * 30, "en", "a") for i in range(40)]
     long = (999, "der die und nicht eine " * 30 + "the and with of this " * 300, None, "a")
     assert {r.doc_id: r.lang_pred for r in langid.identify(documents([*rows, long])).collect()}[999] == "en"
+
+
+def test_sample_is_bounded_by_label(documents):
+    """Rows without an id, repeated ids and repeated rows take slots like others: one row of a slot."""
+    rows = [(None, f"der die und nicht {i}", "de", "a") for i in range(600)] + [(7, f"the and with {i}", "en", "a") for i in range(600)] + [(8, "the same text", "en", "a")] * 600
+    sample = langid.training_windows(documents(rows), 16)
+    assert {lang: sum(x == lang for x, _ in sample) for lang in ("de", "en")} == {"de": 16, "en": 16}
+    assert len(set(sample)) == 32

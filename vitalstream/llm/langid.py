@@ -31,18 +31,18 @@ def fold(doc_id: str, folds: int) -> Column:
 def training_windows(docs: DataFrame, sample_per_label: int = 256, windows_per_doc: int = 4) -> list[tuple[str, bytes]]:
     """(label, window) pairs, at most sample_per_label * windows_per_doc of each label, spread over each whole text.
 
-    Of every label and each of sample_per_label hash slots, the document of least hash is taken: a partial aggregate, so a
-    label with most of the rows costs nothing extra.
+    Of every label and each of sample_per_label hash slots, one row of least hash of (id, text) is taken: a partial
+    aggregate, so a label with most of the rows costs nothing extra, and rows without an id or with a repeated one take
+    slots by their texts. Of equal rows one is taken.
     """
-    label, key = F.col("lang"), F.xxhash64(F.col("doc_id"))
-    slots = docs.where("lang is not null and text is not null and length(text) > 0").select(
-        label.alias("l"), F.pmod(key, F.lit(sample_per_label)).alias("slot"), key.alias("h")
-    ).groupBy("l", "slot").agg(F.min("h").alias("h")).select("l", "h")
-    chosen = docs.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", F.encode("text", "utf-8").alias("raw"), key.alias("h"))
-    chosen = chosen.join(slots, (chosen["lang"] == slots["l"]) & (chosen["h"] == slots["h"])).drop(slots["h"])
+    h = F.xxhash64("doc_id", "text")
+    usable = docs.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", F.encode("text", "utf-8").alias("raw"), h.alias("h"))
+    slots = usable.groupBy(F.col("lang").alias("l"), F.pmod("h", F.lit(sample_per_label)).alias("slot")).agg(F.min("h").alias("least"))
+    chosen = usable.join(slots, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("least")))
     step = F.greatest(F.lit(0), F.octet_length("raw") - WINDOW) / F.lit(max(1, windows_per_doc - 1))
     windows = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring(F.col("raw"), (F.floor(i * step) + 1).cast("int"), F.lit(WINDOW))))
-    rows = chosen.select("lang", "doc_id", F.posexplode(windows).alias("n", "w")).orderBy("lang", "doc_id", "n", "w").collect()
+    one = chosen.groupBy("lang", "slot").agg(F.min(F.struct("h", "doc_id", windows.alias("windows"))).alias("one"))
+    rows = one.select("lang", "one.doc_id", "one.h", F.posexplode("one.windows").alias("n", "w")).orderBy("lang", "doc_id", "h", "n").collect()
     return [(r.lang, bytes(r.w)) for r in rows]
 
 
