@@ -18,15 +18,13 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no text, no letter or no clear language. Rows without an id stay."""
-    found = langid.identify(docs)
-    rejected = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select(F.col("doc_id").alias("r_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["r_id"], "left_anti")
+    """Drop documents that have no text, no letter or no clear language, each row by its own text."""
+    return langid.clear_rows(docs, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return minhash.deduplicated(docs)
+    """Keep one row of each group of near copies, repeated rows and rows without an id included."""
+    return minhash.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

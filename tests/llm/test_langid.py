@@ -37,3 +37,13 @@ def test_sample_is_bounded_by_label(documents):
     sample = langid.training_windows(documents(rows), 16)
     assert {lang: sum(x == lang for x, _ in sample) for lang in ("de", "en")} == {"de": 16, "en": 16}
     assert len(set(sample)) == 32
+
+
+def test_rows_are_judged_by_their_own_text(documents):
+    rows = [(i, "der die und nicht eine " * 8, "de", "a") for i in range(30)] + [(100 + i, "the and with of this " * 8, "en", None) for i in range(30)]
+    odd = [(None, None, "de", "a"), (None, "12 345", "de", "a"), (5, "678", None, "a"), (None, "the and with of this " * 8, None, None)]
+    frame = documents(rows + odd).selectExpr("*", "1 AS score", "'own' AS lang_pred")
+    out = langid.clear_rows(frame, 0.3)
+    assert out.columns == frame.columns
+    want = [r for r in frame.collect() if r.text and "the" in r.text or r.text and "der" in r.text]
+    assert sorted(map(str, out.collect())) == sorted(map(str, want)) and len(want) == 61

@@ -75,6 +75,15 @@ def test_repeated_and_null_ids(documents):
     assert minhash.near_duplicates(documents(rows).limit(0)).collect() == []
 
 
+def test_one_row_of_each_group(documents):
+    """Repeated rows and rows without an id are copies too; two texts under one id are two documents."""
+    rows = [(3, "a b c d e f", "en", "a")] * 3 + [(None, "a b c d e f", None, None)] * 2 + [(2, "A b c d e f", None, None)]
+    rows += [(None, "only without an id here now", None, None)] * 4 + [(3, "another text under the same id", None, None)] + [(9, None, None, None)] * 2
+    out = minhash.one_of_each(documents(rows).selectExpr("*", "1 AS row_no"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(2, "A b c d e f"), (None, "only without an id here now"), (3, "another text under the same id"), (9, None), (9, None)], key=str)
+    assert minhash.one_of_each(documents(rows).limit(0)).collect() == []
+
+
 def test_signatures_estimate_similarity():
     a, b = minhash.shingle_hashes(" ".join(map(str, range(1000)))), minhash.shingle_hashes(" ".join(map(str, range(200, 1200))))
     circle = minhash.Circulant(512)

@@ -71,3 +71,13 @@ def test_redaction_and_empty_table(documents):
     assert out[1].text is None and out[2].text == ""
     assert out[4].block == 1 and out[4].size == "x"
     assert secrets.report(documents(TRICKY).limit(0)).collect() == []
+
+
+def test_redaction_of_shared_and_missing_ids(documents):
+    """Each row is cut by its own spans, whatever rows share its id."""
+    clean = "plain words and nothing in them that is hidden away from anybody"
+    texts = ["password=abcdef123 end", "see token: zz99zz99 now", clean, None]
+    rows = [(i, t, "en", "a") for i in (None, 4) for t in texts] + [(4, texts[0], "en", "a")]
+    out = sorted(((r.doc_id, r.text) for r in secrets.redact(documents(rows)).collect()), key=str)
+    want = ["[secret] end", "see [secret] now", clean, None]
+    assert out == sorted([(i, t) for i in (None, 4) for t in want] + [(4, want[0])], key=str)

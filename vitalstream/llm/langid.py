@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from .common import free_names
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -147,11 +150,12 @@ def has_letter(text: str) -> bool:
     return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
 
 
-def predict(docs: DataFrame, model: ByteCNN | None, batch_bytes: int = 4 << 20) -> DataFrame:
-    """docs' doc_id with lang_pred and score: the label of the greatest mean probability over all windows of the whole text.
+def predict(docs: DataFrame, model: ByteCNN | None, names: tuple[str, str] = ("lang_pred", "score"), batch_bytes: int = 4 << 20) -> DataFrame:
+    """docs with two more columns (names): the label of the greatest mean probability over all windows of the whole text,
+    and that probability.
 
     Windows count by their bytes. `und` and score 0 where the text is null or has no letter, or nothing was learned. Rows
-    keep their number; other columns are ignored.
+    keep their number and columns.
     """
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -170,7 +174,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, batch_bytes: int = 4 << 20)
         for batch in batches:
             out: list[tuple[str, float]] = [("und", 0.0)] * len(batch)
             held, where, size = [], [], 0
-            for i, value in enumerate(batch.column(1)):
+            for i, value in enumerate(batch.column(batch.schema.get_field_index("text"))):
                 text = value.as_py()
                 if net is not None and text is not None and has_letter(text):
                     held.append(text.encode())
@@ -183,13 +187,21 @@ def predict(docs: DataFrame, model: ByteCNN | None, batch_bytes: int = 4 << 20)
             if held:
                 for j, found in zip(where, score(net, held)):
                     out[j] = found
-            columns = [batch.column(0), pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
+            columns = [*batch.columns, pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(docs: DataFrame, folds: int = 3, held_out_fold: int = 1, sample_per_label: int = 256) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the labelled rows outside held_out_fold, applied to all rows."""
     trained = train(docs.where(fold("doc_id", folds) != held_out_fold), sample_per_label)
-    return predict(docs, trained).select("doc_id", (fold("doc_id", folds) == held_out_fold).alias("held_out"), "lang_pred", "score")
+    found = predict(docs.select(F.col("doc_id").cast("long"), "text"), trained)
+    return found.select("doc_id", (fold("doc_id", folds) == held_out_fold).alias("held_out"), "lang_pred", "score")
+
+
+def clear_rows(docs: DataFrame, least_score: float, folds: int = 3, held_out_fold: int = 1, sample_per_label: int = 256) -> DataFrame:
+    """The rows of docs whose text has a language (as identify() finds it) at least_score or more, each judged by its own text."""
+    names = free_names(docs, "lang_pred", "score")
+    found = predict(docs, train(docs.where(fold("doc_id", folds) != held_out_fold), sample_per_label), tuple(names))
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, free_names, materialize
 from .runs import dealt_pairs, key_runs, pairs_of_chunks
 
 SHINGLE_WORDS = 5
@@ -225,3 +225,18 @@ def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs that near_duplicates keeps: one id of each group, all rows without an id."""
     dropped = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("d_id")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["d_id"], "left_anti")
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of docs of each group of near copies: the one of the smallest doc_id, any of those without one if none has.
+
+    Rows are told apart by a number of their own, so repeated rows and rows without an id are copies like others. Rows
+    with empty sets (null, empty or blank texts) stay, each of them.
+    """
+    columns = docs.columns
+    (no,) = free_names(docs, "row_no")
+    numbered = materialize(docs.withColumn(no, F.monotonically_increasing_id()))
+    groups = near_duplicates(numbered.select(F.col(f"`{no}`").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(f"`{no}`").alias("row"), "doc_id")
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("kept_row"))
+    return numbered.join(first, numbered[no] == first["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])

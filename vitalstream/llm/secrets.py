@@ -89,8 +89,8 @@ def markov_model(samples: DataFrame, smoothing: float = 4.0) -> DataFrame:
     return grid.select("pair", (logs[1] - logs[0]).alias("ratio"))
 
 
-def scan(docs: DataFrame, sample_rows: int = 20000, threshold: float = 0.5) -> DataFrame:
-    """docs' doc_id with base and spans: arrays of struct(start, no, end, kind, value) sorted by start, then kind.
+def scan(docs: DataFrame, sample_rows: int = 20000, threshold: float = 0.5, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """docs' doc_id, and the columns keep of docs, with base and spans: arrays of struct(start, no, end, kind, value) sorted by start, then kind.
 
     base holds the fixed patterns' matches; spans adds (kind `markov`) each candidate that overlaps none of them and
     whose mean log-likelihood ratio per character is above threshold. The models are fitted on at most sample_rows strings
@@ -98,10 +98,11 @@ def scan(docs: DataFrame, sample_rows: int = 20000, threshold: float = 0.5) -> D
     number, repeated rows included; an empty table gives none. Without samples of both labels there are no markov spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", *[base_spans(text, k).alias(k) for k, *_ in KINDS], F.when(text.rlike(CANDIDATE), pieces(text, CANDIDATE, 0, 20, "markov", len(KINDS))).otherwise(F.array().cast(NO_SPANS)).alias("runs"))
+    found = docs.select("doc_id", *keep, *[base_spans(text, k).alias(k) for k, *_ in KINDS], F.when(text.rlike(CANDIDATE), pieces(text, CANDIDATE, 0, 20, "markov", len(KINDS))).otherwise(F.array().cast(NO_SPANS)).alias("runs"))
+    kept = found.columns[: 1 + len(keep)]
     base = F.array_sort(F.concat("assign", "access", "hex"))
     clear = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    found = materialize(found.withColumn("base", base).withColumn("free", clear).select("doc_id", F.expr("uuid()").alias("row_key"), "base", "free"))
+    found = materialize(found.withColumn("base", base).withColumn("free", clear).select(*kept, F.expr("uuid()").alias("row_key"), "base", "free"))
     some = found.where("size(base) > 0 or size(free) > 0")
     positive = some.select(F.explode(F.transform("base", lambda b: b["value"])).alias("value")).where("length(value) >= 16 and value rlike '^[A-Za-z0-9+/_=-]+$'")
     negative = some.select(F.explode(F.transform("free", lambda b: b["value"])).alias("value")).where(F.col("value").rlike(IDENTIFIER))
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, sample_rows: int = 20000, threshold: float = 0.5) -> D
     scored = pairs.join(model, "pair", "left").groupBy("row_key", "run").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("llr"))
     passed = scored.where(F.col("llr") > threshold).groupBy("row_key").agg(F.collect_list("run").alias("more"))
     return found.join(passed, "row_key", "left").select(
-        "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(NO_SPANS)))).alias("spans")
+        *kept, "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(NO_SPANS)))).alias("spans")
     )
 
 
@@ -132,12 +133,13 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
     """docs with every span of scan() replaced by mask; overlapping spans become one mask. Texts without spans stay as they are.
 
-    doc_id must identify a text: rows with equal ids get the spans of one of them only if their texts are equal.
+    Spans come back to rows by id (null too) and digest of the text, so rows under one id are cut each by its own spans.
     """
     columns = docs.columns
-    key, found = free_names(docs, "secret_key", "secret_spans")
-    spans = scan(docs, **options).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(found)).dropDuplicates([key])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[key]), "left")
+    key, digest, found = free_names(docs, "secret_key", "secret_text", "secret_spans")
+    own = F.md5(F.col("text").cast("binary"))
+    spans = scan(docs, keep=(own.alias(digest),), **options).where("size(spans) > 0").select(F.col("doc_id").alias(key), digest, F.col("spans").alias(found)).dropDuplicates([key, digest])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[key]) & (F.md5(docs["text"].cast("binary")) == spans[digest]), "left")
     text = F.col("text")
 
     def cut(acc: Column, s: Column) -> Column:
