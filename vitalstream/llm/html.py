@@ -1,15 +1,20 @@
 """Main text of HTML pages by text-to-tag ratios.
 
-Events of the standard library's parser cut a page into lines, one per block element. A line's ratio is its text length
-over its tags; text in parts that never are an article (menus, forms, scripts, adverts, ...) counts as markup. Ratios are
-smoothed by a Gaussian, two clusters split them at a threshold, and lines above it are content. A region, the nearest
-article or main element or else the run of lines around content in one container, is taken whole if it has a content line,
-so short paragraphs and headings between long ones stay.
+Events of the standard library's parser cut a page into lines, one per block element, and note the container that each is in.
+A line's ratio is its text length over its tags. Text that a page presents as no part of its article (menus, forms, adverts,
+comments, runs of links, ...) counts as markup, so such a line has the ratio 0. Ratios are smoothed by a Gaussian over the
+page's lines, two clusters split them at a threshold, and the lines of the upper cluster are content.
+
+The content lines choose the region: the innermost container that holds MOST of their text, widened by neighbours that add
+little to it. Lines of the region with a ratio above 0 are the article, so its headings, lists and short paragraphs stay.
+Article and main elements only help: their names are never read as adverts or menus, a container around one is no menu, and
+an article next to the chosen one belongs to it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,59 +33,78 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CELLS = frozenset("td th br".split())
 #: Containers whose start and end are followed; what is not listed ends with its block.
 FOLLOWED = frozenset("article aside audio body button canvas dialog div dl fieldset figure footer form head header iframe label legend main map menu nav noscript object ol option script search section select style svg table template textarea title ul video".split())
-#: Words in class, id or role that name parts outside the article.
-ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|contentinfo|cookie|cookies|disqus|footer|gdpr|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor|sponsored|"
-    r"subscribe|subscription|toolbar|widget|widgets|alert|complementary|masthead|topbar|skip|recommended|outbrain|taboola)(?:$|[\s_-]|\d)",
-    re.I,
+ARTICLES = frozenset("article main".split())
+#: Words in class, id or role, between hyphens and underscores, that name comments and other parts outside the article, and
+#: first words after which they don't.
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+ROLES = frozenset(
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr masthead menu modal "
+    "nav navbar navigation newsletter notice notices outbrain pagination popup promo promoted recommended related search share sharing sidebar skip social sponsor sponsored "
+    "subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+ABOUT = frozenset("cat category format has is no not post tag type with without".split())
+FREE, WEAK, STRONG = 0, 1, 2
 SIGMA = 1.0
+#: The part of the content that a region must hold, and what a wider one may add.
+MOST, MORE = 0.8, 0.25
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region, barred) per block; region numbers the container that the block is in."""
+    """A page as lines (text, tags, container, link characters, in a paragraph) and containers (parent, tag, mark)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.parent, self.tag, self.mark = [-1], ["html"], [FREE]
+        self.open = [0]
+        self.still_open: Counter[str] = Counter()
         self.parts: list[str] = []
-        self.tags = 0
-        self.regions = 1
-        self.articles: set[int] = set()
-        # Open containers: (tag, barred, region)
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.tags = self.linked = 0
+        self.in_link = self.paragraph = False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text or self.tags:
-            _, barred, region = self.open[-1]
-            self.lines.append((text, self.tags, region, barred))
-        self.parts, self.tags = [], 0
+        if text:
+            self.lines.append((text, self.tags, self.open[-1], min(self.linked, len(text)), self.paragraph))
+            self.tags = 0
+        # Tags without text weigh on the next line.
+        self.parts, self.linked, self.paragraph = [], 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in NEVER:
             self.end_line()
+            self.paragraph = tag == "p"
         elif tag in CELLS:
             self.parts.append(" ")
+        elif tag == "a":
+            self.in_link = True
         self.tags += 1
         if tag == "body":
-            while len(self.open) > 1 and self.open[-1][0] in ("head", "title"):
-                self.open.pop()
+            while len(self.open) > 1 and self.tag[self.open[-1]] in ("head", "title"):
+                self.close_top()
         if tag in FOLLOWED and tag not in VOID:
-            _, barred, region = self.open[-1]
-            article = tag in ("article", "main")
-            inside = region in self.articles
-            if not barred:
-                named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-                hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-                barred = tag in NEVER or hidden or tag == "header" and not inside or bool(named and tag != "body" and ROLE.search(named))
-            if article and not barred and not inside:
-                self.articles.add(self.regions)
-            if not inside or barred:
-                region = self.regions
-                self.regions += 1
-            self.open.append((tag, barred, region))
+            self.parent.append(self.open[-1])
+            self.tag.append(tag)
+            self.mark.append(self.mark_of(tag, attrs))
+            self.open.append(len(self.tag) - 1)
+            self.still_open[tag] += 1
+
+    def mark_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        given = {k: v or "" for k, v in attrs}
+        if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
+            return STRONG
+        if tag in NEVER:
+            return WEAK if tag == "form" else STRONG
+        if tag == "header" and not (self.still_open["article"] or self.still_open["main"]):
+            return STRONG
+        names = [words for k in ("class", "id", "role") for name in given.get(k, "").lower().split() if (words := re.split("[-_]", name))[0] not in ABOUT]
+        named = {word.rstrip("0123456789") for words in names for word in words}
+        if named & COMMENTS and tag != "body":
+            return STRONG
+        return WEAK if tag not in ARTICLES and tag != "body" and named & ROLES else FREE
+
+    def close_top(self) -> None:
+        self.still_open[self.tag[self.open.pop()]] -= 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -92,15 +116,56 @@ class Lines(HTMLParser):
             self.end_line()
         elif tag in CELLS:
             self.parts.append(" ")
+        elif tag == "a":
+            self.in_link = False
         self.tags += 1
-        if tag in FOLLOWED:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+        if self.still_open[tag] > 0:
+            while self.tag[self.open[-1]] != tag:
+                self.close_top()
+            self.close_top()
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.in_link:
+            self.linked += len(data.strip())
+
+
+def below(page: Lines, own: np.ndarray) -> np.ndarray:
+    """Per container the sum of own over it and all containers inside; a container's number is above its parent's."""
+    total = own.astype(float).tolist()
+    for i in range(len(total) - 1, 0, -1):
+        total[page.parent[i]] += total[i]
+    return np.array(total)
+
+
+def barred(page: Lines) -> list[bool]:
+    """The containers whose text counts as markup.
+
+    A weak mark (a name, a form) does not count where the container holds an article with text, or, on pages without one,
+    three paragraphs and more than half of the text. A container of three links and more that are most of its text is a menu.
+    """
+    nodes = len(page.tag)
+    out = [page.mark[0] == STRONG] * nodes
+    for i in range(1, nodes):
+        out[i] = out[page.parent[i]] or page.mark[i] == STRONG
+    text, paragraphs, links, linked = (np.zeros(nodes) for _ in range(4))
+    for words, _, node, link_chars, paragraph in page.lines:
+        if not out[node]:
+            text[node] += len(words)
+            paragraphs[node] += paragraph
+            if link_chars and len(words) <= 120:
+                links[node] += 1
+                linked[node] += link_chars
+    text, paragraphs, links, linked = (below(page, x) for x in (text, paragraphs, links, linked))
+    articles = below(page, np.array([t in ARTICLES and not out[i] and text[i] > 0 for i, t in enumerate(page.tag)]))
+    for i in range(1, nodes):
+        if out[page.parent[i]]:
+            out[i] = True
+        elif page.mark[i] == WEAK:
+            out[i] = not (articles[i] or not articles[0] and paragraphs[i] >= 3 and 2 * text[i] > text[0])
+        elif page.mark[i] == FREE and page.tag[i] not in ARTICLES and not articles[i]:
+            out[i] = bool(links[i] >= 3 and linked[i] >= 0.6 * text[i] and not paragraphs[i])
+    return out
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -124,27 +189,50 @@ def two_clusters(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def ratios(page: Lines) -> np.ndarray:
+    out = barred(page)
+    return np.array([0.0 if out[node] else len(text) / max(1, tags) for text, tags, node, _, _ in page.lines])
+
+
+def region(page: Lines, ratio: np.ndarray) -> list[bool]:
+    """The containers that the content lines choose."""
+    nodes = len(page.tag)
+    node = np.array([x[2] for x in page.lines])
+    chars = np.array([len(x[0]) for x in page.lines], float)
+    smooth = smoothed(ratio)
+    content = (smooth >= two_clusters(smooth)) & (ratio > 0)
+    if not content.any():
+        content[ratio.argmax()] = True
+    seeds = below(page, np.bincount(node, chars * content, nodes))
+    kept = below(page, np.bincount(node, chars * (ratio > 0), nodes))
+    best = 0
+    for i in range(1, nodes):  # parents come first, and only one child can hold that much
+        if page.parent[i] == best and seeds[i] >= MOST * seeds[0]:
+            best = i
+    inside = [False] * nodes
+    while page.tag[best] not in ARTICLES and page.parent[best] > 0 and page.tag[page.parent[best]] != "body" and kept[page.parent[best]] <= (1 + MORE) * kept[best]:
+        best = page.parent[best]
+    for i in range(nodes):
+        beside = page.tag[best] in ARTICLES and page.tag[i] in ARTICLES and page.parent[i] == page.parent[best]
+        inside[i] = i == best or beside or i > 0 and inside[page.parent[i]]
+    return inside
+
+
 def main_text(html: str | None) -> str:
-    """The blocks of the page's content regions, joined by newlines; '' for null, empty and contentless pages."""
+    """The lines of the page's article, joined by newlines; '' for null, empty and contentless pages."""
     if not html:
         return ""
     page = Lines()
     page.feed(html)
     page.close()
     page.end_line()
-    lines = [x for x in page.lines if x[0]]
-    free = [x for x in lines if not x[3]]
-    if not free:
+    if not page.lines:
+        return ""
+    ratio = ratios(page)
+    if not ratio.any():
         return ""
-    ratio = smoothed(np.array([0.0 if barred else len(text) / max(1, tags) for text, tags, _, barred in lines]))
-    cut = two_clusters(ratio)
-    regions = {region for (_, _, region, barred), r in zip(lines, ratio) if not barred and r >= cut}
-    if page.articles:
-        # Where the page marks its articles, content elsewhere is not the article.
-        regions = regions & page.articles or {r for _, _, r, _ in free} & page.articles or regions
-    if not regions:
-        regions = {max(free, key=lambda x: len(x[0]))[2]}
-    return "\n".join(text for text, _, region, barred in lines if region in regions and not barred)
+    inside = region(page, ratio)
+    return "\n".join(line[0] for line, r in zip(page.lines, ratio) if r > 0 and inside[line[2]])
 
 
 def extract(pages: DataFrame) -> DataFrame:
