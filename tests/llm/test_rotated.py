@@ -40,6 +40,30 @@ def test_odd_rows(spark):
     assert rotated.near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_equal_vectors_are_one_class(spark):
+    """Thousands of copies cost what one vector costs: no block holds them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 32)).astype(np.float32)
+    x[1] = x[0] + np.float32(0.01)
+    rows = [(i, x[i % 60].tolist()) for i in range(60 * 50)] + [(10_000 + i, x[0].tolist()) for i in range(4000)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rotated.near_duplicates(frame(spark, rows)).collect()}
+    assert got[5] == got[65][:1] + (5, True) and got[5][0] == 49
+    assert got[0] == (4049 + 50, 0, True) and got[1] == (49 + 4050, 0, False) and got[10_007] == (4099, 0, False)
+
+
+def test_codes_say_what_the_keys_say():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 48))
+    x = np.repeat(x / np.linalg.norm(x, axis=1)[:, None], 2, 0) + rng.normal(size=(100, 48)) * 0.02
+    coding = rotated.Coding(48, 30, 10)
+    signs, _ = coding.signs(x)
+    keys, packed = coding.keys(signs), np.packbits(signs, axis=1)
+    a, b = np.divmod(np.arange(100 * 100), 100)
+    same = keys[a] == keys[b]
+    assert (coding.first_common(packed[a], packed[b]) == np.where(same.any(1), same.argmax(1), -1)).all()
+    assert len(np.unique(keys[:, 0])) > 20
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]

@@ -169,7 +169,7 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
 
     wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sketched = materialize(wanted.select("doc_id", "text").mapInArrow(sketch, "rep long, long binary, bands binary"))
-    dealt = dealt_pairs(members.join(sketched, "rep"), "bucket", F.col("rep"), chunk_rows)
+    dealt = dealt_pairs(members, "bucket", F.col("rep"), chunk_rows, sketched, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in key_runs(batches, ["bucket", "i", "j"]):

@@ -49,16 +49,12 @@ def pairs_within(starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray
     return i, j
 
 
-def fixed_floats(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """A binary column of little-endian doubles as a (rows, width) array."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), width)
-
-
-def dealt_pairs(rows: DataFrame, key: str, salt: Column, chunk_rows: int) -> DataFrame:
-    """rows with (i, j, own): what tasks need to compare all rows of a key, none of which holds more than two chunks.
+def dealt_pairs(rows: DataFrame, key: str, salt: Column, chunk_rows: int, payload: DataFrame, on: str) -> DataFrame:
+    """rows with (i, j, own) and payload's columns by on: what tasks need to compare all rows of a key, none of which holds
+    more than two chunks.
 
     A key's rows fall into ceil(count / chunk_rows) chunks by salt; each row goes once to every pair (i <= j) that its own
-    chunk is part of. Keys with one row are left out. Sorted by key, i, j within partitions.
+    chunk is part of. Keys with one row are left out, before any payload travels. Sorted by key, i, j within partitions.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
     dealt = rows.join(counts, key).withColumn("chunks", F.ceil(F.col("rows_of_key") / chunk_rows).cast("int"))
@@ -66,7 +62,7 @@ def dealt_pairs(rows: DataFrame, key: str, salt: Column, chunk_rows: int) -> Dat
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("rows_of_key", "chunks", "other")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, key, "i", "j").sortWithinPartitions(key, "i", "j", "own")
+    return dealt.join(payload, on).repartition(partitions, key, "i", "j").sortWithinPartitions(key, "i", "j", "own")
 
 
 def pairs_of_chunks(rows: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
