@@ -61,3 +61,30 @@ def test_hot_bucket(spark):
     want = brute([i for i, _ in rows], [v for _, v in rows], list(got), 5)
     hot = [q for q in got if q < 400]
     assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in hot)
+
+
+def test_probes_follow_the_estimated_success():
+    """Near neighbours need few buckets, far ones many, and the share of neighbours that probes meet is the one wanted."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    q = unit(rng.normal(size=(300, 64)))
+    hashing, counts = neighbours.PStable(64, 3, 5, 1.6), []
+    for cosine in (0.98, 0.8, 0.4):
+        side = rng.normal(size=q.shape)
+        side = unit(side - (side * q).sum(1)[:, None] * q)
+        near = cosine * q + np.sqrt(1 - cosine**2) * side
+        own, asked = hashing.keys(hashing.cells(near)[0], 64), hashing.probes(q, [cosine], 0.93)
+        assert np.mean([np.isin(o, a).any() for o, a in zip(own, asked)]) > 0.88
+        counts.append(np.mean([len(a) for a in asked]))
+    assert counts[0] < 15 and counts[0] < counts[1] < counts[2]
+
+
+def test_usual_cosines(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    vectors = neighbours.valid_vectors(df, "vec_id", "embedding")
+    got = neighbours.usual_cosines(vectors, vectors.where("id % 10 = 0"), 5)
+    want = brute(list(range(300)), x, range(0, 300, 10), 5)
+    assert got == pytest.approx(list(np.quantile([s for v in want.values() for _, s in v], neighbours.QUANTILES)))
+    assert neighbours.usual_cosines(vectors.limit(0), vectors.limit(0), 5) == [0.0]
