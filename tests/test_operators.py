@@ -124,6 +124,33 @@ def test_identity_rounds_equal_the_fold(spark, tmp_path):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
 
 
+def test_joins_spread_frequent_keys(spark):
+    from vitalstream.operators.skew import spread_join
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id < 2500 THEN 7 WHEN id < 2900 THEN id ELSE NULL END AS k", "id AS v")
+    other = spark.createDataFrame([(7, "hot"), (2600, "once"), (1, "none"), (None, "null")], "k long, name string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(other, "k", how).collect()), key=str)
+        out = spread_join(rows, other, ["k"], F.col("v"), 3000, per_task=100, how=how)
+        assert sorted(map(tuple, out.collect()), key=str) == want
+        assert sorted(map(tuple, spread_join(rows, other, ["k"], F.col("v"), 3000, per_task=5000, how=how).collect()), key=str) == want
+
+
+def test_components_of_hubs_and_chains(spark, tmp_path):
+    import uuid
+
+    from vitalstream.operators.graph import components
+
+    def keep(df):
+        path = f"{tmp_path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    links = [(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(2000, 2040)] + [(5, 5), (3000, 2999)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), keep).collect()}
+    assert got == {i: 0 for i in range(1500)} | {i: 2000 for i in range(2000, 2041)} | {2999: 2999, 3000: 2999}
+
+
 def test_append_keeps_first_and_is_idempotent(spark):
     schema = "k string, n int, v string"
     new = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 3, None)], schema)

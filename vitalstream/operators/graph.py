@@ -7,26 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import spread_join
+
 
 def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component): for every id with a link the smallest id that links reach.
 
     keep cuts a round's lineage (a checkpoint or a written table). A round keeps at most one row per link, so a hub costs as
-    many rows as it has links; its minimum is pre-aggregated and joined back, which adaptive skew joins can split. The loop
-    ends when a round changes nothing; after `rounds` it raises.
+    many rows as it has links; its minimum is pre-aggregated, and the join that brings it back spreads a hub's rows over
+    several tasks. The loop ends when a round changes nothing; after `rounds` it raises.
     """
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    state = None
+    before = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.where("v > u"), low, ["u"], F.col("v"), before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = spread_join(large, least, ["u"], F.col("v"), before[0])
         edges = keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == state:
+        now = state(edges)
+        if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(roots)
-        state = (now.n, now.h)
+        before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
