@@ -1,14 +1,15 @@
 """MinHash near-dedup with circulant permutations.
 
-One permutation sends shingles to places of a circle of D places; a second one, read at successive circular shifts, gives
-all signature coordinates. Coordinates are cut into bands; documents that share a band are candidates, and links are
-confirmed by the exact Jaccard similarity of the full shingle sets.
+One permutation sends shingles to places of a circle of 2^32 places; a second one, read at successive circular shifts, gives
+all signature coordinates. Both are bijections of 32-bit numbers, computed instead of stored. Coordinates are cut into bands;
+documents that share a band are candidates, and links are confirmed by the exact Jaccard similarity of the full shingle sets.
 
 Documents with equal sets are one class and only the class takes part. Inside a band's bucket each class is first compared
 with the bucket's smallest class, which links a group of copies of any size by one row per member. Only pairs of a bucket
 that are still in different components after that are compared one by one, in blocks, first by longer signatures (LONG
 coordinates, a byte of each): those whose estimate is more than 4.5 standard deviations below the threshold are passed
-over, which loses fewer than one link in 100,000; the rest are confirmed on the full sets like the others.
+over, which loses fewer than one link in 100,000; the rest are confirmed on the full sets like the others. A bucket of more
+than LARGE classes is refined first: only those of its classes meet that share one of BANDS further bands, too.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from .common import components, free_names, materialize
 from .runs import dealt_pairs, key_runs, pairs_of_chunks
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 24, 4
-PLACES = 1 << 18
 LONG = 512
+LARGE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 500_000
 _memo: dict[bytes, int] = {}
@@ -64,22 +66,36 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
+def permuted(x: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded permutation of the 32-bit numbers (xor-shifts and odd factors undo one another); x is overwritten."""
+    k = np.random.default_rng(seed).integers(0, 1 << 32, 3, dtype=np.uint32)
+    x ^= k[0]
+    for shift, factor in ((16, k[1] | 1), (15, k[2] | 1)):
+        x ^= x >> np.uint32(shift)
+        x *= factor
+    x ^= x >> np.uint32(16)
+    return x
+
+
 class Circulant:
     """The signature of shingle sets: coordinate k is the least value of the second permutation, shifted by k places."""
 
-    def __init__(self, coordinates: int = BANDS * ROWS, places: int = PLACES, seed: int = 17):
-        second = np.random.default_rng(seed).permutation(places).astype(np.uint32)
-        self.k, self.places = coordinates, places
-        self.around = np.concatenate([second, second[:coordinates]])
+    def __init__(self, coordinates: int = BANDS * ROWS, seed: int = 17, block: int = 1 << 17):
+        self.k, self.seed, self.block = coordinates, seed, block
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
         """(sets, coordinates) of non-empty sets."""
-        flat = np.concatenate(sets)
-        starts = np.cumsum([0, *map(len, sets[:-1])])
-        place = (mixed(flat) % np.uint64(self.places)).astype(np.intp)  # the first permutation: a hash to a place
         out = np.empty((len(sets), self.k), np.uint32)
-        for k in range(self.k):
-            out[:, k] = np.minimum.reduceat(self.around[k:].take(place), starts)
+        held, size, begin = [], 0, 0
+        for i, s in enumerate(sets):
+            held.append(s)
+            size += len(s)
+            if size >= self.block or i + 1 == len(sets):  # so many places stay in a core's cache
+                place = permuted((np.concatenate(held) & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.seed)
+                starts = np.cumsum([0, *map(len, held[:-1])])
+                for k in range(self.k):
+                    out[begin : i + 1, k] = np.minimum.reduceat(permuted(place + np.uint32(k), self.seed + 1), starts)
+                held, size, begin = [], 0, i + 1
         return out
 
     def bands(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -123,11 +139,12 @@ def sketches(docs: DataFrame, chunk_shingles: int = 200_000) -> DataFrame:
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) of ids whose texts' full shingle sets have 100 * |intersection| >= percent * |union|.
 
-    Texts go to their pairs by joins on the ids; a text that meets many others is read with each of them, in Spark's
-    streams, and its set is kept while the next pair has it again.
+    pairs is a written table. Texts go to their pairs by joins on the ids, which spread the pairs of an id that has many of
+    them; a text's set is kept while the next pair has it again.
     """
     left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    total = pairs.count()
+    joined = spread_join(spread_join(pairs.select("a", "b"), right, ["b"], F.col("a"), total), left, ["a"], F.col("b"), total).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, tuple[int, np.ndarray]] = {}
@@ -154,7 +171,8 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFram
 def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: int = 256) -> DataFrame:
     """(a, b): the pairs of members (bucket, rep, n, hub, component) that share a bucket but no component and may be links.
 
-    A pair is looked at in one bucket only, the first that both are in; pairs with a hub have been confirmed before.
+    A pair is looked at in one bucket only, the first that both are in, and there in the first further band that both have if
+    the bucket is refined; pairs with a hub have been confirmed before.
     """
     least = percent / 100 - 4.5 * np.sqrt(percent / 100 * (1 - percent / 100) / LONG)
 
@@ -163,29 +181,38 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
         for batch in batches:
             sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
             short = Circulant()
-            long = [circle.signatures([s])[0].astype(np.uint8).tobytes() for s in sets]
+            long = [circle.signatures([s])[0].astype(np.uint8) for s in sets]
+            more = [x.view(np.int32)[:BANDS].tolist() for x in long]  # bands of four bytes
             bands = [short.bands([s])[0].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(long, pa.binary()), pa.array(bands, pa.binary())], ["rep", "long", "bands"])
+            columns = [batch.column(0), pa.array([x.tobytes() for x in long], pa.binary()), pa.array(bands, pa.binary()), pa.array(more, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "long", "bands", "more"])
 
     wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sketched = materialize(wanted.select("doc_id", "text").mapInArrow(sketch, "rep long, long binary, bands binary"))
-    dealt = dealt_pairs(members, "bucket", F.col("rep"), chunk_rows, sketched, "rep")
+    sketched = materialize(wanted.select("doc_id", "text").mapInArrow(sketch, "rep long, long binary, bands binary, more array<int>"))
+    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
+    plain = sized.where(F.col("members") <= LARGE).select("rep", "n", "hub", "component", "bucket", F.lit(-1).alias("no"), F.col("bucket").alias("key"))
+    refined = sized.where(F.col("members") > LARGE).join(sketched.select("rep", "more"), "rep").select("rep", "n", "hub", "component", "bucket", F.posexplode("more").alias("no", "word"))
+    refined = refined.select("rep", "n", "hub", "component", "bucket", "no", F.xxhash64("bucket", "no", "word").alias("key"))
+    dealt = dealt_pairs(plain.unionByName(refined), "key", F.col("rep"), chunk_rows, sketched.drop("more"), "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in key_runs(batches, ["bucket", "i", "j"]):
+        for rows, starts in key_runs(batches, ["key", "i", "j"]):
             a, b = pairs_of_chunks(rows, starts)
-            rep, n, hub, component, bucket = (rows[c].to_numpy() for c in ("rep", "n", "hub", "component", "bucket"))
+            rep, n, hub, component, bucket, no = (rows[c].to_numpy() for c in ("rep", "n", "hub", "component", "bucket", "no"))
             use = (component[a] != component[b]) & (rep[a] != hub[a]) & (rep[b] != hub[b])
             use &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             a, b = a[use], b[use]
             long = np.frombuffer(b"".join(rows["long"].to_pylist()), np.uint8).reshape(len(rep), LONG)
             bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), np.int64).reshape(len(rep), BANDS)
+            words = long.view(np.int32)[:, :BANDS]
             for at in range(0, len(a), 20000):
                 x, y = a[at : at + 20000], b[at : at + 20000]
                 near = (long[x] == long[y]).mean(1) >= least
                 x, y = x[near], y[near]
                 common = bands[x] == bands[y]
                 first = bands[x, common.argmax(1)] == bucket[x]
+                again = words[x] == words[y]  # of a refined bucket, the first further band that both have
+                first &= (no[x] < 0) | again.any(1) & (again.argmax(1) == no[x])
                 x, y = rep[x[first]], rep[y[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -209,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = materialize(confirmed(texts, star, percent))
+    first = materialize(confirmed(texts, materialize(star), percent))
     groups = materialize(components(first))
     grouped = members.join(groups, members["rep"] == groups["id"], "left").select("bucket", "rep", "n", "hub", F.coalesce("component", "rep").alias("component"))
     unlike = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")

@@ -16,6 +16,7 @@ counts and a spanning forest of its links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, log, log2
 
 import numpy as np
@@ -32,6 +33,7 @@ CODE_ROTATIONS = 4
 SPARSE_BITS = 4
 
 
+@lru_cache(maxsize=256)
 def rotation(dim: int, number: int) -> np.ndarray:
     """The number-th random rotation of dim dimensions: the same on every machine."""
     q, r = np.linalg.qr(np.random.default_rng([dim, number]).normal(size=(dim, dim)))
