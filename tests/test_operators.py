@@ -13,8 +13,9 @@ def values(spark, texts, f):
 
 
 def test_times(spark):
-    texts = ["2020-01-01 00:00:00 -0500", "20200101112233", "2020-01-01T01:02:03Z", "2020-01-01T00:00:00.9+02:00", "2020-01-01", "2020", "2020-01", "soon", "", None]
-    assert values(spark, texts, c.normalize_time) == ["2020-01-01T05:00:00Z", "2020-01-01T11:22:33Z", "2020-01-01T01:02:03Z", "2019-12-31T22:00:00Z", "2020-01-01T00:00:00Z", "2020", "2020-01", "soon", "", None]
+    texts = ["2020-01-01 00:00:00 -0500", "20200101112233", "2020-01-01T01:02:03Z", "2020-01-01T00:00:00.9+02:00", "2020-01-01", "2020", "2020-01", "soon", "", None, " 20200101112233 ", "  ", " \t"]
+    assert values(spark, texts, c.normalize_time) == ["2020-01-01T05:00:00Z", "2020-01-01T11:22:33Z", "2020-01-01T01:02:03Z", "2019-12-31T22:00:00Z", "2020-01-01T00:00:00Z", "2020", "2020-01", "soon", None, None, "2020-01-01T11:22:33Z", None, None]
+    texts = texts[:10]
     parsed = values(spark, texts, lambda x: c.format_time(c.parse_time(x)))
     assert parsed == [None, None, "2020-01-01T01:02:03Z", "2019-12-31T22:00:00Z", "2020-01-01T00:00:00Z", None, None, None, None, None]
 
@@ -51,12 +52,60 @@ def test_resources_in_bundles(spark):
     assert sorted((r.path, r.kind) for r in got) == [("$", "Bundle"), ("$.entry[000000].resource", "Patient"), ("$.entry[000001].resource", "Bundle"), ("$.entry[000001].resource.entry[000000].resource", "Patient")]
 
 
+def test_deep_and_odd_documents(spark):
+    deep = '{"x":' * 300 + '{"resourceType":"Patient","id":"9"}' + "}" * 300
+    rows = [("deep", deep), ("far", "[" * 100_000), ("none", None), ("kind", '{"resourceType":5,"a":[{"resourceType":"B"}]}'), *[(f"r{i}", '{"resourceType":"A"}') for i in range(3)]]
+    got = clinical.walk(spark.createDataFrame(rows, "file string, text string")).collect()
+    assert sorted((r.file, r.kind) for r in got) == [("deep", "Patient"), ("kind", "B"), ("r0", "A"), ("r1", "A"), ("r2", "A")]
+    assert next(r.path for r in got if r.file == "kind") == "$.a[000000]"
+
+
+def test_manifest_of_large_files(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    for name, data in (("small.txt", b"abc"), ("large.bin", b"xyz" * 5000)):
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(files, "ONE_CELL", 100)
+    monkeypatch.setattr(files, "CHUNK", 1000)
+    got = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in files.manifest(spark, str(tmp_path)).collect()}
+    assert got == {"small.txt": (3, hashlib.sha256(b"abc").hexdigest()), "large.bin": (15000, hashlib.sha256(b"xyz" * 5000).hexdigest())}
+
+
+def test_canonical_and_device_lines_are_in_order(spark, tmp_path):
+    from vitalstream.sources import sinks
+
+    rows = [("observations", f"k{i % 7}{i}", f"2024-01-0{1 + i % 3}T00:00:00Z" if i % 4 else None, f"p{i % 2}", "s", "f") for i in range(60)]
+    ev = spark.createDataFrame(rows, "stream string, event_key string, event_time string, canonical_person_id string, source string, source_file string")
+    sinks.canonical_lines(ev, f"{tmp_path}/out")
+    read = lambda folder: [line for p in sorted(__import__("pathlib").Path(folder).glob("part-*")) for line in p.read_text().splitlines()]
+    lines = read(f"{tmp_path}/out/observations")
+    key = lambda r: (r["event_time"] or "", r["canonical_person_id"], r["source"], r["source_file"], r["event_key"])
+    parsed = [__import__("json").loads(x) for x in lines]
+    assert len(parsed) == 60 and parsed == sorted(parsed, key=key) and list(parsed[0]) == sorted(parsed[0])
+    sinks.device_lines(ev.select(F.col("event_key").alias("record_key"), "source"), f"{tmp_path}/device")
+    keys = [__import__("json").loads(x)["record_key"] for x in read(f"{tmp_path}/device")]
+    assert len(keys) == 60 and keys == sorted(keys)
+
+
+def test_default_person_and_planned_runs(spark):
+    people = lambda *names: spark.createDataFrame([(n,) for n in names], "person string")
+    assert keyed.default_person(people("a", "a", None)) == "a"
+    assert keyed.default_person(people("a", "b")) is None and keyed.default_person(people()) is None
+    runs = spark.createDataFrame([("r1", "x", 1), ("r2", "y", 2)], "run_id string, sha256 string, created int")
+    inputs = spark.createDataFrame([("i1", "y", None, None), ("i2", "x", "r1", "r1"), ("i3", "x", None, "r1"), ("i4", "z", "gone", None)], "input_id string, sha256 string, since string, expected_run_id string")
+    got = {r.input_id: (r.parent_run_id, r.state) for r in keyed.plan_runs(runs, inputs, "created").collect()}
+    assert got == {"i1": ("r2", "no_change"), "i2": ("r1", "no_change"), "i3": ("r2", "unexpected_run_id"), "i4": ("gone", "run")}
+
+
 def test_validation_codes(spark):
-    full = '{"canonical_person_id":"p","source":"s","source_file":"f","event_time":"t","run_id":"r","event_key":"e","schema_version":2}'
-    texts = [full, full.replace('"run_id":"r",', ""), full.replace('"f"', '"John Doe.xml"'), " ", "{cut", "[1]", full.replace("2}", '"2"}'), full.replace('"t"', "null")]
+    full = '{"canonical_person_id":"p","source":"s","source_file":"f","event_time":"t","run_id":"r","record_key":"k","schema_version":2}'
+    texts = [full, full.replace('"run_id":"r",', ""), full.replace('"f"', '"John Doe.xml"'), " \t", "{cut", "[1]", full.replace("2}", '"2"}'), full.replace('"t"', "null"), full.replace("record_key", "event_key")]
     lines = spark.createDataFrame([("x.ndjson", i, t) for i, t in enumerate(texts)], "file string, line_no long, line string")
     got = [(r.line_no, r.code, r.detail) for r in quality.all_errors(lines, ["John"], [r"D[a-z]e\."]).collect()]
-    assert got == [(1, "missing_required_key", "run_id"), (2, "banned_pattern", r"D[a-z]e\."), (2, "banned_token", "John"), (3, "empty_line", ""), (4, "invalid_json", ""), (5, "not_object", ""), (6, "invalid_type", "schema_version"), (7, "invalid_type", "event_time")]
+    assert got == [(1, "missing_required_key", "run_id"), (2, "banned_pattern", r"D[a-z]e\."), (2, "banned_token", "John"), (3, "empty_line", ""), (4, "invalid_json", ""), (5, "not_object", ""), (6, "invalid_type", "schema_version"), (7, "invalid_type", "event_time"), (8, "missing_required_key", "record_key")]
+    one_by_one = quality.empty_lines(lines).unionByName(quality.banned(lines, ["John"], [r"D[a-z]e\."])).unionByName(quality.bad_json(lines)).unionByName(quality.required_keys(lines))
+    assert sorted((r.line_no, r.code, r.detail) for r in one_by_one.collect()) == got
+    assert [r.line_no for r in quality.all_errors(lines, [], []).collect()] == [1, 3, 4, 5, 6, 7, 8]
 
 
 def test_redaction():
@@ -65,8 +114,34 @@ def test_redaction():
     assert privacy.redact_json('{"John Doe":["John Doe",1,{"a":"x"}]}', redact) == '{"John Doe":["Patient 1",1,{"a":"x"}]}'
     assert privacy.redact_json("{cut John Doe", redact) == "{cut Patient 1"
     assert privacy.redact_patient('{"resourceType":"Patient","birthDate":"1980-01-02","contact":{"birthDate":"1"}}', "Patient 3") == '{"resourceType":"Patient","birthDate":"1900-01-01","contact":{"birthDate":"1"}}'
-    out = privacy.redact_cda("<d><patientRole><patient><name><given>J</given></name><birthTime value='1980'/></patient></patientRole><name>kept</name></d>", "Patient 1")
-    assert "Patient 1" in out and "19000101" in out and "kept" in out and "given" not in out
+    out = privacy.redact_cda("<d><patientRole><patient><name use='L'><given>J</given></name><birthTime value='1980'/></patient><providerOrganization><name>Clinic</name></providerOrganization></patientRole><name>kept</name></d>", "Patient 1")
+    assert out == '<d><patientRole><patient><name>Patient 1</name><birthTime value="19000101" /></patient><providerOrganization><name>Clinic</name></providerOrganization></patientRole><name>kept</name></d>'
+    patient = '{"resourceType":"Patient","name":[{"text":"J D","given":["J"],"family":"D","use":"x"},"odd",{"family":"E"}]}'
+    assert privacy.redact_patient(patient, "Patient 3") == '{"resourceType":"Patient","name":[{"text":"Patient 3","given":["Patient"],"family":"3","use":"x"},"odd",{"family":"3","text":"Patient 3","given":["Patient"]}]}'
+
+
+def brute_redaction(people, text):
+    """Person after person, every pattern over the whole text."""
+    for first, last, label in people:
+        for pattern in (rf"\b{re.escape(first)}\s+{re.escape(last)}\b", rf"\b{re.escape(last)}\s*,\s*{re.escape(first)}\b"):
+            text = re.sub(pattern, label, text, flags=re.I)
+    return text
+
+
+def test_overlapping_names_go_by_label():
+    people = [("Ann", "Lee", "Patient 1"), ("Mary", "Ann", "Patient 2"), ("Patient", "1", "Patient 3"), ("Jean-Luc", "van Dyke", "Patient 4"), ("O", "O", "Patient 5")]
+    redact = privacy.name_redactor(people)
+    for text in ("Mary Ann Lee", "Mary Ann", "van  Dyke,Jean-Luc and JEAN-LUC VAN DYKE", "Lee, Ann Mary Ann", "o o, O O o", "Ann\nLee Patient 1", "Ann Leeds", ""):
+        assert redact(text) == brute_redaction(people, text)
+    assert redact("Mary Ann Lee").startswith("Mary ")
+
+
+def test_results_do_not_depend_on_names_per_pass(spark, monkeypatch):
+    people = spark.createDataFrame([("Ann", "Lee", "Patient 1"), ("Mary", "Ann", "Patient 2")], "first string, last string, label string")
+    df = spark.createDataFrame([("Mary Ann Lee",), ("mary ann",)], "text string")
+    for size in (1, 2, 20_000):
+        monkeypatch.setattr(privacy, "NAMES_PER_PASS", size)
+        assert [r.text for r in privacy.redact_names(df, "text", people).collect()] == ["Mary Patient 1", "Patient 2"]
 
 
 def test_many_names_take_several_passes(spark, monkeypatch):
@@ -167,6 +242,7 @@ def test_note_lines(spark):
     ev = spark.createDataFrame(rows, ", ".join(f"{x} string" for x in COLUMNS)).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
     lines = [r.line for r in reports.clinical_note(ev).orderBy("ord").collect()]
     assert lines[1:8] == ["run_id=run1", "generated_at=2020-01-03T00:00:00Z", "people=1", "event_time_range=2020-01-01T00:00:00Z..2020-01-03T00:00:00Z", "totals.observations=2", "totals.documents=1", "totals.medications=0"]
+    assert lines[8:12] == ["totals.conditions=0", "sources.healthkit=1", "sources.fhir=1", "sources.cda=1"]
     assert lines[12] == "signals.top_observations=HKRate:1;8867-4:1"
     empty = [r.line for r in reports.clinical_note(ev.limit(0)).orderBy("ord").collect()]
     assert empty[1:5] == ["run_id=unknown", "generated_at=1970-01-01T00:00:00Z", "people=0", "event_time_range="] and not any(re.match("signals", x) for x in empty)

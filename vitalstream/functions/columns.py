@@ -23,7 +23,9 @@ def parse_time(text: Column) -> Column:
 
 
 def normalize_time(text: Column) -> Column:
-    """Three formats to UTC text: `2020-01-01 00:00:00 -0500`, `20200101000000` and ISO; other text as it is."""
+    """Three formats to UTC text: `2020-01-01 00:00:00 -0500`, `20200101000000` and ISO; other text as it is, without the blanks
+    around it; NULL if nothing is left."""
+    text = F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
     found = F.coalesce(
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z"))),
         F.when(text.rlike(r"^\d{14}$"), F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss"))),

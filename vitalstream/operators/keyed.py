@@ -49,15 +49,50 @@ def path_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, by: str, line: Column) -> DataFrame:
-    """(by, sha256, file_count, total_bytes): the hash over a group's lines in order, as one text.
+    """(by, sha256, file_count, total_bytes): the hash over a group's lines, in order of their paths.
 
-    files has path and size. A group's lines (a few dozen bytes a file) meet in one row, as its hash is over their sequence.
+    files has path and size. Paths fall into 4096 parts by their hash; a part's hash is over its lines in order, the group's
+    over the hashes of its parts. So a row holds a 4096th of a group's lines, or 4096 hashes.
     """
-    return files.groupBy(by).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "").cast("binary"), 256).alias("sha256"),
-        F.count("*").alias("file_count"),
-        F.sum("size").alias("total_bytes"),
+    parts = files.groupBy(by, F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 3).alias("part")).agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "").cast("binary"), 256).alias("part_sha"),
+        F.count("*").alias("n"),
+        F.sum("size").alias("total"),
     )
+    return parts.groupBy(by).agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "part_sha"))), lambda x: x["part_sha"]), "").cast("binary"), 256).alias("sha256"),
+        F.sum("n").alias("file_count"),
+        F.sum("total").alias("total_bytes"),
+    )
+
+
+def default_person(people: DataFrame) -> str | None:
+    """The only person of people (person), if there is exactly one: two rows at most come to the driver."""
+    known = people.where("person is not null").select("person").distinct().limit(2).collect()
+    return known[0].person if len(known) == 1 else None
+
+
+def plan_runs(runs: DataFrame, inputs: DataFrame, order: str) -> DataFrame:
+    """(input_id, parent_run_id, run_id, state) for inputs (input_id, sha256, since, expected_run_id) after runs (run_id, sha256, order).
+
+    The parent is the run named by since, else the last one by order. An input whose fingerprint is its parent's changes
+    nothing and keeps the parent's id (no_change); else the id derives from parent and fingerprint (run). Where another id
+    was expected the state is unexpected_run_id.
+    """
+    last = runs.agg(F.max_by("run_id", order)).first()[0]
+    placed = inputs.withColumn("parent_run_id", F.coalesce("since", F.lit(last).cast("string")))
+    parents = runs.select(F.col("run_id").alias("parent_run_id"), F.col("sha256").alias("parent_sha256"))
+    found = placed.join(parents, "parent_run_id", "left").withColumn("same", F.coalesce(F.col("sha256") == F.col("parent_sha256"), F.lit(False)))
+    found = found.withColumn("run_id", F.when(F.col("same"), F.col("parent_run_id")).otherwise(run_id(F.col("parent_run_id"), F.col("sha256"))))
+    state = F.when(F.col("expected_run_id") != F.col("run_id"), "unexpected_run_id").when(F.col("same"), "no_change").otherwise("run")
+    return found.select("input_id", "parent_run_id", "run_id", state.alias("state"))
+
+
+def bundle_entries(runs: DataFrame, artifacts: DataFrame, dirs: tuple[str, ...]) -> DataFrame:
+    """What a bundle says of its runs: their fingerprint, without notes, and those of their artifacts (run_id, name, path) that
+    lie in one of the bundle's folders."""
+    shared = artifacts.where(F.concat_ws("/", "run_id", F.split("path", "/")[1]) == F.substring_index("path", "/", 2)).where(F.split("path", "/")[1].isin(*dirs))
+    return runs.select("run_id", "parent_run_id", "sha256", "file_count", "total_bytes").join(shared, "run_id")
 
 
 def run_id(parent: Column, sha256: Column, salt: str = "vitalstream-run") -> Column:

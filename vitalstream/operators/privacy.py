@@ -11,28 +11,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names that one pass over the texts replaces: what a task holds. More names take more passes.
+#: Names that one pass over the texts looks up: what a task holds. More names take more passes, in label order.
 NAMES_PER_PASS = 20_000
+WORD = re.compile(r"\w+")
 
 
 def name_redactor(people: list[tuple[str, str, str]]) -> Callable[[str], str]:
-    """people: (first, last, label) in label order. Replaces `First Last` and `Last, First`, whatever the case and the white space."""
-    labels: dict[str, str] = {}
-    parts = []
-    for first, last, label in people:
-        for a, b, sep in ((first, last, r"\s+"), (last, first, r"\s*,\s*")):
-            key = f"{a.casefold()}{',' if sep != r'\s+' else ' '}{b.casefold()}"
-            if key not in labels:
-                labels[key] = label
-                parts.append(re.escape(a) + sep + re.escape(b))
-    if not parts:
-        return lambda text: text
-    found = re.compile(r"\b(?:" + "|".join(parts) + r")\b", re.I)
+    """people: (first, last, label) in label order. Replaces `First Last` and `Last, First`, whatever the case and the white space.
 
-    def label_of(m: re.Match) -> str:
-        return labels[re.sub(r"\s*,\s*", ",", re.sub(r"\s+", " ", m[0])).casefold()]
+    One person after the other is replaced, so where names overlap the earlier label wins, and what a label adds to the text
+    can be part of a later name. Only people two of whose words stand side by side in the text are tried.
+    """
+    index: dict[tuple[str, str], list[int]] = {}
+    patterns: list[tuple[re.Pattern, re.Pattern]] = []
+    for no, (first, last, _) in enumerate(people):
+        a, b = re.escape(first), re.escape(last)
+        patterns.append((re.compile(rf"\b{a}\s+{b}\b", re.I), re.compile(rf"\b{b}\s*,\s*{a}\b", re.I)))
+        for words in (WORD.findall(f"{first} {last}"), WORD.findall(f"{last}, {first}")):
+            index.setdefault((words[0].casefold(), words[1].casefold() if len(words) > 1 else ""), []).append(no)
+
+    def candidates(text: str, after: int) -> int | None:
+        """The first person after a number whose name may stand in the text."""
+        words = [w.casefold() for w in WORD.findall(text)]
+        found = {no for pair in {*zip(words, [*words[1:], ""]), *((w, "") for w in words)} for no in index.get(pair, ()) if no > after}
+        return min(found, default=None)
+
+    def redact(text: str) -> str:
+        no = candidates(text, -1)
+        while no is not None:
+            for pattern in patterns[no]:
+                text = pattern.sub(people[no][2].replace("\\", r"\\"), text)
+            no = candidates(text, no)
+        return text
 
-    return lambda text: found.sub(label_of, text)
+    return redact
 
 
 def redact_values(value, redact: Callable[[str], str]):
@@ -56,32 +68,39 @@ def redact_json(text: str, redact: Callable[[str], str]) -> str:
 
 
 def redact_patient(text: str, label: str) -> str:
-    """A Patient resource with the label as its name and a neutral birth date; other resources stay."""
+    """A Patient resource with the label in the forms of each of its names and a neutral birth date; other resources stay."""
     try:
         value = json.loads(text)
     except ValueError:
         return text
     if not isinstance(value, dict) or value.get("resourceType") != "Patient":
         return text
-    value |= {"name": [{"text": label}]} if "name" in value else {}
+    names = value.get("name")
+    for name in names if isinstance(names, list) else []:
+        if isinstance(name, dict):
+            name |= {"text": label, "given": ["Patient"], "family": label.partition(" ")[2]}
     value |= {"birthDate": "1900-01-01"} if "birthDate" in value else {}
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def redact_cda(text: str, label: str) -> str:
-    """A clinical document whose patient has the label as its name and a neutral birth time. Text that is no XML stays."""
+    """A clinical document whose patients have the label as their names and a neutral birth time. Text that is no XML stays.
+
+    Of each patientRole the patient's own name elements are replaced, not those of organisations beside it.
+    """
     try:
         root = ET.fromstring(text)
     except ET.ParseError:
         return text
     local = lambda e: e.tag.rpartition("}")[2]
     for role in (e for e in root.iter() if local(e) == "patientRole"):
-        for e in role.iter():
+        patient = next((e for e in role if local(e) == "patient"), None)
+        for e in patient if patient is not None else ():
             if local(e) == "name":
-                for child in list(e):
-                    e.remove(child)
+                e.clear()
                 e.text = label
-            elif local(e) == "birthTime":
+        for e in patient.iter() if patient is not None else ():
+            if local(e) == "birthTime":
                 e.set("value", "19000101")
     return ET.tostring(root, encoding="unicode")
 
@@ -105,7 +124,8 @@ def _mapped(df: DataFrame, column: str, change: Callable[..., Callable[..., str]
 def redact_names(df: DataFrame, column: str, people: DataFrame, as_json: bool = False) -> DataFrame:
     """df with the names of people (first, last, label) in column replaced by their labels, in label order.
 
-    The names go to the tasks NAMES_PER_PASS at a time; each pass is another map over the rows, without a shuffle.
+    The names go to the tasks NAMES_PER_PASS at a time, in label order, so their number per pass changes no result; each pass
+    is another map over the rows, without a shuffle.
     """
     number = F.regexp_extract("label", r"(\d+)$", 1).cast("long")
     last = people.agg(F.max(number)).first()[0] or 0
@@ -121,9 +141,14 @@ def redact_names(df: DataFrame, column: str, people: DataFrame, as_json: bool =
     return df
 
 
-def redact_patients(df: DataFrame, column: str, label: str) -> DataFrame:
-    return _mapped(df, column, lambda: redact_patient, label)
+def redact_patients(df: DataFrame, column: str, label: str, people: DataFrame | None = None) -> DataFrame:
+    """df with the Patient resources in column under the label of the column label; first, the names of people go from all
+    string values."""
+    return _mapped(df if people is None else redact_names(df, column, people, as_json=True), column, lambda: redact_patient, label)
 
 
-def redact_cdas(df: DataFrame, column: str, label: str) -> DataFrame:
-    return _mapped(df, column, lambda: redact_cda, label)
+def redact_cdas(df: DataFrame, column: str, label: str, people: DataFrame | None = None) -> DataFrame:
+    """df with the patients of the clinical documents in column under the label of the column label; then, the names of people
+    go from the whole text."""
+    out = _mapped(df, column, lambda: redact_cda, label)
+    return out if people is None else redact_names(out, column, people)

@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The required keys, all strings but the last, which is an integer.
-REQUIRED = ("canonical_person_id", "source", "source_file", "event_time", "run_id", "event_key", "schema_version")
+REQUIRED = ("canonical_person_id", "source", "source_file", "event_time", "run_id", "record_key", "schema_version")
+BLANK = r"(?U)^\s*$"
 
 
 def _errors(rows: DataFrame, code: str, detail: Column) -> DataFrame:
     return rows.select("file", "line_no", F.lit(code).alias("code"), detail.alias("detail"))
 
 
+def _listed(rows: DataFrame, errors: Column) -> DataFrame:
+    return rows.select("file", "line_no", F.explode(F.array_compact(errors)).alias("x")).select("file", "line_no", "x.code", "x.detail")
+
+
+def _error(code: str | Column, detail: str = "") -> Column:
+    return F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(detail).alias("detail"))
+
+
 def no_files(drops: DataFrame, files: DataFrame) -> DataFrame:
     """drops (file) that have no *.ndjson among files (drop, path)."""
     with_lines = files.where(F.col("path").endswith(".ndjson")).select(F.col("drop").alias("file")).distinct()
@@ -26,41 +35,53 @@ def missing_newline(files: DataFrame) -> DataFrame:
 
 
 def empty_lines(lines: DataFrame) -> DataFrame:
-    return _errors(lines.where(F.trim("line") == ""), "empty_line", F.lit(""))
+    """Lines of white space only, tabs included."""
+    return _errors(lines.where(F.col("line").rlike(BLANK)), "empty_line", F.lit(""))
+
+
+def _banned(tokens: list[str], patterns: list[str]) -> list[Column]:
+    return [F.when(F.contains("line", F.lit(t)), _error("banned_token", t)) for t in tokens] + [F.when(F.col("line").rlike(p), _error("banned_pattern", p)) for p in patterns]
 
 
 def banned(lines: DataFrame, tokens: list[str], patterns: list[str]) -> DataFrame:
     """An error for each token in and each pattern found in a line that is not blank; one pass, a row per finding."""
-    found = [F.when(F.contains("line", F.lit(t)), F.struct(F.lit("banned_token").alias("code"), F.lit(t).alias("detail"))) for t in tokens]
-    found += [F.when(F.col("line").rlike(p), F.struct(F.lit("banned_pattern").alias("code"), F.lit(p).alias("detail"))) for p in patterns]
-    hits = lines.where(F.trim("line") != "").select("file", "line_no", F.explode(F.array_compact(F.array(*found))).alias("x"))
-    return hits.select("file", "line_no", "x.code", "x.detail")
+    return _listed(lines.where(~F.col("line").rlike(BLANK)), F.array(*_banned(tokens, patterns)))
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    return lines.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).withColumn("shape", F.schema_of_variant("v"))
+    """lines with v, the parsed line. It comes out of a generator, so that the plan parses once however often v is used."""
+    return lines.select("file", "line_no", "line", F.explode(F.array(F.try_parse_json("line"))).alias("v"))
 
 
-def bad_json(lines: DataFrame) -> DataFrame:
-    parsed = _parsed(lines)
-    code = F.when(F.col("v").isNull(), "invalid_json").when(~F.col("shape").like("OBJECT%"), "not_object")
-    return parsed.select("file", "line_no", code.alias("code"), F.lit("").alias("detail")).where("code is not null")
+def _is_object() -> Column:
+    return F.col("v").isNotNull() & F.schema_of_variant("v").like("OBJECT%")
 
 
-def required_keys(lines: DataFrame) -> DataFrame:
-    """missing_required_key and invalid_type: each key's shape is read once, one pass over the lines."""
-    objects = _parsed(lines).where(F.col("v").isNotNull() & F.col("shape").like("OBJECT%"))
+def _bad_json() -> Column:
+    return F.when(F.col("v").isNull(), _error("invalid_json")).when(~F.schema_of_variant("v").like("OBJECT%"), _error("not_object"))
+
+
+def _required() -> list[Column]:
     checks = []
     for key in REQUIRED:
         shape = F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant"))
         fine = shape.isin("BIGINT", "BOOLEAN") if key == "schema_version" else shape == "STRING"
         code = F.when(shape.isNull(), "missing_required_key").when(~fine, "invalid_type")
-        checks.append(F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(key).alias("detail"))))
-    rows = objects.select("file", "line_no", F.explode(F.array_compact(F.array(*checks))).alias("x"))
-    return rows.select("file", "line_no", "x.code", "x.detail")
+        checks.append(F.when(code.isNotNull(), _error(code, key)))
+    return checks
+
+
+def bad_json(lines: DataFrame) -> DataFrame:
+    return _listed(_parsed(lines.where(~F.col("line").rlike(BLANK))), F.array(_bad_json()))
+
+
+def required_keys(lines: DataFrame) -> DataFrame:
+    """missing_required_key and invalid_type of the lines that are objects."""
+    return _listed(_parsed(lines.where(~F.col("line").rlike(BLANK))).where(_is_object()), F.array(*_required()))
 
 
 def all_errors(lines: DataFrame, tokens: list[str], patterns: list[str]) -> DataFrame:
-    """Every line error, by file, line, code and detail."""
-    out = empty_lines(lines).unionByName(banned(lines, tokens, patterns)).unionByName(bad_json(lines)).unionByName(required_keys(lines))
-    return out.orderBy("file", "line_no", "code", "detail")
+    """Every line error, by file, line, code and detail: each line is read and parsed once."""
+    keys = F.when(_is_object(), F.array(*_required())).otherwise(F.array(_bad_json()))
+    found = F.when(F.col("line").rlike(BLANK), F.array(_error("empty_line"))).otherwise(F.concat(F.array(*_banned(tokens, patterns)), keys) if tokens or patterns else keys)
+    return _listed(_parsed(lines), found).orderBy("file", "line_no", "code", "detail")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_time, record_type, source_bucket
-from ..sources.tables import STREAMS
+from ..sources.tables import STREAMS, written
 
 
 def bucketed(events: DataFrame) -> DataFrame:
@@ -88,47 +88,63 @@ def person_summary(events: DataFrame) -> DataFrame:
     return coverage_by_person(events).join(top, "canonical_person_id", "left")
 
 
+def facts(events: DataFrame) -> DataFrame:
+    """Rows and time range per (stream, source, bucket, person, type, run): one aggregate of which every report figure is a
+    further sum. It is written, so that a report reads the events once however many figures it has."""
+    kinds = bucketed(events).groupBy("stream", "source", "bucket", "canonical_person_id", record_type(F.col("stream")).alias("label"), "run_id")
+    return written(kinds.agg(F.count("*").alias("n"), F.min("event_time").alias("low"), F.max("event_time").alias("high")))
+
+
+def _top_types(f: DataFrame, k: int = 5) -> DataFrame:
+    types = f.where("canonical_person_id is not null").groupBy("canonical_person_id", F.concat(F.col("stream"), F.lit(":"), F.col("label")).alias("type")).agg(F.sum("n").alias("rows"))
+    best = Window.partitionBy("canonical_person_id").orderBy(F.desc("rows"), "type")
+    return types.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def report_summary(events: DataFrame) -> DataFrame:
-    """Every figure of the report as (section, key, value) rows."""
-    row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value"))
-    spans = event_time_range(events)
-    parts = [
-        row(table_totals(events), "rows", F.col("stream"), F.col("rows")),
-        row(distinct_people(events), "people", F.col("stream"), F.col("people")),
-        row(spans, "min_event_time", F.col("stream"), format_time(F.col("min_event_time"))),
-        row(spans, "max_event_time", F.col("stream"), format_time(F.col("max_event_time"))),
-        row(coverage_by_source(events), "source", F.concat_ws(":", "stream", "source"), F.col("rows")),
-        row(top_types_per_person(events), "top_type", F.concat_ws(":", "canonical_person_id", F.col("rank").cast("string")), F.concat_ws("=", "type", F.col("rows").cast("string"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every figure of the report as (section, key, value) rows, from one pass over the events."""
+    f = facts(events)
+    named = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value"))
+    per = f.groupBy("stream").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    every = per.agg(F.min("low").alias("low"), F.max("high").alias("high")).select(F.lit("all").alias("stream"), "low", "high")
+    spans = per.select("stream", "low", "high").unionByName(every)
+    ends = spans.select(F.explode(F.array(named("min_event_time", F.col("stream"), format_time(F.col("low"))), named("max_event_time", F.col("stream"), format_time(F.col("high"))))).alias("x"))
+    totals = stream_list(events).join(per.select("stream", "n"), "stream", "left").select(named("rows", F.col("stream"), F.coalesce("n", F.lit(0))).alias("x"))
+    people = distinct_people(f).select(named("people", F.col("stream"), F.col("people")).alias("x"))
+    source = f.where("bucket is not null").groupBy("stream", "bucket").agg(F.sum("n").alias("n")).select(named("source", F.concat_ws(":", "stream", "bucket"), F.col("n")).alias("x"))
+    top = _top_types(f).select(named("top_type", F.concat_ws(":", "canonical_person_id", F.col("rank").cast("string")), F.concat_ws("=", "type", F.col("rows").cast("string"))).alias("x"))
+    return totals.unionByName(people).unionByName(ends).unionByName(source).unionByName(top).select("x.*")
+
+
+#: Fixed values of the note: its first and last line.
+TITLE = "Summary of health events"
+CLOSING = "Figures only: names, dates of birth and texts stay out."
 
 
 def clinical_note(events: DataFrame) -> DataFrame:
-    """(ord, line): the one-screen note, whole also without any event. All figures come from grouped rows; the last event time stands for the time of making."""
-    line = lambda df, ord_, text: df.select(F.lit(ord_).alias("ord"), text.alias("line"))
-    one = events.sparkSession.createDataFrame([(1,)], "x int")
-    span = events.agg(F.min("event_time").alias("min_event_time"), F.max("event_time").alias("max_event_time"))
-    total = table_totals(events)
-    by_source = source_totals(events)
-    signals = observation_signals(events).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("n"), (~F.col("label").startswith("HK")).alias("o"), "label"))), lambda s: F.concat(s["label"], F.lit(":"), (-s["n"]).cast("string"))), ";").alias("s")
-    )
-    low, high = format_time(F.col("min_event_time")), format_time(F.col("max_event_time"))
-    parts = [
-        line(one, 1, F.lit("Summary of health events")),
-        line(run_label(events), 2, F.concat(F.lit("run_id="), "run_label")),
-        line(span, 3, F.concat(F.lit("generated_at="), F.coalesce(high, F.lit("1970-01-01T00:00:00Z")))),
-        line(events.where("canonical_person_id is not null").select("canonical_person_id").distinct().agg(F.count("*").alias("people")), 4, F.concat(F.lit("people="), F.col("people").cast("string"))),
-        line(span, 5, F.concat(F.lit("event_time_range="), F.coalesce(F.concat(low, F.lit(".."), high), F.lit("")))),
-        total.select((F.array_position(F.array(*map(F.lit, STREAMS)), F.col("stream")) + 5).cast("int").alias("ord"), F.concat(F.lit("totals."), "stream", F.lit("="), F.col("rows").cast("string")).alias("line")),
-        by_source.select((F.array_position(F.array(*map(F.lit, ("healthkit", "fhir", "cda"))), F.col("source")) + 9).cast("int").alias("ord"), F.concat(F.lit("sources."), "source", F.lit("="), F.col("rows").cast("string")).alias("line")),
-        line(signals.where("s <> ''"), 13, F.concat(F.lit("signals.top_observations="), "s")),
-        line(one, 14, F.lit("No names, dates of birth, or identifying text included.")),
+    """(ord, line): the one-screen note, whole also without any event. The last event time stands for the time of making.
+
+    One aggregate over the facts holds what the lines need; distinct people, run ids and labels are grouped before they meet.
+    """
+    f = facts(events)
+    streams = [F.coalesce(F.sum(F.when(F.col("stream") == s, F.col("n"))), F.lit(0)).alias(s) for s in STREAMS]
+    sources = [F.coalesce(F.sum(F.when(F.col("source") == s, F.col("n"))), F.lit(0)).alias(f"from_{s}") for s in ("healthkit", "fhir", "cda")]
+    figures = f.agg(*streams, *sources, F.min("low").alias("low"), F.max("high").alias("high"))
+    people = f.where("canonical_person_id is not null").select("canonical_person_id").distinct().agg(F.count("*").alias("people"))
+    labels = f.where("stream = 'observations'").groupBy("label").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), ~F.col("label").startswith("HK"), "label").limit(5)
+    signals = labels.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("n"), (~F.col("label").startswith("HK")).alias("o"), "label"))), lambda s: F.concat(s["label"], F.lit(":"), (-s["n"]).cast("string"))), ";").alias("signals"))
+    row = lambda df: df.withColumn("one", F.lit(1))
+    all_figures = row(figures).join(row(people), "one").join(row(run_label(f)), "one").join(row(signals), "one")  # one row each
+    low, high = format_time(F.col("low")), format_time(F.col("high"))
+    lines = [
+        F.lit(TITLE),
+        F.concat(F.lit("run_id="), "run_label"),
+        F.concat(F.lit("generated_at="), F.coalesce(high, F.lit("1970-01-01T00:00:00Z"))),
+        F.concat(F.lit("people="), F.col("people").cast("string")),
+        F.concat(F.lit("event_time_range="), F.coalesce(F.concat(low, F.lit(".."), high), F.lit(""))),
+        *[F.concat(F.lit(f"totals.{s}="), F.col(s).cast("string")) for s in STREAMS],
+        *[F.concat(F.lit(f"sources.{s}="), F.col(f"from_{s}").cast("string")) for s in ("healthkit", "fhir", "cda")],
+        F.when(F.col("signals") != "", F.concat(F.lit("signals.top_observations="), "signals")),
+        F.lit(CLOSING),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return all_figures.select(F.posexplode(F.array(*lines)).alias("pos", "line")).where("line is not null").select((F.col("pos") + 1).alias("ord"), "line")

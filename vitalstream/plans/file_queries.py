@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import clinical, files
-from ..sources.tables import EVENTS_SQL, all_events, new_folder, table
+from ..operators import reports
+from ..sources import clinical, files, sinks
+from ..sources.tables import EVENTS_SQL, STREAMS, all_events, new_folder, table
 from ..streaming import loads
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -21,15 +22,16 @@ def lines_of(spark, sf, sql, name="events", folder="lines"):
 
 def scan_healthkit_records(spark, sf):
     record = (
-        "concat('<Record type=\"', CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END, '\" unit=\"u', user_id, '\" value=\"', event_id, '\"', "
+        "concat('<Record type=\"', CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END, '\" unit=\"u', u, '\" value=\"', event_id, '\"', "
         "CASE WHEN event_id % 2 = 0 THEN concat(' startDate=\"', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' -0500\"') ELSE '' END, ' endDate=\"', date_format(ts, 'yyyyMMddHHmmss'), '\"/>')"
     )
     path = new_folder(spark, "exports")
     ev = table(spark, sf, "events")
+    ev = ev.withColumn("u", F.col("user_id")).withColumn("user_id", F.col("user_id") % 64)
     users = ev.select("user_id").distinct()
     ends = [users.select("user_id", F.lit(n).alias("n"), F.lit(tag).alias("value")) for n, tag in ((0, "<HealthData>"), (2, "</HealthData>"))]
     lines = ev.select("user_id", F.lit(1).alias("n"), F.expr(record).alias("value")).unionByName(ends[0]).unionByName(ends[1])
-    # An export file for each person, its lines written one by one.
+    # An export file for each group of persons, its lines written one by one.
     lines.repartition("user_id").sortWithinPartitions("user_id", "n").select("user_id", "value").write.partitionBy("user_id").text(path)
     return files.healthkit_records(spark, path).drop("record_key")
 
@@ -39,11 +41,30 @@ def scan_fhir_resources(spark, sf):
     return clinical.resource_rows(spark.read.text(path).select(F.lit("clinical.json").alias("file"), F.col("value").alias("text"))).drop("file")
 
 
+PRETTY = "concat('{\n  \"resourceType\": \"Condition\",\n  \"id\": \"s', s_suppkey, '\",\n  \"subject\": {\n    \"reference\": \"Patient/u', s_nationkey, '\"\n  },\n  \"recordedDate\": \"2020-01-01T00:00:00Z\",\n  \"code\": {\n    \"coding\": [\n      {\"system\": \"s\", \"code\": \"c', s_nationkey, '\"}\n    ]\n  }\n}')"
+
+
+def scan_fhir_files(spark, sf):
+    """Pretty-printed resources, one a file, read whole; every seventh file is cut."""
+    root = new_folder(spark, "clinical")
+    text = F.expr(f"CASE WHEN s_suppkey % 7 = 0 THEN substring({PRETTY}, 1, 40) ELSE {PRETTY} END")
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.posexplode(F.split(text, "\n")).alias("n", "value"))
+    rows.repartition("s_suppkey").sortWithinPartitions("s_suppkey", "n").select("s_suppkey", "value").write.partitionBy("s_suppkey").text(root)
+    return clinical.resource_rows(clinical.resource_files(spark, root)).drop("file")
+
+
+_ONE = "concat('<observation>', chr(10), '<code code=\"c', event_id % 9, '\"/><effectiveTime value=\"', date_format(ts, 'yyyyMMddHHmmss'), '\"/><value value=\"', event_id, '\" unit=\"mg\"/>', chr(10), '<entryRelationship><observation><code code=\"inner\"/></observation></entryRelationship></observation>')"
+
+
 def scan_cda_observations(spark, sf):
-    one = "concat('<observation><code code=\"c', event_id % 9, '\"/><effectiveTime value=\"', date_format(ts, 'yyyyMMddHHmmss'), '\"/><value value=\"', event_id, '\" unit=\"mg\"/>"
-    document = f"concat('<ClinicalDocument xmlns=\"urn:x\">', {one}<entryRelationship><observation><code code=\"inner\"/></observation></entryRelationship></observation>'), '</ClinicalDocument>')"
-    lines = spark.read.text(lines_of(spark, sf, document)).select(F.lit("export_cda.xml").alias("file"), F.encode("value", "utf-8").alias("content"))
-    return files.cda_observations(lines).drop("file")
+    """Clinical documents of many lines, one file for each 200 events, read from their files."""
+    root = new_folder(spark, "cda")
+    ev = table(spark, sf, "events").select(F.expr("event_id div 200").alias("k"), "event_id", F.expr(_ONE).alias("value"))
+    ends = ev.groupBy("k").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    first = ends.select("k", (F.col("lo") - 1).alias("event_id"), F.lit('<ClinicalDocument xmlns="urn:x">').alias("value"))
+    last = ends.select("k", (F.col("hi") + 1).alias("event_id"), F.lit("</ClinicalDocument>").alias("value"))
+    ev.unionByName(first).unionByName(last).repartition("k").sortWithinPartitions("k", "event_id").select("k", "value").write.partitionBy("k").text(root)
+    return files.cda_observations(files.cda_documents(spark, root)).drop("file")
 
 
 _ROW = (
@@ -73,44 +94,75 @@ def resolve_layout(spark, sf):
 
 
 def staged(spark, sf):
-    """One file for each of 16 groups of pages: the least page of the group."""
+    """All pages as files, 64 pages a file."""
     root = new_folder(spark, "staged")
-    least = table(spark, sf, "pages").groupBy((F.col("page_id") % 16).alias("k")).agg(F.min("html").alias("value"))
-    least.write.partitionBy("k").text(root)
+    pages = table(spark, sf, "pages").select(F.expr("page_id div 64").alias("k"), "page_id", F.col("html").alias("value"))
+    pages.repartition("k").sortWithinPartitions("k", "page_id").select("k", "value").write.partitionBy("k").text(root)
     return root
 
 
 def folder_no(path="path"):
-    return F.regexp_extract(path, "/k=(\\d+)/", 1).cast("int").alias("k")
+    return F.regexp_extract(path, "/k=(\\d+)/", 1).cast("long").alias("k")
 
 
 def export_ndjson_lines(spark, sf):
+    """The canonical lines of all streams, each from its own output."""
     path = new_folder(spark, "ndjson")
-    line = F.to_json(F.struct("canonical_person_id", "code", "record_key", "source"), {"ignoreNullFields": "false"})
-    all_events(spark, sf).select(line.alias("value")).write.text(path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    sinks.canonical_lines(all_events(spark, sf), path)
+    parts = [spark.read.text(f"{path}/{s}").select(F.lit(s).alias("stream"), F.col("value").alias("line")) for s in STREAMS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def export_device_lines(spark, sf):
+    """Device rows as lines sorted by key, read back."""
+    path = new_folder(spark, "device")
+    rows = table(spark, sf, "events").select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("record_key"), F.col("event_type").alias("sample_type"), F.date_trunc("second", "ts").alias("start_time"), F.col("value").alias("value_num"))
+    sinks.device_lines(rows, path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.record_key").alias("record_key"), F.col("value").alias("line"))
+
+
+def csv_result(spark, sf):
+    """A query result as CSV and read back as text: header, quotes, empty cells and times."""
+    path = new_folder(spark, "csv")
+    ev = all_events(spark, sf).select("record_key", "event_time", "status", F.concat_ws(",", "stream", "code").alias("label"))
+    sinks.csv_rows(ev, path, "record_key")
+    return spark.read.text(path).where("value not like 'record_key,event_time%'").select(F.col("value").alias("line"))
+
+
+def report_sinks(spark, sf):
+    """Reports written as files, their lines read back."""
+    ev, path = all_events(spark, sf), new_folder(spark, "reports")
+    sinks.report_files({"totals": (reports.table_totals(ev), ("stream",)), "people": (reports.distinct_people(ev), ("stream",)), "days": (reports.timeline_daily_counts(ev), ("day", "stream", "source"))}, path)
+    back = [spark.read.text(f"{path}/{kind}/{name}").select(F.lit(kind).alias("kind"), F.lit(name).alias("report"), F.col("value").alias("line")) for kind in ("csv", "json") for name in ("totals", "people", "days")]
+    out = back[0]
+    for b in back[1:]:
+        out = out.unionByName(b)
+    return out.distinct()
 
 
 def load_tables(spark, sf):
-    """Streams written as tables, a second load appended, and read back."""
+    """A table per stream, created if absent; run1 is appended, and run0 once more, which adds nothing."""
     path = new_folder(spark, "tables")
-    for run in ("run0", "run1"):
-        all_events(spark, sf).where(F.col("run_id") == run).write.mode("append").parquet(path)
-    return spark.read.schema(all_events(spark, sf).schema).parquet(path)
+    for run in ("run0", "run1", "run0"):
+        loads.load_streams(all_events(spark, sf).where(F.col("run_id") == run), path)
+    return loads.loaded_streams(spark, path)
 
 
 def partitioned_events(spark, sf):
-    """Upsert events partitioned by person group, stream and type, gzipped; deletes leave the current state.
+    """Upsert and delete events by year and person group, days in order, gzipped; what is left after the deletes, by day and stream.
 
-    A folder per person would be millions of small files, so persons go to 16 groups by hash.
+    A folder per person and day would be millions of small files, so persons go to 16 groups by hash and days are sorted. Every fifth record is deleted
+    by a later event.
     """
-    from ..functions.columns import record_type
-
     path = new_folder(spark, "partitioned")
-    rows = all_events(spark, sf).select("record_key", "canonical_person_id", "stream", record_type(F.col("stream")).alias("record_type"), F.lit("upsert").alias("op"))
-    rows.withColumn("person_group", F.pmod(F.xxhash64("canonical_person_id"), F.lit(16)).cast("int")).repartition("person_group", "stream").write.partitionBy("person_group", "stream", "record_type").option("compression", "gzip").json(path)
-    back = spark.read.schema("record_key string, canonical_person_id string, op string, person_group int, stream string, record_type string").json(path)
-    return back.where("op = 'upsert'").groupBy("stream", "record_type").agg(F.count("*").alias("rows"), F.count_distinct("canonical_person_id").alias("people"))
+    rows = all_events(spark, sf).select("record_key", "canonical_person_id", "stream", F.coalesce(F.to_date("event_time").cast("string"), F.lit("none")).alias("day"))
+    ops = rows.withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(1))
+    ops = ops.unionByName(rows.where("cast(regexp_extract(record_key, '(\\\\d+)$', 1) as bigint) % 5 = 0").withColumn("op", F.lit("delete")).withColumn("seq", F.lit(2)))
+    ops = ops.withColumn("year", F.substring("day", 1, 4)).withColumn("person_group", F.pmod(F.xxhash64("canonical_person_id"), F.lit(16)).cast("int"))
+    ops.repartition("year", "person_group").sortWithinPartitions("year", "person_group", "day").write.partitionBy("year", "person_group").option("compression", "gzip").json(path)
+    back = spark.read.schema("record_key string, canonical_person_id string, stream string, day string, op string, seq int, year string, person_group int").json(path)
+    current = back.groupBy("stream", "record_key").agg(F.max_by("op", "seq").alias("op"), F.max_by("day", "seq").alias("day"), F.max_by("canonical_person_id", "seq").alias("person"))
+    return current.where("op = 'upsert'").groupBy("day", "stream").agg(F.count("*").alias("rows"), F.count_distinct("person").alias("people"))
 
 
 def drops(spark, sf):
@@ -136,10 +188,12 @@ def stream_append_if_absent(spark, sf):
 
 
 def stream_daily_counts(spark, sf):
-    return spark.read.parquet(loads.daily_counts(spark, drops(spark, sf), new_folder(spark, "days"), new_folder(spark, "cursor")))
+    """Counts of two runs over the same drops: the second finds nothing new and gives the same table."""
+    path, days, cursor = drops(spark, sf), new_folder(spark, "days"), new_folder(spark, "cursor")
+    loads.daily_counts(spark, path, days, cursor)
+    return loads.daily_counts(spark, path, days, cursor)
 
 
-LABEL = "CASE stream WHEN 'observations' THEN COALESCE(hk_type, resource_type, code, 'unknown') WHEN 'conditions' THEN COALESCE(resource_type, code, 'unknown') ELSE COALESCE(resource_type, 'unknown') END"
 CODING_TEXT = "'[{\"system\":\"s1\",\"code\":\"c' || (event_id % 5) || '\"},{\"system\":\"s2\",\"code\":\"' || event_type || '\"}]'"
 KIND = "CASE event_id % 7 WHEN 0 THEN 'Observation' WHEN 1 THEN 'Observation' WHEN 2 THEN 'DocumentReference' WHEN 3 THEN 'MedicationRequest' WHEN 4 THEN 'Condition' END"
 
@@ -153,6 +207,10 @@ QUERIES = {
     "file_inventory": lambda s, d: files.inventory(s, staged(s, d)).select(folder_no(), "length"),
     "staging_manifest": lambda s, d: files.manifest(s, staged(s, d)).select(folder_no(), "size", "sha256"),
     "export_ndjson_lines": export_ndjson_lines,
+    "export_device_lines": export_device_lines,
+    "csv_result": csv_result,
+    "report_sinks": report_sinks,
+    "scan_fhir_files": scan_fhir_files,
     "load_tables": load_tables,
     "partitioned_events": partitioned_events,
     "stream_incremental": stream_incremental,
@@ -160,7 +218,9 @@ QUERIES = {
     "stream_daily_counts": stream_daily_counts,
 }
 
-LEAST = "(SELECT (page_id % 16)::INT AS k, MIN(html) || chr(10) AS content FROM pages GROUP BY 1)"
+STAGED = "(SELECT page_id // 64 AS k, string_agg(html || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1)"
+_LINE = "'{\"canonical_person_id\":\"' || canonical_person_id || '\",\"code\":' || COALESCE('\"' || code || '\"', 'null') || ',\"event_time\":' || COALESCE('\"' || strftime(event_time, '%Y-%m-%dT%H:%M:%SZ') || '\"', 'null') || ',\"hk_type\":' || COALESCE('\"' || hk_type || '\"', 'null') || ',\"record_key\":\"' || record_key || '\",\"resource_type\":' || COALESCE('\"' || resource_type || '\"', 'null') || ',\"run_id\":\"' || run_id || '\",\"source\":\"' || source || '\",\"source_file\":\"' || source_file || '\",\"status\":' || COALESCE('\"' || status || '\"', 'null') || '}'"
+_DAYS = "SELECT CAST(date_trunc('day', event_time) AS DATE) AS day, stream, CASE WHEN source_file LIKE 'ndjson/%' THEN 'ios' ELSE source END AS source, COUNT(*) AS n FROM ev WHERE event_time IS NOT NULL GROUP BY 1, 2, 3"
 ORACLE_SQL = {
     "scan_healthkit_records": f"SELECT CASE WHEN event_id % 2 = 0 THEN strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%SZ') ELSE {T} END AS event_time, event_type AS hk_type, 'u' || user_id AS unit, event_id::VARCHAR AS value FROM events WHERE event_id % 5 <> 0",
     "scan_fhir_resources": f"SELECT CASE event_id % 7 WHEN 2 THEN 'documents' WHEN 3 THEN 'medications' WHEN 4 THEN 'conditions' ELSE 'observations' END AS stream, {KIND} || '/r' || event_id AS source_id, 'u' || user_id AS subject, {T} AS event_time, CASE WHEN event_id % 7 IN (0, 1, 4) THEN {CODING_TEXT} END AS code_coding_json, CASE WHEN event_id % 7 = 2 THEN {CODING_TEXT} END AS type_coding_json, CASE WHEN event_id % 7 = 0 THEN (event_id % 100)::VARCHAR END AS value, CASE WHEN event_id % 7 = 0 THEN 'bpm' END AS unit, CASE event_id % 7 WHEN 0 THEN 'final' WHEN 2 THEN 'current' WHEN 3 THEN 'active' END AS status FROM events WHERE event_id % 7 < 5",
@@ -168,11 +228,15 @@ ORACLE_SQL = {
     "scan_ndjson": "SELECT 2 AS schema_version, CASE WHEN event_id % 4 = 0 THEN 'e' ELSE 'k' END || event_id AS record_key, 'e' || event_id AS event_key, 'p' || user_id AS canonical_person_id, 'healthkit' AS source, 'ndjson/observations.ndjson' AS source_file, date_trunc('second', ts) AS event_time, NULL::VARCHAR AS run_id, event_type AS hk_type, CASE WHEN event_id % 3 = 0 THEN 'text' ELSE event_id::VARCHAR END AS value, CASE WHEN event_id % 3 <> 0 THEN event_id::DOUBLE END AS value_num, NULL::VARCHAR AS unit FROM events WHERE event_id % 10 > 1",
     "scan_device_drop": "SELECT 'd' || event_id AS record_key, 'run-' || (user_id % 4) AS run_id, 'ndjson/observations.ndjson' AS source_file, event_type AS hk_type, event_id || '.5' AS value, event_id + 0.5::DOUBLE AS value_num, date_trunc('second', ts) AS event_time FROM events",
     "resolve_layout": "WITH l AS (SELECT 'd' || (page_id // 7) AS drop, page_id % 5 AS k FROM pages), m AS (SELECT drop, MIN(k) AS root FROM l WHERE k IN (0, 2) GROUP BY 1) SELECT m.drop, CASE root WHEN 0 THEN '.' ELSE 'apple_health_export' END AS root, 'export.xml' AS export, MAX(CASE WHEN root = 0 AND k = 3 THEN 'export_cda.xml' END) AS cda, MAX(CASE WHEN root = 0 AND k = 1 THEN 'clinical/clinical-records' WHEN root = 2 AND k = 4 THEN 'clinical_records' END) AS clinical_dir FROM m JOIN l ON l.drop = m.drop GROUP BY 1, 2",
-    "file_inventory": f"SELECT k, octet_length(encode(content))::BIGINT AS length FROM {LEAST}",
-    "staging_manifest": f"SELECT k, octet_length(encode(content))::BIGINT AS size, sha256(content) AS sha256 FROM {LEAST}",
-    "export_ndjson_lines": EVENTS_SQL + "SELECT '{\"canonical_person_id\":\"' || canonical_person_id || '\",\"code\":' || COALESCE('\"' || code || '\"', 'null') || ',\"record_key\":\"' || record_key || '\",\"source\":\"' || source || '\"}' AS line FROM ev",
+    "file_inventory": f"SELECT k, octet_length(encode(content))::BIGINT AS length FROM {STAGED}",
+    "staging_manifest": f"SELECT k, octet_length(encode(content))::BIGINT AS size, sha256(content) AS sha256 FROM {STAGED}",
+    "export_ndjson_lines": EVENTS_SQL + f"SELECT stream, {_LINE} AS line FROM ev",
+    "export_device_lines": "SELECT 'd' || event_id AS record_key, '{\"record_key\":\"d' || event_id || '\",\"sample_type\":\"' || event_type || '\",\"start_time\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\",\"value_num\":' || value || '}' AS line FROM events",
+    "csv_result": EVENTS_SQL + "SELECT record_key || ',' || COALESCE(strftime(event_time, '%Y-%m-%dT%H:%M:%SZ'), '') || ',' || COALESCE(status, '') || ',' || CASE WHEN code IS NULL THEN stream ELSE '\"' || stream || ',' || code || '\"' END AS line FROM ev",
+    "report_sinks": EVENTS_SQL + f", t AS (SELECT s.stream, COUNT(ev.stream) AS n FROM (VALUES ('observations'), ('documents'), ('medications'), ('conditions')) s(stream) LEFT JOIN ev ON ev.stream = s.stream GROUP BY 1), p AS (SELECT stream, COUNT(DISTINCT canonical_person_id) AS n FROM ev GROUP BY 1 UNION ALL SELECT 'all', COUNT(DISTINCT canonical_person_id) FROM ev), d AS ({_DAYS}) SELECT 'csv' AS kind, 'totals' AS report, 'stream,rows' AS line UNION ALL SELECT 'csv', 'totals', stream || ',' || n FROM t UNION ALL SELECT 'csv', 'people', 'stream,people' UNION ALL SELECT 'csv', 'people', stream || ',' || n FROM p UNION ALL SELECT 'csv', 'days', 'day,stream,source,rows' UNION ALL SELECT 'csv', 'days', day || ',' || stream || ',' || source || ',' || n FROM d UNION ALL SELECT 'json', 'totals', '{{\"rows\":' || n || ',\"stream\":\"' || stream || '\"}}' FROM t UNION ALL SELECT 'json', 'people', '{{\"people\":' || n || ',\"stream\":\"' || stream || '\"}}' FROM p UNION ALL SELECT 'json', 'days', '{{\"day\":\"' || day || '\",\"rows\":' || n || ',\"source\":\"' || source || '\",\"stream\":\"' || stream || '\"}}' FROM d",
+    "scan_fhir_files": "SELECT 'conditions' AS stream, 'Condition/s' || s_suppkey AS source_id, 'u' || s_nationkey AS subject, '2020-01-01T00:00:00Z' AS event_time, '[{\"system\":\"s\",\"code\":\"c' || s_nationkey || '\"}]' AS code_coding_json, NULL::VARCHAR AS type_coding_json, NULL::VARCHAR AS value, NULL::VARCHAR AS unit, NULL::VARCHAR AS status FROM supplier WHERE s_suppkey % 7 <> 0",
     "load_tables": EVENTS_SQL + "SELECT * FROM ev",
-    "partitioned_events": EVENTS_SQL + f"SELECT stream, {LABEL} AS record_type, COUNT(*) AS rows, COUNT(DISTINCT canonical_person_id) AS people FROM ev GROUP BY 1, 2",
+    "partitioned_events": EVENTS_SQL + "SELECT COALESCE(CAST(event_time AS DATE)::VARCHAR, 'none') AS day, stream, COUNT(*) AS rows, COUNT(DISTINCT canonical_person_id) AS people FROM ev WHERE regexp_extract(record_key, '([0-9]+)$', 1)::BIGINT % 5 <> 0 GROUP BY 1, 2",
     "stream_incremental": "SELECT 'p' || user_id AS canonical_person_id, COUNT(*) + COUNT(*) FILTER (event_id % 4 = 0) AS rows FROM events GROUP BY 1",
     "stream_append_if_absent": "SELECT 'k' || event_id AS record_key, 'p' || user_id AS canonical_person_id, date_trunc('second', ts) AS event_time FROM events",
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, COUNT(*) + COUNT(*) FILTER (event_id % 4 = 0) AS rows FROM events GROUP BY 1",

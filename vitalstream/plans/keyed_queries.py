@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import keyed
+from ..sources.sinks import SIX_KEYS
 from ..sources.tables import EVENTS_SQL, all_events, table
 from .scalar_queries import PATHS, allowlist_paths, paths
 
@@ -21,6 +22,13 @@ def resolve_person(spark, sf):
     return keyed.resolve_person(rows, known).select("o_orderkey", "canonical_person_id")
 
 
+def resolve_default(spark, sf):
+    """With one known person all rows without an own mapping are that person's."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("cust").alias("system"), F.col("o_custkey").cast("string").alias("value"))
+    known = table(spark, sf, "customer").agg(F.min("c_custkey").alias("k")).select(F.lit("cust").alias("system"), F.col("k").cast("string").alias("value"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("person"))
+    return keyed.resolve_person(rows, known, keyed.default_person(known)).select("o_orderkey", "canonical_person_id")
+
+
 def documents_keyed(spark, sf):
     return table(spark, sf, "documents").select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("record_key"), "doc_id", "source")
 
@@ -55,9 +63,9 @@ def match_by_name(spark, sf):
 def match_by_external_id(spark, sf):
     """Hits of run1 joined to the persons of run0 by fingerprint; conflict where one id points to several persons."""
     rows = hits(spark, sf).withColumn("fp", F.sha2(F.col("external_id").cast("binary"), 256))
-    people = rows.where("p_partkey < 1400 and run_id = 'run0'").select("fp", F.concat_ws(" ", "first", "last").alias("person"))
+    people = rows.where("run_id = 'run0'").select("fp", F.concat_ws(" ", "first", "last").alias("person"))
     known = people.groupBy("fp").agg(F.count_distinct("person").alias("persons"), F.min("person").alias("person"))
-    return rows.where("p_partkey % 4 > 1").join(known, "fp").select("p_partkey", "person", (F.col("persons") > 1).alias("conflict"))
+    return rows.where("run_id = 'run1'").join(known, "fp").select("p_partkey", "person", (F.col("persons") > 1).alias("conflict"))
 
 
 def manifests(spark, sf):
@@ -81,7 +89,8 @@ FILES = "(SELECT source AS drop_id, lpad(doc_id::VARCHAR, 12, '0') AS path, octe
 
 def fingerprint_sql(fields):
     line = " || '|' || ".join(fields)
-    return f"SELECT drop_id, sha256(string_agg({line} || chr(10), '' ORDER BY path)) AS sha256, COUNT(*) AS file_count, SUM(size)::BIGINT AS total_bytes FROM {FILES} GROUP BY 1"
+    inner = f"SELECT drop_id, left(sha256(path), 3) AS part, sha256(string_agg({line} || chr(10), '' ORDER BY path)) AS part_sha, COUNT(*) AS n, SUM(size) AS total FROM {FILES} GROUP BY 1, 2"
+    return f"SELECT drop_id, sha256(string_agg(part_sha, '' ORDER BY part)) AS sha256, SUM(n)::BIGINT AS file_count, SUM(total)::BIGINT AS total_bytes FROM ({inner}) GROUP BY 1"
 
 
 FULL = ["path", "size", "sha"]
@@ -105,12 +114,39 @@ def register_run(spark, sf):
     return keyed.register_runs(rows.where("file_count % 2 = 0"), rows.unionByName(rows))
 
 
+def run_inputs(spark, sf):
+    """Inputs to be run: each source again, every fifth with the fingerprint that its last run had; some name a run to follow or
+    the run id that they expect."""
+    rows = run_rows(spark, sf).withColumn("no", F.substring("run_id", 2, 9).cast("int"))
+    again = F.when(F.col("no") % 5 < 2, F.col("sha256")).otherwise(F.sha2(F.concat("sha256", F.lit("+")).cast("binary"), 256))
+    return rows.select(F.concat(F.lit("in"), F.col("no").cast("string")).alias("input_id"), again.alias("sha256"), F.when(F.col("no") % 2 == 0, F.col("run_id")).alias("since"), F.when(F.col("no") % 3 == 0, F.lit("r0")).alias("expected_run_id"))
+
+
+INPUTS = "(SELECT 'in' || substr(run_id, 2) AS input_id, CASE WHEN substr(run_id, 2)::INT % 5 < 2 THEN sha256 ELSE sha256(sha256 || '+') END AS sha256, CASE WHEN substr(run_id, 2)::INT % 2 = 0 THEN run_id END AS since, CASE WHEN substr(run_id, 2)::INT % 3 = 0 THEN 'r0' END AS expected_run_id FROM " + RUNS + ")"
+
+
+def plan_runs(spark, sf):
+    """What each input's run is: its parent (the one it names, else the last), its id, and whether it is one at all."""
+    runs = run_rows(spark, sf).withColumn("created", F.substring("run_id", 2, 9).cast("int"))
+    return keyed.plan_runs(runs, run_inputs(spark, sf), "created")
+
+
+def artifacts(spark, sf):
+    """(run_id, name, path) of the files that registered runs point to."""
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("dir")) for n, d in (("report", "reports"), ("note", "note"), ("staging", "staging"), ("deid", "deid"))])).alias("a")
+    return run_rows(spark, sf).select("run_id", names).select("run_id", "a.name", F.concat_ws("/", "run_id", "a.dir", F.concat("a.name", F.lit(".json"))).alias("path"))
+
+
+def bundle_entries(spark, sf):
+    return keyed.bundle_entries(run_rows(spark, sf), artifacts(spark, sf), ("reports", "note", "deid"))
+
+
 def run_report(spark, sf):
-    """One row per run: stage flags, file counts, the manifest hash."""
+    """One row per run: rows, stages that ran, staged files, and the manifest hash over all records in key order."""
     ev = all_events(spark, sf)
-    counts = ev.groupBy("run_id").agg(F.count("*").alias("rows"), *[(F.count_if(F.col("stream") == s) > 0).alias(f"has_{s}") for s in ("observations", "documents", "medications", "conditions")])
-    keys = ev.groupBy("run_id", F.substring(F.sha2(F.col("record_key").cast("binary"), 256), 1, 1).alias("h")).agg(F.count("*").alias("n"))
-    manifest = keys.groupBy("run_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda x: F.concat(x["h"], x["n"].cast("string"))), ",").cast("binary"), 256).alias("manifest_sha256"))
+    counts = ev.groupBy("run_id").agg(F.count("*").alias("rows"), *[(F.count_if(F.col("stream") == s) > 0).alias(f"has_{s}") for s in ("observations", "documents", "medications", "conditions")], F.count_distinct("source_file").alias("staged_files"), (F.count("canonical_person_id") > 0).alias("identity_executed"), (F.count_if(F.col("source_file").like("ndjson/%")) == 0).alias("deid_executed"))
+    records = ev.select("run_id", F.col("record_key").alias("path"), F.lit(1).alias("size"))
+    manifest = keyed.fingerprint(records, "run_id", F.concat("path", F.lit("\n"))).select("run_id", F.col("sha256").alias("manifest_sha256"))
     return counts.join(manifest, "run_id")
 
 
@@ -119,12 +155,14 @@ def pseudonym_labels(spark, sf):
     return keyed.pseudonym_labels(people)
 
 
+SOURCE_ID = "CASE WHEN resource_type IS NOT NULL THEN concat(resource_type, '/', record_key) END"
+
+
 def canonical_sort(spark, sf):
-    """The six-key order, NULL as empty: the rows with their place in it."""
-    ev = all_events(spark, sf).where("stream in ('observations', 'conditions')")
-    names = ("canonical_person_id", "event_time", "source", "source_file", "code", "record_key")
-    keys = ev.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in names])
-    return keyed.numbered(keys, "place", *names).select("record_key", "place")
+    """The rows of all streams with their place in the six-key order, NULL as empty."""
+    ev = all_events(spark, sf).withColumn("source_id", F.expr(SOURCE_ID)).withColumn("event_key", F.col("record_key"))
+    keys = ev.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in SIX_KEYS])
+    return keyed.numbered(keys, "place", *SIX_KEYS).select(F.col("event_key").alias("record_key"), "place")
 
 
 def bundle_manifest(spark, sf):
@@ -193,6 +231,9 @@ QUERIES = {
     "register_run": register_run,
     "detect_no_change": lambda s, d: keyed.detect_no_change(run_rows(s, d)),
     "run_report": run_report,
+    "plan_runs": plan_runs,
+    "bundle_entries": bundle_entries,
+    "resolve_default": resolve_default,
     "apply_deletes": lambda s, d: keyed.apply_deletes(documents_keyed(s, d), documents_keyed(s, d).where("doc_id % 5 = 0"), "record_key"),
     "pseudonym_labels": pseudonym_labels,
     "canonical_sort": canonical_sort,
@@ -216,7 +257,7 @@ ORACLE_SQL = {
     "load_replace": FIRST_DOC.format(d=KEYED_DOCS, w="doc_id % 3 < 2"),
     "dedupe_keep_first": FIRST_DOC.format(d=KEYED_DOCS, w="true"),
     "match_by_name": f"WITH u AS (SELECT first, last, MIN(p_partkey) AS p_partkey FROM {HITS} WHERE run_id = 'run1' GROUP BY 1, 2 HAVING COUNT(*) = 1), p AS (SELECT first, last, MIN(external_id) AS person FROM {HITS} WHERE run_id = 'run0' GROUP BY 1, 2 HAVING COUNT(DISTINCT external_id) = 1) SELECT p_partkey, person FROM u JOIN p USING (first, last)",
-    "match_by_external_id": f"WITH k AS (SELECT external_id, COUNT(DISTINCT first || ' ' || last) AS persons, MIN(first || ' ' || last) AS person FROM {HITS} WHERE p_partkey < 1400 AND run_id = 'run0' GROUP BY 1) SELECT p_partkey, person, persons > 1 AS conflict FROM {HITS} h JOIN k USING (external_id) WHERE p_partkey % 4 > 1",
+    "match_by_external_id": f"WITH k AS (SELECT external_id, COUNT(DISTINCT first || ' ' || last) AS persons, MIN(first || ' ' || last) AS person FROM {HITS} WHERE run_id = 'run0' GROUP BY 1) SELECT p_partkey, person, persons > 1 AS conflict FROM {HITS} h JOIN k USING (external_id) WHERE run_id = 'run1'",
     "manifest_verify": f"SELECT COALESCE(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' WHEN a.size <> b.size THEN 'size_mismatch' WHEN a.sha256 <> b.sha256 THEN 'hash_mismatch' ELSE 'ok' END AS state FROM {LISTED} a FULL JOIN {ACTUAL} b ON a.path = b.path",
     "path_difference": f"SELECT 'left' AS side, path FROM (SELECT path FROM {LISTED} EXCEPT SELECT path FROM {ACTUAL}) UNION ALL SELECT 'right', path FROM (SELECT path FROM {ACTUAL} EXCEPT SELECT path FROM {LISTED})",
     "input_fingerprint": fingerprint_sql(FULL),
@@ -226,10 +267,13 @@ ORACLE_SQL = {
     "run_id": f"SELECT run_id, sha256('vitalstream-run|' || COALESCE(parent_run_id, '') || '|' || sha256) AS derived_run_id FROM {RUNS}",
     "register_run": f"SELECT * FROM {RUNS}",
     "detect_no_change": f"SELECT a.run_id, COALESCE(a.sha256 = b.sha256, false) AS no_change FROM {RUNS} a LEFT JOIN {RUNS} b ON a.parent_run_id = b.run_id",
-    "run_report": EVENTS_SQL + "SELECT run_id, rows, has_observations, has_documents, has_medications, has_conditions, manifest_sha256 FROM (SELECT run_id, COUNT(*) AS rows, bool_or(stream = 'observations') AS has_observations, bool_or(stream = 'documents') AS has_documents, bool_or(stream = 'medications') AS has_medications, bool_or(stream = 'conditions') AS has_conditions FROM ev GROUP BY 1) JOIN (SELECT run_id, sha256(string_agg(h || n, ',' ORDER BY h)) AS manifest_sha256 FROM (SELECT run_id, left(sha256(record_key), 1) AS h, COUNT(*) AS n FROM ev GROUP BY 1, 2) GROUP BY 1) USING (run_id)",
+    "run_report": EVENTS_SQL + "SELECT run_id, rows, has_observations, has_documents, has_medications, has_conditions, staged_files, identity_executed, deid_executed, manifest_sha256 FROM (SELECT run_id, COUNT(*) AS rows, bool_or(stream = 'observations') AS has_observations, bool_or(stream = 'documents') AS has_documents, bool_or(stream = 'medications') AS has_medications, bool_or(stream = 'conditions') AS has_conditions, COUNT(DISTINCT source_file) AS staged_files, COUNT(canonical_person_id) > 0 AS identity_executed, COUNT(*) FILTER (source_file LIKE 'ndjson/%') = 0 AS deid_executed FROM ev GROUP BY 1) JOIN (SELECT run_id, sha256(string_agg(h, '' ORDER BY part)) AS manifest_sha256 FROM (SELECT run_id, left(sha256(record_key), 3) AS part, sha256(string_agg(record_key || chr(10), '' ORDER BY record_key)) AS h FROM ev GROUP BY 1, 2) GROUP BY 1) USING (run_id)",
+    "plan_runs": f"WITH r AS {RUNS}, i AS {INPUTS}, last AS (SELECT arg_max(run_id, substr(run_id, 2)::INT) AS run_id FROM r), p AS (SELECT i.*, COALESCE(since, (SELECT run_id FROM last)) AS parent_run_id FROM i), f AS (SELECT p.*, r.sha256 IS NOT DISTINCT FROM p.sha256 AS same FROM p LEFT JOIN r ON r.run_id = p.parent_run_id) SELECT input_id, parent_run_id, CASE WHEN same THEN parent_run_id ELSE sha256('vitalstream-run|' || parent_run_id || '|' || sha256) END AS run_id, CASE WHEN expected_run_id <> CASE WHEN same THEN parent_run_id ELSE sha256('vitalstream-run|' || parent_run_id || '|' || sha256) END THEN 'unexpected_run_id' WHEN same THEN 'no_change' ELSE 'run' END AS state FROM f",
+    "bundle_entries": f"SELECT run_id, parent_run_id, sha256, file_count, total_bytes, a.name, run_id || '/' || a.dir || '/' || a.name || '.json' AS path FROM {RUNS}, (SELECT unnest([{{'name': 'report', 'dir': 'reports'}}, {{'name': 'note', 'dir': 'note'}}, {{'name': 'deid', 'dir': 'deid'}}]) AS a)",
+    "resolve_default": "SELECT o_orderkey, 'p' || (SELECT MIN(c_custkey) FROM customer) AS canonical_person_id FROM orders",
     "apply_deletes": f"SELECT * FROM {KEYED_DOCS} WHERE record_key NOT IN (SELECT record_key FROM {KEYED_DOCS} WHERE doc_id % 5 = 0)",
     "pseudonym_labels": f"SELECT p_partkey AS person_key, first, last, 'Patient ' || row_number() OVER (ORDER BY last, first, p_partkey) AS label FROM {HITS}",
-    "canonical_sort": EVENTS_SQL + "SELECT record_key, row_number() OVER (ORDER BY COALESCE(canonical_person_id, ''), COALESCE(event_time::VARCHAR, ''), COALESCE(source, ''), COALESCE(source_file, ''), COALESCE(code, ''), record_key) AS place FROM ev WHERE stream IN ('observations', 'conditions')",
+    "canonical_sort": EVENTS_SQL + f"SELECT record_key, row_number() OVER (ORDER BY COALESCE(event_time::VARCHAR, ''), COALESCE(canonical_person_id, ''), COALESCE(source, ''), COALESCE(source_file, ''), COALESCE({SOURCE_ID}, ''), record_key) AS place FROM ev",
     "bundle_manifest": f"SELECT path, size, sha256 FROM {PATHS} WHERE page_id % 6 = 3",
     "name_collisions": f"SELECT run_id, first, last, COUNT(*) AS hits FROM {HITS} GROUP BY 1, 2, 3 HAVING COUNT(*) > 1",
     "person_links": f"SELECT * FROM {LINKS}",

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fold_name
 from ..operators import identity, keyed, privacy, quality
-from ..sources import clinical
-from ..sources.tables import table, written
+from ..sources import clinical, files
+from ..sources.tables import new_folder, table, written
 from .keyed_queries import hits
 
 # ---- validation of lines that are broken by formula
@@ -15,9 +15,9 @@ from .keyed_queries import hits
 _FULL = (
     "concat('{\"canonical_person_id\":\"p', user_id, '\",\"source\":\"healthkit\",\"source_file\":\"', event_type, '.xml\",\"event_time\":', "
     "CASE WHEN event_id % 9 = 8 THEN 'null' ELSE '\"2024-01-01T00:00:00Z\"' END, CASE WHEN event_id % 9 = 1 THEN '' ELSE ',\"run_id\":\"r1\"' END, "
-    "',\"event_key\":\"e', event_id, '\"', CASE event_id % 9 WHEN 7 THEN '' WHEN 5 THEN ',\"schema_version\":\"2\"' ELSE ',\"schema_version\":2' END, '}')"
+    "',\"record_key\":\"e', event_id, '\"', CASE event_id % 9 WHEN 7 THEN '' WHEN 5 THEN ',\"schema_version\":\"2\"' ELSE ',\"schema_version\":2' END, '}')"
 )
-_LINE = f"CASE event_id % 9 WHEN 2 THEN '  ' WHEN 3 THEN concat('{{\"cut\": ', event_id) WHEN 4 THEN concat('[', user_id, ']') ELSE {_FULL} END"
+_LINE = f"CASE event_id % 9 WHEN 2 THEN concat(' ', chr(9)) WHEN 3 THEN concat('{{\"cut\": ', event_id) WHEN 4 THEN concat('[', user_id, ']') ELSE {_FULL} END"
 TOKENS, PATTERNS = ["purchase", "signup"], ["p1[0-9]\\b"]
 
 
@@ -26,13 +26,15 @@ def lines(spark, sf):
 
 
 L = f"(SELECT 'f' || (user_id % 5) || '.ndjson' AS file, event_id AS line_no, {_LINE} AS line, event_id FROM events)"
-EMPTY = f"SELECT file, line_no, 'empty_line' AS code, '' AS detail FROM {L} WHERE trim(line) = ''"
+EMPTY = f"SELECT file, line_no, 'empty_line' AS code, '' AS detail FROM {L} WHERE regexp_full_match(line, '\\s*')"
 BANNED = " UNION ALL ".join(
     [f"SELECT file, line_no, 'banned_token' AS code, '{t}' AS detail FROM {L} WHERE contains(line, '{t}')" for t in TOKENS]
     + [f"SELECT file, line_no, 'banned_pattern', '{p}' FROM {L} WHERE regexp_matches(line, '{p}')" for p in PATTERNS]
 )
-JSON = f"SELECT file, line_no, CASE event_id % 9 WHEN 3 THEN 'invalid_json' ELSE 'not_object' END AS code, '' AS detail FROM {L} WHERE event_id % 9 IN (3, 4)"
-KEYS = f"SELECT file, line_no, CASE WHEN event_id % 9 IN (1, 7) THEN 'missing_required_key' ELSE 'invalid_type' END AS code, CASE event_id % 9 WHEN 1 THEN 'run_id' WHEN 8 THEN 'event_time' ELSE 'schema_version' END AS detail FROM {L} WHERE event_id % 9 IN (1, 5, 7, 8)"
+JSON = f"SELECT file, line_no, CASE WHEN NOT json_valid(line) THEN 'invalid_json' ELSE 'not_object' END AS code, '' AS detail FROM {L} WHERE NOT regexp_full_match(line, '\\s*') AND (NOT json_valid(line) OR json_type(line) <> 'OBJECT')"
+_KEYS = ", ".join(f"'{k}'" for k in quality.REQUIRED)
+_TYPED = f"(SELECT file, line_no, key, json_type(line, '$.' || key) AS kind FROM (SELECT * FROM {L} WHERE json_valid(line)) , (SELECT unnest([{_KEYS}]) AS key) WHERE json_type(line) = 'OBJECT')"
+KEYS = f"SELECT file, line_no, CASE WHEN kind IS NULL THEN 'missing_required_key' ELSE 'invalid_type' END AS code, key AS detail FROM {_TYPED} WHERE kind IS NULL OR CASE key WHEN 'schema_version' THEN kind NOT IN ('BIGINT', 'UBIGINT', 'BOOLEAN') ELSE kind <> 'VARCHAR' END"
 
 
 def drops(spark, sf):
@@ -65,7 +67,7 @@ def texts(spark, sf, sql):
 
 _NOTE = f"'{{\"' || p_name || '\":[{{\"note\":\"' || {_SAW} || '\"}},1,null,true]}}'"
 _BROKEN = f"'{{\"cut\": ' || {_SAW}"
-_CDA = "'<ClinicalDocument xmlns=\"urn:x\"><recordTarget><patientRole><patient><name><given>' || split_part(p_name, ' ', 1) || '</given><family>' || split_part(p_name, ' ', 2) || '</family></name><birthTime value=\"19800102\"/></patient></patientRole></recordTarget><author><name>Dr</name></author></ClinicalDocument>'"
+_CDA = "'<ClinicalDocument xmlns=\"urn:x\"><recordTarget><patientRole><patient><name use=\"L\"><given>' || split_part(p_name, ' ', 1) || '</given><family>' || split_part(p_name, ' ', 2) || '</family></name><birthTime value=\"19800102\"/></patient><providerOrganization><name>Clinic ' || p_partkey || '</name></providerOrganization></patientRole></recordTarget><author><name>' || split_part(p_name, ' ', 2) || ', ' || upper(split_part(p_name, ' ', 1)) || '</name></author></ClinicalDocument>'"
 
 
 def redacted_sql(text):
@@ -77,13 +79,22 @@ _SEEN = "'Saw Patient ' || n || ' and Patient ' || n || ' today, x' || p_name"
 
 def redact_patient(spark, sf):
     rows = clinical.valid_resources(clinical.raw_resources(spark, sf)).where("kind = 'Patient'").select("event_id", "text", F.lit("Patient 1").alias("label"))
-    return privacy.redact_patients(rows, "text", "label").select("event_id", "text")
+    return privacy.redact_patients(rows, "text", "label", people(spark, sf)).select("event_id", "text")
 
 
 def redact_cda(spark, sf):
-    out = privacy.redact_cdas(texts(spark, sf, _CDA).withColumn("label", F.lit("Patient 1")), "text", "label")
+    out = privacy.redact_cdas(texts(spark, sf, _CDA).withColumn("label", F.lit("Patient 1")), "text", "label", people(spark, sf))
     pick = lambda p: F.expr(f"xpath_string(text, \"{p}\")")
-    return out.select("p_partkey", pick("//*[name()='ns0:patientRole']//*[name()='ns0:name']").alias("name"), pick("//*[name()='ns0:birthTime']/@value").alias("birth"), pick("//*[name()='ns0:author']/*[name()='ns0:name']").alias("author"))
+    name = lambda *path: pick("".join(f"//*[name()='ns0:{p}']" if not i else f"/*[name()='ns0:{p}']" for i, p in enumerate(path)))
+    return out.select("p_partkey", name("patient", "name").alias("name"), name("providerOrganization", "name").alias("provider"), pick("//*[name()='ns0:birthTime']/@value").alias("birth"), name("author", "name").alias("author"))
+
+
+def redacted_manifest(spark, sf):
+    """The redacted texts as files, one for each 64 parts, and the manifest of what was written: sizes and hashes of the output."""
+    root = new_folder(spark, "redacted")
+    rows = privacy.redact_names(texts(spark, sf, _SAW), "text", people(spark, sf)).withColumn("k", F.expr("p_partkey div 64"))
+    rows.repartition("k").sortWithinPartitions("k", "p_partkey").select("k", F.col("text").alias("value")).write.partitionBy("k").text(root)
+    return files.manifest(spark, root).select(F.regexp_extract("path", "/k=(\\d+)/", 1).cast("long").alias("k"), "size", "sha256")
 
 
 # ---- identity
@@ -122,10 +133,13 @@ def hk_type_counts(spark, sf):
     return raw.select(F.explode(F.regexp_extract_all("xml", F.lit("<Record[^>]*\\btype=[\"']([^\"']+)[\"']"), F.lit(1))).alias("hk_type")).groupBy("hk_type").agg(F.count("*").alias("n"))
 
 
+_EXPORT = "concat('<Record type=\"HK', event_type, '\"/>', chr(10), CASE WHEN event_id % 3 = 0 THEN concat('<Workout/><Record', chr(10), ' type=\"x\"/>') ELSE '<record/>' END, chr(10))"
+
+
 def record_estimate(spark, sf):
-    """Estimated records and newlines of the texts of each source."""
-    docs = table(spark, sf, "documents")
-    return docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("(?i)the"))).alias("records"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("newlines"))
+    """Estimated records (start tags of device records) and newlines of the raw exports of each user, without parsing them."""
+    raw = table(spark, sf, "events").select("user_id", F.expr(_EXPORT).alias("xml"))
+    return raw.groupBy("user_id").agg(F.sum(F.regexp_count("xml", F.lit("<Record"))).alias("records"), F.sum(F.regexp_count("xml", F.lit("\n"))).alias("newlines"))
 
 
 def resource_type_counts(spark, sf):
@@ -148,6 +162,7 @@ QUERIES = {
     "redact_fallback": lambda s, d: privacy.redact_names(texts(s, d, _BROKEN), "text", people(s, d), as_json=True),
     "redact_patient": redact_patient,
     "redact_cda": redact_cda,
+    "redacted_manifest": redacted_manifest,
     "patient_hits": patient_hits,
     "walk_resources": lambda s, d: clinical.walk(clinical.raw_resources(s, d).select("file", F.concat(F.lit('{"resourceType":"Bundle","entry":[{"resource":'), "text", F.lit("}]}")).alias("text"))).select("file", "path", "kind"),
     "assign_person": assign_person,
@@ -168,12 +183,13 @@ ORACLE_SQL = {
     "redact_names": redacted_sql(_SEEN),
     "redact_json_strings": redacted_sql(f"'{{\"' || p_name || '\":[{{\"note\":\"' || {_SEEN} || '\"}},1,null,true]}}'"),
     "redact_fallback": redacted_sql(f"'{{\"cut\": ' || {_SEEN}"),
-    "redact_patient": "SELECT event_id, '{\"resourceType\":\"Patient\",\"id\":\"u' || user_id || '\",\"birthDate\":\"1900-01-01\",\"name\":[{\"text\":\"Patient 1\"}],\"identifier\":[{\"system\":\"mrn\",\"value\":\"m' || (user_id % 60) || '\"},{\"system\":\"\",\"value\":\"x\"}]}' AS text FROM events WHERE event_id % 7 = 5",
-    "redact_cda": "SELECT p_partkey, 'Patient 1' AS name, '19000101' AS birth, 'Dr' AS author FROM part",
+    "redact_patient": "SELECT event_id, '{\"resourceType\":\"Patient\",\"id\":\"u' || user_id || '\",\"birthDate\":\"1900-01-01\",\"name\":[{\"given\":[\"Patient\"],\"family\":\"1\",\"text\":\"Patient 1\"}],\"identifier\":[{\"system\":\"mrn\",\"value\":\"m' || (user_id % 60) || '\"},{\"system\":\"\",\"value\":\"x\"}]}' AS text FROM events WHERE event_id % 7 = 5",
+    "redact_cda": redacted_sql("'Patient 1' AS name, 'Clinic ' || p_partkey AS provider, '19000101' AS birth, 'Patient ' || n").replace(" AS text ", " AS author "),
+    "redacted_manifest": f"SELECT p_partkey // 64 AS k, octet_length(encode(content))::BIGINT AS size, sha256(content) AS sha256 FROM (SELECT p_partkey // 64 AS p_partkey, string_agg(text || chr(10), '' ORDER BY p_partkey) AS content FROM ({redacted_sql(_SEEN)}) GROUP BY 1)".replace("SELECT p_partkey // 64 AS k, octet", "SELECT p_partkey AS k, octet"),
     "patient_hits": "SELECT event_id, 'ann' || (user_id % 40) AS first, 'lee' || (user_id % 7) AS last, '[{\"system\":\"fhir:id\",\"value\":\"u' || user_id || '\"},{\"system\":\"mrn\",\"value\":\"m' || (user_id % 60) || '\"}]' AS ids FROM events WHERE event_id % 7 = 5",
     "walk_resources": f"SELECT 'clinical-records/' || event_id || '.json' AS file, '$' AS path, 'Bundle' AS kind FROM events WHERE NOT (event_id % 7 = 6 AND event_id % 2 = 0) UNION ALL SELECT 'clinical-records/' || event_id || '.json', '$.entry[000000].resource', {KIND} FROM events WHERE event_id % 7 < 6",
     "tag_counts": "SELECT regexp_replace(t, '^[^:]*:', '') AS tag, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<\\s*([A-Za-z_][A-Za-z0-9_.:-]*)', 1)) AS t FROM pages) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
     "hk_type_counts": "SELECT 'HK' || event_type AS hk_type, COUNT(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'HKOther', COUNT(*) FROM events",
-    "record_estimate": "SELECT source, SUM(len(regexp_extract_all(text, '(?i)the')))::BIGINT AS records, SUM(len(regexp_extract_all(text, chr(10))))::BIGINT AS newlines FROM documents GROUP BY 1",
+    "record_estimate": f"SELECT user_id, SUM(len(regexp_extract_all(xml, '<Record')))::BIGINT AS records, SUM(len(regexp_extract_all(xml, chr(10))))::BIGINT AS newlines FROM (SELECT user_id, {_EXPORT} AS xml FROM events) GROUP BY 1",
     "resource_type_counts": f"SELECT resource_type, COUNT(*) AS n FROM (SELECT {KIND} AS resource_type FROM events ORDER BY 'clinical-records/' || event_id || '.json' LIMIT 200) WHERE resource_type IS NOT NULL GROUP BY 1",
 }

@@ -40,7 +40,7 @@ UNION ALL SELECT 5, 'event_time_range=' || COALESCE(strftime(min_event_time, {ST
 UNION ALL SELECT CASE stream WHEN 'observations' THEN 6 WHEN 'documents' THEN 7 WHEN 'medications' THEN 8 ELSE 9 END, 'totals.' || stream || '=' || rows FROM ({TOTALS})
 UNION ALL SELECT CASE source WHEN 'healthkit' THEN 10 WHEN 'fhir' THEN 11 ELSE 12 END, 'sources.' || source || '=' || rows FROM ({SOURCES})
 UNION ALL SELECT 13, 'signals.top_observations=' || string_agg(label || ':' || rows, ';' ORDER BY rows DESC, label NOT LIKE 'HK%', label) FROM ({SIGNALS}) HAVING COUNT(*) > 0
-UNION ALL SELECT 14, 'No names, dates of birth, or identifying text included.'"""
+UNION ALL SELECT 14, 'Figures only: names, dates of birth and texts stay out.'"""
 
 
 def adhoc_sql(spark, sf):

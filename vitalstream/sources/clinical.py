@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,22 +74,46 @@ def patient_ids(text: str = "text") -> Column:
     return external_ids(F.get_json_object(text, "$.id"), F.get_json_object(text, "$.identifier"))
 
 
+def _nested(value) -> Iterator[tuple[str, str, str]]:
+    """(path, kind, text) of every object in a parsed value that has a resourceType, in document order."""
+    waiting = [("$", value)]
+    while waiting:
+        path, value = waiting.pop()
+        if isinstance(value, dict):
+            if isinstance(kind := value.get("resourceType"), str):
+                yield path, kind, json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+            waiting += reversed([(f"{path}.{key}", x) for key, x in value.items()])
+        elif isinstance(value, list):
+            waiting += reversed([(f"{path}[{i:06}]", x) for i, x in enumerate(value)])
+
+
 def walk(raw: DataFrame) -> DataFrame:
-    """(file, path, kind, text): every nested object that has a resourceType, whatever its depth.
+    """(file, path, kind, text): every nested object that has a resourceType, whatever its depth, of raw (file, text).
 
-    A recursive query explodes one level of each variant at a time; array positions in the path are zero-padded, so paths
-    sort in document order within arrays.
+    A document is walked in its task, in one pass; array positions in the path are zero-padded, so paths sort in document
+    order within arrays. Text that is no JSON, or too deeply nested to be read, gives no row.
     """
-    raw.select("file", F.try_parse_json("text").alias("v")).where("v is not null").createOrReplaceTempView("walk_input")
-    return raw.sparkSession.sql("""
-      WITH RECURSIVE nodes(file, path, v, depth) AS (
-        SELECT file, '$' AS path, v, 0 AS depth FROM walk_input
-        UNION ALL
-        SELECT n.file, n.path || CASE WHEN e.key IS NULL THEN '[' || lpad(CAST(e.pos AS STRING), 6, '0') || ']' ELSE '.' || e.key END, e.value, n.depth + 1
-        FROM nodes n, LATERAL variant_explode(n.v) e
-        WHERE schema_of_variant(n.v) LIKE 'OBJECT%' OR schema_of_variant(n.v) LIKE 'ARRAY%')
-      SELECT file, path, try_variant_get(v, '$.resourceType', 'string') AS kind, to_json(v) AS text FROM nodes
-      WHERE schema_of_variant(v) LIKE 'OBJECT%' AND try_variant_get(v, '$.resourceType', 'string') IS NOT NULL""")
-
-
-__all__ = ["CODINGS", "field", "patient_ids", "patient_name", "raw_resources", "resource_rows", "valid_resources", "walk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += [(file, *found) for found in _nested(json.loads(text or ""))]
+                except (ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 4)], ["file", "path", "kind", "text"])
+
+    return raw.select("file", "text").mapInArrow(run, "file string, path string, kind string, text string")
+
+
+def resource_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): one row per clinical JSON file below path, whatever its lines; file is the path below the folder.
+
+    A file is one resource (or one bundle) and is read whole, as the format asks for; many files are read side by side.
+    """
+    name = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?" + re.escape(path.rstrip("/").split(":")[-1]) + "/", "")
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("text"))
+
+
+__all__ = ["CODINGS", "field", "patient_ids", "patient_name", "raw_resources", "resource_files", "resource_rows", "valid_resources", "walk"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from io import BytesIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,25 +25,35 @@ def healthkit_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("record_key", content_key("event_time", "hk_type", "unit", "value"))
 
 
+def cda_documents(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content): the clinical documents below root, one a row. One document is one XML tree, so a file is not split; a
+    file over 2 GB, the bound of a cell, fails."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.col("path").alias("file"), "content")
+
+
 def cda_observations(documents: DataFrame) -> DataFrame:
     """documents (file, content) to one row per observation element at any depth, from its own children only.
 
-    The XML reader's row tag would return the outer one of nested observations alone; so each document is parsed as a
-    stream in its task. Text that is no XML gives no row.
+    The XML reader's row tag would return the outer one of nested observations alone; so each document is parsed in its task,
+    element by element: an observation's parts are dropped once it has been read. Text that is no XML gives no row.
     """
 
-    def of(content: bytes) -> Iterator[tuple]:
+    def of(content: bytes) -> list[tuple]:
         local = lambda e: e.tag.rpartition("}")[2]
+        rows = []
         try:
-            elements = [e for e in ET.fromstring(content).iter() if local(e) == "observation"]
+            for _, e in ET.iterparse(BytesIO(content)):
+                if local(e) == "observation":
+                    child = {}
+                    for x in e:
+                        child.setdefault(local(x), x.attrib)
+                    get = lambda name, key: child.get(name, {}).get(key)
+                    rows.append((get("effectiveTime", "value"), get("code", "code"), get("value", "value"), get("value", "unit")))
+                    e.clear()
         except ET.ParseError:
-            return
-        for e in elements:
-            child = {}
-            for x in e:
-                child.setdefault(local(x), x)
-            get = lambda name, key: child[name].get(key) if name in child else None
-            yield get("effectiveTime", "value"), get("code", "code"), get("value", "value"), get("value", "unit")
+            return []
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +118,31 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
 
 
+#: Files up to so many bytes are hashed as one cell; larger ones in chunks of CHUNK bytes.
+ONE_CELL = 256 << 20
+CHUNK = 1 << 20
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, sha256) of all files below root, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of all files below root, hashed where they are read; a large file is read as a stream."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    small = found.where(F.col("length") <= ONE_CELL).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column(0).to_pylist():
+                # Spark writes a local path as file:/..., which is no URI for Arrow.
+                system, inside = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(inside) as stream:
+                    while chunk := stream.read(CHUNK):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["path", "size", "sha256"])
+
+    large = found.where(F.col("length") > ONE_CELL).select("path", F.col("length").alias("size"))
+    return small.unionByName(large.mapInArrow(hashed, "path string, size long, sha256 string"))
 
 
 #: The folders that may hold clinical records, the first existing one counts.

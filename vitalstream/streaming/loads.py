@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import keep_first
+from ..sources.tables import COLUMNS, STREAMS
 
 DROP = "record_key string, canonical_person_id string, event_time timestamp, value double"
+LOADED = ", ".join(f"{c} {'timestamp_ntz' if c == 'event_time' else 'string'}" for c in COLUMNS if c != "stream")
 
 
 def incremental(spark: SparkSession, drops: str, sink: str, checkpoint: str) -> None:
@@ -19,34 +21,43 @@ def incremental(spark: SparkSession, drops: str, sink: str, checkpoint: str) ->
 def replay_safe(spark: SparkSession, drops: str, tables: str, checkpoint: str, files_per_batch: int = 1000) -> None:
     """Load drops so that a record key comes once, however often a drop is replayed.
 
-    The table is its own state: each batch keeps the first row of each key and appends those the table has not. A batch
-    writes under its number and overwrites, so a batch that runs again after a failure leaves one copy.
+    The keys seen so far are the stream's state, dealt over the shuffle partitions and kept with the checkpoint, so no batch
+    reads what earlier ones wrote; the sink commits each batch once.
     """
+    rows = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).json(drops).dropDuplicates(["record_key"])
+    rows.writeStream.format("parquet").option("path", tables).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def load(batch: DataFrame, number: int) -> None:
-        earlier = [p for n in range(number) if (p := f"{tables}/batch={n}")]
-        new = keep_first(batch, "record_key", "event_time", "canonical_person_id", "value")
-        if earlier:
-            old = batch.sparkSession.read.schema(DROP).parquet(*earlier)
-            new = new.join(old.select("record_key"), "record_key", "left_anti")
-        new.select("record_key", "canonical_person_id", "event_time", "value").write.mode("overwrite").parquet(f"{tables}/batch={number}")
 
-    rows = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).json(drops)
-    rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def daily_counts(spark: SparkSession, drops: str, out: str, checkpoint: str) -> str:
-    """Daily counts kept current: state is one row per day; returns the folder of the last full result."""
-    last = {}
+def daily_counts(spark: SparkSession, drops: str, out: str, checkpoint: str) -> DataFrame:
+    """(day, rows) kept current: state is one row per day. Each run with new files writes the full result below out; what is
+    returned is the last one written, also after a run that found nothing new."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        last["path"] = f"{out}/batch={number}"
 
     rows = spark.readStream.schema(DROP).json(drops).where("event_time is not null")
     counts = rows.groupBy(F.window("event_time", "1 day").alias("w")).agg(F.count("*").alias("rows"))
     counts = counts.select(F.to_date("w.start").alias("day"), "rows")
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return last["path"]
-
-
+    written = spark.read.schema("day date, rows long, batch long").parquet(out)
+    return written.where(F.col("batch") == (written.agg(F.max("batch")).first()[0] or 0)).select("day", "rows")
+
+
+def load_streams(rows: DataFrame, tables: str) -> None:
+    """Append rows to a table per stream, created if absent: the first row of each record key that the table has not."""
+    spark = rows.sparkSession
+    columns = [c for c in COLUMNS if c != "stream"]
+    for stream in STREAMS:
+        path = f"{tables}/{stream}"
+        spark.createDataFrame([], LOADED).write.mode("append").parquet(path)
+        new = keep_first(rows.where(F.col("stream") == stream).select(*columns), "record_key", *[c for c in columns if c != "record_key"])
+        old = spark.read.schema(LOADED).parquet(path)
+        new.join(old.select("record_key"), "record_key", "left_anti").select(*columns).write.mode("append").parquet(path)
+
+
+def loaded_streams(spark: SparkSession, tables: str) -> DataFrame:
+    """The tables of load_streams() as one, with their stream."""
+    first, *rest = [spark.read.schema(LOADED).parquet(f"{tables}/{s}").select(F.lit(s).alias("stream"), "*") for s in STREAMS]
+    for df in rest:
+        first = first.unionByName(df)
+    return first
