@@ -32,7 +32,7 @@ DEPTH = 5
 END = b"\n"  # closes a text; words hold no white space, so it is no part of one
 HALF = log(0.5)
 #: Documents of about so many characters, and about so many of them at most, make a block.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 BLOCK_ROWS = 20_000
 #: Equal rows that come to more than this part of a block, by number or characters, are scored as one row with a count.
 REPEATED = 16
@@ -45,7 +45,7 @@ ASKED_BYTES = 64 << 20
 #: Keys whose subtree is worked on at once, but for larger subtrees of three bytes.
 SEGMENT = 50_000
 #: Bytes of text that a task packs at once.
-PACKED = 32 << 20
+PACKED = 16 << 20
 
 
 # ---- grams and words of a block
