@@ -62,6 +62,46 @@ def test_models_add_spans_and_spare_identifiers(documents):
     assert got[901] == ""
 
 
+def test_markov_spans_match_brute_force(documents):
+    """The models by their definition, over all candidates, in plain Python."""
+    rng = __import__("random").Random(8)
+    rand = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    rows = [(i, f"{rand(25)} api_key={rand(30)} {word()}{word()}_{word()}{word()}{word()}_end {word().upper()}-{rand(12)}{word()}{word()} x", "en", "a") for i in range(60)]
+    texts = dict((i, t) for i, t, *_ in rows)
+    bases = {i: brute(t) for i, t in texts.items()}
+    free = {i: [m for m in re.finditer(secrets.CANDIDATE, t) if not any(b[0] < m.end() and m.start() < b[2] for b in bases[i])] for i, t in texts.items()}
+    positive = {v for i, t in texts.items() for _, pattern, least, group in PATTERNS for m in pattern.finditer(t) if len(v := m[group]) >= max(least, 16) and re.fullmatch("[A-Za-z0-9+/_=-]+", v)}
+    negative = {m[0] for ms in free.values() for m in ms if re.fullmatch(secrets.IDENTIFIER.strip("^$"), m[0])}
+    assert positive and negative
+    letters, weight = secrets.ALPHABET, 4.0
+    chain = []
+    for sample in (negative, positive):
+        counts = __import__("collections").Counter(p for v in sample for p in zip("^" + v, v))
+        first, second = __import__("collections").Counter(), __import__("collections").Counter()
+        for (a, b), n in counts.items():
+            first[a] += n
+            second[b] += n
+        total = sum(counts.values())
+        chain.append(lambda a, b, counts=counts, first=first, second=second, total=total: (counts[a, b] + weight * (second[b] + weight) / (total + weight * len(letters))) / (first[a] + weight))
+    ratio = lambda v: sum(__import__("math").log(chain[1](a, b) / chain[0](a, b)) for a, b in zip("^" + v, v)) / len(v)
+    want = {i: {(m.start(), m.end()) for m in ms if ratio(m[0]) > 0.5} for i, ms in free.items()}
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "markov"} for r in secrets.scan(documents(rows)).collect()}
+    assert got == want and any(want.values()) and any(len(want[i]) < len(free[i]) for i in want)
+
+
+def test_texts_with_very_many_matches(documents):
+    """A text of many thousand matches takes time by their number, not its square."""
+    text = "".join(f"{i:032x} token=abc{i:06} é " for i in range(30_000))
+    rows = [(1, text, "en", "a"), (2, "short token=abcdef1", "en", "a")]
+    start = __import__("time").monotonic()
+    found = secrets.report(documents(rows)).collect()
+    out = {r.doc_id: r.text for r in secrets.redact(documents(rows)).collect()}
+    assert __import__("time").monotonic() - start < 60
+    check(found, dict((i, t) for i, t, *_ in rows))
+    assert out[1] == "[secret] [secret] é " * 30_000 and out[2] == "short [secret]"
+
+
 def test_redaction_and_empty_table(documents):
     frame = documents([r for r in TRICKY if r[0] not in (6, 7)]).selectExpr("*", "'own' AS spans", "1 AS secret_key", "2 AS secret_spans")
     out = {r.doc_id: r for r in secrets.redact(frame).collect()}
