@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .skew import spread_join
 
 
-def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b", rounds: int = 60, drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
     """(id, component): for every id with a link the smallest id that links reach.
 
-    keep cuts a round's lineage (a checkpoint or a written table). A round keeps at most one row per link, so a hub costs as
+    keep cuts a round's lineage (a checkpoint or a written table), and drop frees what keep gave for an earlier round. A round keeps at most one row per link, so a hub costs as
     many rows as it has links; its minimum is pre-aggregated, and the join that brings it back spreads a hub's rows over
     several tasks. The loop ends when a round changes nothing; after `rounds` it raises.
     """
@@ -26,8 +26,9 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str
         large = spread_join(both.where("v > u"), low, ["u"], F.col("v"), before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = spread_join(large, least, ["u"], F.col("v"), before[0])
-        edges = keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, edges = edges, keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = state(edges)
+        drop(old)
         if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(roots)

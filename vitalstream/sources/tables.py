@@ -101,13 +101,20 @@ UNION ALL SELECT 'conditions', 'con:' || c_custkey, 'p' || (c_custkey % 150), 'f
 """
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place (spark.checkpoint.dir; a local one only where that is unset)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a folder of the warehouse takes
+    its place; a temporary one of this machine only where Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="vitalstream-")
+        alone = spark.sparkContext.master.startswith("local")
+        base = tempfile.mkdtemp(prefix="vitalstream-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vitalstream"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
