@@ -1,19 +1,22 @@
 """Removal of repeated passages by distributed prefix doubling.
 
-Strings get names of 64 bits, equal for equal strings: a string of 2n bytes is named by the pair of the names at its start
-and at offset n, as prefix doubling ranks it by a pair of ranks, so names of 2, 4, ..., 128 bytes come from one pass over a
-text. Spark compares names at growing lengths and drops what is unique, until the strings are LENGTH bytes long:
+A string's rank is its place among the strings of its length. Prefix doubling sorts pairs, the rank of a string's first part
+and what names its second part, at growing lengths; equal pairs have one rank, and what is alone is dropped. Spark sorts the
+pairs by ranges and counts the earlier ranges' rows. The lengths:
 
-1. FIRST bytes, at one place of each string of LENGTH bytes only: where the name is least of all in the string. Equal strings
+1. FIRST bytes, at one place of each string of LENGTH bytes only: where their name is least of all in the string. Equal strings
    have equal such places, so where none is shared nothing repeats. Neighbouring strings mostly have the same place; they
    are one run.
-2. A whole run. Runs that repeat as a whole are decided. What remains are the ends of repeated passages: places whose
-   surroundings differ somewhere among their occurrences. One run of each kind goes on.
-3. STEP neighbouring strings of such a run, grouped by the bytes that all of them share: unique ones go, groups that have the
-   same bytes all over are decided, and only from the others
-4. strings of LENGTH bytes are compared one by one.
-
-The texts are read twice more: for the runs that go to step 3, and to cut the result.
+2. A whole run: the rank of its place and the name of its bytes. Runs that repeat as a whole are decided. What remains are the
+   ends of repeated passages: places whose surroundings differ somewhere among their occurrences. One run of each rank goes on.
+3. STEP neighbouring strings of such a run, ranked by the bytes that all of them share and then by all their bytes: unique ones
+   go, those that are the same all over are decided, and only from the others
+4. strings of LENGTH bytes are compared one by one, by the rank of their first half and the name of the whole.
+
+A name is a hash of 64 bits, computed inside a text from pairs of names at offsets 1, 2, 4, ..., 64; equality is told by two
+names, so by 128 bits. Ranks for every byte of the corpus at those offsets would each be shuffled with it, many times the
+size of the input; so ranks start at FIRST bytes. The texts are read twice more: for the runs that go to step 3, and to cut
+the result. Joins on a rank spread a frequent one over several tasks.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keyed import numbered
+from ..operators.skew import spread_join
 from .common import materialize, release
 
 LENGTH = 200
@@ -118,28 +123,34 @@ def parts(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int], lis
         yield b"".join(held), owner, shift, ends
 
 
+#: What tells texts apart: id and hash of id and text; equal rows share both.
+KEY = ["id", "rid"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: '') and rid, which tells texts under one id apart; equal rows share both."""
+    """doc_id, text (null: '') and KEY."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-1).cast("long")).alias("id"), F.xxhash64(doc_id, text).alias("rid"))
 
 
 def all_runs(texts: DataFrame) -> DataFrame:
-    """(rid, s, n, off, place, run) of every text of keyed(): first start, count, offset, and the two names."""
+    """(id, rid, s, n, off, place, run) of every text of keyed(): first start, count, offset, and the two names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for raw, owner, shift, ends in parts([t.encode() for t in batch.column(1).to_pylist()]):
+            key = [batch.column(i).to_numpy() for i in (0, 1)]
+            for raw, owner, shift, ends in parts([t.encode() for t in batch.column(2).to_pylist()]):
                 s, n, off, place, name = runs(np.frombuffer(raw, np.uint8), np.array(ends))
                 piece = np.searchsorted(ends, s, side="right")
                 begin = np.array([0, *ends[:-1]], np.int64)[piece] - np.array(shift, np.int64)[piece]
+                own = np.array(owner, np.int64)[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[np.array(owner, np.int64)[piece]]), pa.array(s - begin), pa.array(n), pa.array(off), pa.array(place.view(np.int64)), pa.array(name.view(np.int64))],
-                    ["rid", "s", "n", "off", "place", "run"],
+                    [pa.array(key[0][own]), pa.array(key[1][own]), pa.array(s - begin), pa.array(n), pa.array(off), pa.array(place.view(np.int64)), pa.array(name.view(np.int64))],
+                    [*KEY, "s", "n", "off", "place", "run"],
                 )
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, s long, n long, off long, place long, run long")
+    return texts.select(*KEY, "text").mapInArrow(run, "id long, rid long, s long, n long, off long, place long, run long")
 
 
 def _steps(raw: bytes, n: int, off: int) -> tuple[np.ndarray, ...]:
@@ -158,29 +169,40 @@ def _steps(raw: bytes, n: int, off: int) -> tuple[np.ndarray, ...]:
     return step, lo, hi, core, same(whole)
 
 
+def counted(rows: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    """(keys, c, more): one row for each pair of keys, with the number of rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("c"), *[x.alias(k) for k, x in more.items()])
+
+
+def found_in(rows: DataFrame, other: DataFrame, keys: list[str], number: str, *columns: str) -> DataFrame:
+    """rows with columns of other by keys, a frequent key spread; number is other's column of how many rows a key has."""
+    return spread_join(rows, other.select(*keys, *columns), keys, F.xxhash64(*[c for c in rows.columns if c not in keys]), rows.count(), counts=other.select(*keys, F.col(number).alias("_rows")))
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(rid, s, n): n neighbouring starts, from s on, of strings that start elsewhere, too."""
+    """(id, rid, s, n): n neighbouring starts, from s on, of strings that start elsewhere, too."""
     every = materialize(all_runs(texts))
-    shared = every.groupBy("place").agg(F.count("*").alias("c")).where("c > 1").select("place")
-    live = materialize(every.join(shared, "place"))
+    places = numbered(counted(every, "place").where("c > 1"), "rank", "place")
+    live = materialize(found_in(every, places, ["place"], "c", "rank").drop("place"))
     release(every)  # the largest of the tables
-    kinds = live.groupBy("place", "run").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s", "n", "off")).alias("one"))
-    kinds = materialize(kinds)
-    several = kinds.groupBy("place").agg(F.count("*").alias("kinds")).where("kinds > 1").select("place")
-    sure = live.join(kinds.where("c > 1").select("place", "run"), ["place", "run"]).select("rid", "s", "n")
-    open_runs = kinds.join(several, "place").select("one.*", F.xxhash64("place", "run").alias("uid"), (F.col("c") == 1).alias("alone"))
+    # The rank of a run: its place in the order of (rank of its first part, name of the whole).
+    kinds = numbered(counted(live, "rank", "run", one=F.min(F.struct(*KEY, "s", "n", "off"))), "uid", "rank", "run")
+    several = materialize(counted(kinds, "rank").where("c > 1").withColumnRenamed("c", "kinds"))
+    sure = found_in(live, kinds.where("c > 1"), ["rank", "run"], "c").select(*KEY, "s", "n")
+    open_runs = found_in(kinds.select("rank", "uid", "one", (F.col("c") == 1).alias("alone")), several, ["rank"], "kinds").select("one.*", "uid", "alone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, listed in zip(batch.column(1), batch.column(2).to_pylist()):
+            for text, listed in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_py().encode()
-                out += [(r["uid"], r["rid"], r["alone"], r["s"], r["n"], r["off"], raw[r["s"] : r["s"] + r["n"] + LENGTH - 1]) for r in listed]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["uid", "rid", "alone", "s", "n", "off", "raw"])
+                out += [(*(r[c] for c in ("uid", *KEY, "alone", "s", "n", "off")), raw[r["s"] : r["s"] + r["n"] + LENGTH - 1]) for r in listed]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, types)], ["uid", *KEY, "alone", "s", "n", "off", "raw"])
 
-    by_text = open_runs.groupBy("rid").agg(F.collect_list(F.struct("uid", "rid", "alone", "s", "n", "off")).alias("listed"))
-    chosen = texts.join(by_text, "rid").select("rid", "text", "listed")
-    opened = materialize(chosen.mapInArrow(cut, "uid long, rid long, alone boolean, s long, n long, off long, raw binary").dropDuplicates(["uid"]))
+    by_text = open_runs.groupBy(*KEY).agg(F.collect_list(F.struct("uid", *KEY, "alone", "s", "n", "off")).alias("listed"))
+    chosen = texts.join(by_text, KEY).select("text", "listed")
+    opened = materialize(chosen.mapInArrow(cut, "uid long, id long, rid long, alone boolean, s long, n long, off long, raw binary").dropDuplicates(["uid"]))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,12 +214,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in c], ["uid", "step", "lo", "hi", "core", "whole"])
 
     stepped = materialize(opened.select("uid", "n", "off", "raw").mapInArrow(step, "uid long, step long, lo long, hi long, core long, whole long"))
-    alike = stepped.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min("uid").alias("uid"), F.min("step").alias("step"))
-    alike = materialize(alike)
-    mixed = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-    same = stepped.join(alike.where("c > 1").select("core", "whole"), ["core", "whole"]).select("uid", "lo", "hi")
-    where = opened.where("alone").select("uid", "rid", (F.col("s") + F.col("off")).alias("place"))
-    sure_steps = same.join(where, "uid").select("rid", (F.col("place") - F.col("hi")).alias("s"), (F.col("hi") - F.col("lo") + 1).alias("n"))
+    alike = materialize(counted(stepped, "core", "whole", uid=F.min("uid"), step=F.min("step")))
+    mixed = counted(alike, "core").where("c > 1").withColumnRenamed("c", "kinds")
+    mixed = numbered(mixed, "core_rank", "core")
+    same = found_in(stepped, alike.where("c > 1"), ["core", "whole"], "c").select("uid", "lo", "hi")
+    where = opened.where("alone").select("uid", *KEY, (F.col("s") + F.col("off")).alias("place"))
+    sure_steps = same.join(where, "uid").select(*KEY, (F.col("place") - F.col("hi")).alias("s"), (F.col("hi") - F.col("lo") + 1).alias("n"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,13 +228,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
                 offsets = np.arange(off - n + 1, off + 1)
                 offsets = offsets[np.isin(offsets // STEP, steps)]
                 _, name128 = doubled(np.frombuffer(raw.as_py(), np.uint8))
-                out.append((np.full(len(offsets), uid[i]), offsets, named(name128, off - offsets, LENGTH).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["uid", "offset", "name"])
+                out.append((np.full(len(offsets), uid[i]), offsets, name128[off - offsets].view(np.int64), named(name128, off - offsets, LENGTH).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["uid", "offset", "half", "name"])
 
-    wanted = alike.join(mixed, "core").groupBy("uid").agg(F.collect_set("step").alias("steps"))
-    strings = materialize(opened.join(wanted, "uid").select("uid", "n", "off", "raw", "steps").mapInArrow(single, "uid long, offset long, name long"))
-    twice = strings.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    last = strings.join(twice, "name").join(where, "uid").select("rid", (F.col("place") - F.col("offset")).alias("s"), F.lit(1).cast("long").alias("n"))
+    wanted = found_in(alike.select("core", "uid", "step"), mixed, ["core"], "kinds").groupBy("uid").agg(F.collect_set("step").alias("steps"))
+    strings = materialize(opened.join(wanted, "uid").select("uid", "n", "off", "raw", "steps").mapInArrow(single, "uid long, offset long, half long, name long"))
+    twice = materialize(counted(strings, "half", "name").where("c > 1"))
+    last = found_in(strings, twice, ["half", "name"], "c").join(where, "uid").select(*KEY, (F.col("place") - F.col("offset")).alias("s"), F.lit(1).cast("long").alias("n"))
     return sure.unionByName(sure_steps).unionByName(last)
 
 
@@ -228,9 +250,9 @@ def covered(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def spans_by_text(texts: DataFrame) -> DataFrame:
-    """(rid, spans): the distinct runs of repeated_spans() of each rid. Equal rows share a rid and find the same runs, so a
+    """(id, rid, spans): the distinct runs of repeated_spans() of each text. Equal rows share a key and find the same runs, so a
     list is bounded by its text however many rows have it."""
-    return repeated_spans(texts).groupBy("rid").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    return repeated_spans(texts).groupBy(*KEY).agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -258,5 +280,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    joined_rows = texts.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    joined_rows = texts.join(spans, KEY, "left").select("doc_id", "text", "spans")
     return joined_rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>")
