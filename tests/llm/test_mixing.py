@@ -63,3 +63,26 @@ def test_documents_of_the_mix(documents):
         assert r.block == 1 and r.mix_id == "own"
     whole = {r.doc_id: r.taken // r.size for r in mixing.mix(frame, whole=True).collect() if r.taken}
     assert times == whole
+
+
+def test_hot_ids_are_split(documents, monkeypatch):
+    """Many rows without an id, or with one id: buckets of their own, the same totals as in one bucket."""
+    rows = [(None, "a b c" if i % 3 else None, "en", "s1") for i in range(300)] + [(7, "w " * (i % 5), "en", "s1") for i in range(200)] + [(i, "x y", "en", "s2" if i % 2 else None) for i in range(10, 100)]
+    one = sorted(map(tuple, mixing.mix(documents(rows), bucket_rows=10**6).collect()), key=str)
+    split = mixing.mix(documents(rows), bucket_rows=20)
+    assert sorted(map(tuple, split.collect()), key=str) == one
+    monkeypatch.setattr(mixing, "MOST_HOT", 4)
+    assert len(mixing.hot_keys(documents(rows).selectExpr("md5(coalesce(cast(doc_id as string), '')) AS mix_key"), 590, 20)) == 2
+
+
+def test_rows_are_taken_one_by_one(documents):
+    """Rows under one id, or without one, come as often as they are taken themselves."""
+    rows = [(i, f"t{i} " * 10, "en", "a") for i in (None, 1, 2)] + [(None, f"n{k} " * 10, "en", "a") for k in range(30)] + [(1, "other words here", "en", "a"), (3, None, "en", "b"), (4, "b " * 5, "en", "b")]
+    frame = documents(rows).selectExpr("*", "1 AS taken", "'q' AS mix_row")
+    out = [tuple(r) for r in mixing.mixed_documents(frame).collect()]
+    assert set(out) <= {tuple(r) for r in frame.collect()} and mixing.mixed_documents(frame).columns == frame.columns
+    words = {s: sum(len((r[1] or "").split()) for r in out if r[3] == s) for s in "ab"}
+    sizes = {s: sum(len((r[1] or "").split()) for r in rows if r[3] == s) for s in "ab"}
+    goal = {r.source: r.target for r in mixing.mix(documents(rows)).collect()}
+    assert all(abs(words[s] - goal[s]) <= 10 for s in "ab") and all(words[s] <= 2 * sizes[s] for s in "ab")
+    assert not any(r[1] is None for r in out)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..sources.tables import shared_folder
 
 #: The words of every word-based contract: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="vitalstream-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: each row is computed once and survives lost executors.
 
@@ -34,7 +25,7 @@ def materialize(df: DataFrame) -> DataFrame:
     its garbage, so that is asked for here; else a chain of such tables would hold all its shuffles on disk.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vitalstream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/vitalstream-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -67,5 +58,6 @@ def hashed_block(key: Column, blocks: int) -> Column:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): for every id with a link the smallest id that links reach; each round is written to the shared folder."""
-    return graph.components(links, materialize, a, b)
+    """(id, component): for every id with a link the smallest id that links reach; each round is written to the shared folder,
+    and deleted once the next one is."""
+    return graph.components(links, materialize, a, b, drop=release)

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from math import ceil, log2
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_names, materialize
+from .common import WORD, materialize
+
+
+#: Keys that more than one in so many rows have are hot.
+MOST_HOT = 1000
 
 
 def targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -43,14 +47,23 @@ def targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = 20000, whole: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row per input row.
+def hot_keys(sized: DataFrame, rows: int, bucket_rows: int) -> list[str]:
+    """The keys that many rows share (rows without an id have one key), in order: at most MOST_HOT, whatever the data."""
+    limit = max(bucket_rows, rows // MOST_HOT)
+    if rows <= limit:
+        return []
+    often = sized.groupBy(F.xxhash64("mix_key").alias("h")).agg(F.count("*").alias("n"), F.min("mix_key").alias("mix_key")).where(F.col("n") > limit)
+    return sorted(r.mix_key for r in often.select("mix_key").collect())
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = 20000, whole: bool = False, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) and the columns keep of docs, one row per input row.
 
     size is the number of words of the text (null: 0). taken counts the words the mix takes, repeats included: the source's
     target, rounded to a word, is reached exactly, the document at the cut giving its leading words. With whole=True the
     document at the cut is taken whole if at least half of it lies within the budget, else not.
-    Null sources are one source; null ids hash like ''. Rows with equal ids keep one place each in the order (ties by size).
-    A source without words has target 0. An empty table gives an empty result. Other columns are ignored.
+    Null sources are one source; null ids hash like ''. Rows with equal ids keep one place each in the order (ties by size,
+    then any order). A source without words has target 0. An empty table gives an empty result. Other columns are ignored.
     """
     sized = materialize(
         docs.select(
@@ -58,11 +71,21 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("mix_key"),
+            F.pmod(F.xxhash64("text", F.spark_partition_id()), F.lit(256)).cast("string").alias("tie"),
+            *keep,
         )
     )
-    # The bucket width follows the row count only; 4096 buckets per source at most.
-    digits = max(0, min(3, ceil(log2(max(1, sized.count() / bucket_rows)) / 4)))
-    sized = sized.withColumn("bucket", F.substring("mix_key", 1, digits))
+    # The bucket width follows the row count only; a million buckets per source at most.
+    rows = sized.count()
+    digits = max(0, min(5, ceil(log2(max(1, rows / bucket_rows)) / 4)))
+    bucket = F.substring("mix_key", 1, digits)
+    if hot := hot_keys(sized, rows, bucket_rows):
+        # The rows of a hot key have buckets of their own, by size and then by any order; other rows come before or behind.
+        listed = F.array(*map(F.lit, hot))
+        earlier = F.lpad(F.size(F.filter(listed, lambda k: k < F.col("mix_key"))).cast("string"), 4, "0")
+        own = F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 12, "0"), F.lpad("tie", 3, "0"))
+        bucket = F.concat(bucket, earlier, F.when(F.array_contains(listed, F.col("mix_key")), own).otherwise("0"))
+    sized = sized.withColumn("bucket", bucket).drop("tie")
     per_bucket = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     goal = targets(per_bucket.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     offsets = per_bucket.select(
@@ -72,7 +95,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     )
     goal = goal.select(F.col("source").alias("g_source"), "source_size", "target")
     plan = offsets.join(goal, F.col("b_source").eqNullSafe(F.col("g_source"))).drop("g_source")
-    inside = Window.partitionBy("source", "bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    kept = sized.columns[4:-1]
+    rest = [F.xxhash64(*kept)] if kept else []  # the same order in every run also among rows of one id
+    inside = Window.partitionBy("source", "bucket").orderBy("mix_key", "doc_id", "size", *rest).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     budget = F.round("target").cast("long")
@@ -83,22 +108,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
         last = F.when(F.col("before") * 2 + F.col("size") <= F.col("rest") * 2, F.col("size")).otherwise(0)
     else:
         last = F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), *kept)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as mix(whole=True) takes them: a document of one and a half epochs comes once or twice.
+    """The rows of docs as often as mix(whole=True) takes each of them: a document of one and a half epochs comes once or twice.
 
-    Documents without words are not in the mix. doc_id must identify a row: rows with equal ids all come as often as the one
-    of them that is taken most often.
+    Each row is taken by itself, whatever rows share its id. Documents without words are not in the mix.
     """
-    columns = docs.columns
-    key, times, copy = free_names(docs, "mix_id", "mix_times", "mix_copy")
-    found = mix(docs, whole=True, **options)
-    found = found.select(F.col("doc_id").alias(key), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int").alias(times))
-    counts = found.where(F.col(times) > 0).groupBy(key).agg(F.max(times).alias(times))
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts[key]))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in columns])
+    row, copy = "mix_row", "mix_copy"
+    found = mix(docs, whole=True, keep=(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row),), **options)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
+    often = found.select(row, times.alias("times")).where(F.col("times") > 0)
+    return often.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The same rules in SQL; {weights} etc. are the production parameters.

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, ctw, html, langid, minhash, mixing, neighbours, repeats, rotated, secrets
 from .common import table
 
-#: Where the public tokenizer files are; the environment may name another folder.
-TOKENIZERS = os.environ.get("VITALSTREAM_TOKENIZERS", "/opt/tokenizers")
-BPE_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary file of op2_bpe and of the pipeline's last stage.
+BPE_FILE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
