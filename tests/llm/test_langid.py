@@ -1,3 +1,4 @@
+import numpy as np
 from zlib import crc32
 
 from vitalstream.llm import langid
@@ -47,3 +48,26 @@ def test_rows_are_judged_by_their_own_text(documents):
     assert out.columns == frame.columns
     want = [r for r in frame.collect() if r.text and "the" in r.text or r.text and "der" in r.text]
     assert sorted(map(str, out.collect())) == sorted(map(str, want)) and len(want) == 61
+
+
+def test_lookup_tables_equal_the_convolution():
+    rng = np.random.default_rng(3)
+    net = langid.ByteCNN(["a", "b", "c"]).fit(rng.integers(0, 256, (60, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 60), steps=5).ready()
+    x = rng.integers(0, 256, (7, langid.WINDOW)).astype(np.uint8)
+    for window, got in zip(x, net.probabilities(x, rows=3)):
+        pooled = []
+        for w in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                kernel = net.p[f"f{w}"][:, :, f]
+                pooled.append(max(sum(net.p["e"][window[i + j]] @ kernel[j] for j in range(w)) for i in range(langid.WINDOW - w + 1)) + net.p[f"b{w}"][f])
+        z = np.maximum(pooled, 0) @ net.p["d"] + net.p["c"]
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_labels_and_rows_of_training_are_bounded(documents):
+    """One label of most rows, rows without an id, and more labels than are learned."""
+    rows = [(None, f"text number {i} of many", "en", None) for i in range(400)] + [(i, f"label {i}", f"l{i:03}", None) for i in range(50)]
+    found = langid.training_windows(documents(rows), sample_per_label=8, windows_per_doc=2, most_labels=5)
+    labels = [lang for lang, _ in found]
+    assert sorted(set(labels)) == ["en", "l000", "l001", "l002", "l003"] and labels.count("en") <= 16

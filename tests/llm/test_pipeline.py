@@ -77,3 +77,26 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_under_shared_and_missing_ids(spark, tmp_path):
+    """Two texts under one id, rows without an id and repeated rows, through every stage: each row is judged by itself."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = [r.text for r in rows.where("lang = 'en' and length(text) between 300 and 3000").orderBy("doc_id").limit(12).collect()]
+    secret = lambda i: f" password=hunter{i}secret{i} "
+    odd = [(70001, plain[0] + secret(1)), (70001, "!! 12345"), (None, plain[1] + secret(2)), (None, "?"), (None, plain[2] + secret(3)), (None, None), (70001, plain[3] + secret(4))]
+    odd += [(70002, plain[4] + secret(5))] * 3 + [(None, plain[5] + secret(6))] * 3
+    more = spark.createDataFrame([(i, t, "en", "s9", len(t or "")) for i, t in odd], rows.schema)
+    docs = rows.where("doc_id % 7 = 0").unionByName(more)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, "")
+        docs.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        texts = [r.text for r in docs.where("source = 's9'").collect()]
+        if name == "language":
+            assert sorted(texts) == sorted(t for _, t in odd if t and len(t) > 10)
+        elif name == "near_duplicates":
+            assert sorted(texts) == sorted({t for _, t in odd if t and len(t) > 10})
+        else:
+            assert all("hunter" not in t and "[secret]" in t for t in texts)
+            assert name == "mixture" or len(texts) == 6

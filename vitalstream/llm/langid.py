@@ -31,15 +31,20 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def training_windows(docs: DataFrame, sample_per_label: int = 256, windows_per_doc: int = 4) -> list[tuple[str, bytes]]:
+def training_windows(docs: DataFrame, sample_per_label: int = 256, windows_per_doc: int = 4, most_labels: int = 512) -> list[tuple[str, bytes]]:
     """(label, window) pairs, at most sample_per_label * windows_per_doc of each label, spread over each whole text.
 
+    most_labels labels are learned, the most frequent ones if there are more; so sample and network have a fixed bound.
+
     Of every label and each of sample_per_label hash slots, one row of least hash of (id, text) is taken: a partial
     aggregate, so a label with most of the rows costs nothing extra, and rows without an id or with a repeated one take
     slots by their texts. Of equal rows one is taken.
     """
     h = F.xxhash64("doc_id", "text")
     usable = docs.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", F.encode("text", "utf-8").alias("raw"), h.alias("h"))
+    frequent = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels + 1).collect()
+    if len(frequent) > most_labels:
+        usable = usable.where(F.col("lang").isin([r.lang for r in frequent[:most_labels]]))
     slots = usable.groupBy(F.col("lang").alias("l"), F.pmod("h", F.lit(sample_per_label)).alias("slot")).agg(F.min("h").alias("least"))
     chosen = usable.join(slots, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("least")))
     step = F.greatest(F.lit(0), F.octet_length("raw") - WINDOW) / F.lit(max(1, windows_per_doc - 1))
