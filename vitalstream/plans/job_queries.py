@@ -1,23 +1,48 @@
-"""The whole job: streams to a table, a replayed drop that must change nothing, reports from the table."""
+"""The whole job: streams to a table, a replayed drop that must change nothing, persons, redaction, reports and note."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import keyed, reports
+from ..sources import sinks
 from ..sources.tables import COLUMNS, EVENTS_SQL, all_events, new_folder
-from .report_queries import SUMMARY
+from . import keyed_queries, quality_queries
+from .report_queries import NOTE, SUMMARY
 
 
 def entry(spark, sf):
-    """Load all streams, load them again append-safely, and report on the table. A failed run leaves no reports behind."""
-    first, second = new_folder(spark, "load"), new_folder(spark, "reload")
+    """(section, key, value): what a run does and finds.
+
+    All streams are loaded, and loaded again append-safely; known persons and their links are counted, texts are redacted
+    and shared with a manifest, and reports and note are made of the loaded table. A failed run leaves no reports behind.
+    """
+    first, second, shared = new_folder(spark, "load"), new_folder(spark, "reload"), new_folder(spark, "reports")
     order = [c for c in COLUMNS if c not in ("stream", "record_key")]
     drop = all_events(spark, sf)
     keyed.keep_first(drop, "record_key", *order).write.parquet(first)
     loaded = spark.read.schema(drop.schema).parquet(first)
     new = keyed.keep_first(drop, "record_key", *order).join(loaded.select("record_key"), "record_key", "left_anti")
     new.select(*COLUMNS).write.parquet(second)
-    return reports.report_summary(spark.read.schema(drop.schema).parquet(first, second))
+    events = spark.read.schema(drop.schema).parquet(first, second)
+
+    row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    links = keyed_queries.person_links(spark, sf)
+    identity = row(links.groupBy("verification_state").agg(F.count("*").alias("n")), "identity", F.col("verification_state"), F.col("n"))
+    redacted = quality_queries.redacted_manifest(spark, sf)
+    privacy = row(redacted.agg(F.count("*").alias("n")), "privacy", F.lit("redacted_files"), F.col("n"))
+    run = keyed.fingerprint(events.select(F.lit("all").alias("run"), F.col("record_key").alias("path"), F.lit(1).alias("size")), "run", F.concat("path", F.lit("\n")))
+    run = row(run, "run", F.lit("run_id"), keyed.run_id(F.lit(None).cast("string"), F.col("sha256")))
+    note = row(reports.clinical_note(events), "note", F.col("ord"), F.col("line"))
+    summary = reports.report_summary(events)
+    sinks.report_files({"summary": (summary, ("section", "key")), "note": (note, ("key",))}, shared)
+    return summary.unionByName(note).unionByName(identity).unionByName(privacy).unionByName(run)
 
 
 QUERIES = {"entry": entry}
-ORACLE_SQL = {"entry": EVENTS_SQL + SUMMARY}
+_MANIFEST = "SELECT sha256(string_agg(h, '' ORDER BY part)) AS sha FROM (SELECT left(sha256(record_key), 3) AS part, sha256(string_agg(record_key || chr(10), '' ORDER BY record_key)) AS h FROM ev GROUP BY 1)"
+ORACLE_SQL = {
+    "entry": EVENTS_SQL
+    + f"SELECT * FROM ({SUMMARY}) UNION ALL SELECT 'note', ord::VARCHAR, line FROM ({NOTE}) UNION ALL SELECT 'identity', verification_state, COUNT(*)::VARCHAR FROM {keyed_queries.LINKS} GROUP BY 2 "
+    + f"UNION ALL SELECT 'privacy', 'redacted_files', COUNT(DISTINCT p_partkey // 64)::VARCHAR FROM part UNION ALL SELECT 'run', 'run_id', sha256('vitalstream-run||' || sha) FROM ({_MANIFEST})"
+}
