@@ -8,7 +8,7 @@ from ..functions.columns import fold_name
 from ..operators import identity, keyed, privacy, quality
 from ..sources import clinical, files
 from ..sources.tables import new_folder, table, written
-from .keyed_queries import hits
+from .keyed_queries import HITS, hits
 
 # ---- validation of lines that are broken by formula
 
@@ -172,7 +172,25 @@ QUERIES = {
     "resource_type_counts": resource_type_counts,
 }
 
+#: Hits one after the other, each with what the earlier ones have claimed.
+ASSIGNED = f"""WITH RECURSIVE raw AS (SELECT p_partkey AS hit, external_id AS a, 'mrn' || (p_partkey // 3) AS b, first || ' ' || last AS name FROM {HITS}),
+links AS (SELECT a AS id, 'linked' || hit AS person FROM raw WHERE hit % 50 = 0 AND hit < 700),
+own_names AS (SELECT name, MIN('known' || hit) AS person FROM raw WHERE hit % 17 = 0 GROUP BY 1 HAVING COUNT(DISTINCT hit) = 1),
+uniq AS (SELECT name FROM raw GROUP BY 1 HAVING COUNT(*) = 1),
+h AS (SELECT row_number() OVER (ORDER BY hit) AS n, hit, a, b, la.person AS la, lb.person AS lb, o.person AS named,
+  COALESCE(o.person, left(sha256('run:' || hit), 32)) AS own
+  FROM raw LEFT JOIN links la ON la.id = a LEFT JOIN links lb ON lb.id = b LEFT JOIN uniq USING (name) LEFT JOIN own_names o ON o.name = uniq.name),
+f AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS hit, NULL::VARCHAR AS person_key, NULL::VARCHAR AS state, MAP {{'' : ''}} AS claimed
+  UNION ALL
+  SELECT n, hit, CASE WHEN pa IS NULL AND pb IS NULL THEN own WHEN pa <> pb THEN NULL ELSE COALESCE(pa, pb) END,
+    CASE WHEN pa IS NULL AND pb IS NULL THEN CASE WHEN named IS NULL THEN 'new' ELSE 'unverified' END WHEN pa <> pb THEN 'conflict' ELSE 'verified' END,
+    CASE WHEN pa IS NULL AND pb IS NULL THEN map_concat(claimed, MAP {{a : own, b : own}}) ELSE claimed END
+  FROM (SELECT h.*, f.claimed, COALESCE(f.claimed[h.a], h.la) AS pa, COALESCE(f.claimed[h.b], h.lb) AS pb FROM f JOIN h ON h.n = f.n + 1))
+SELECT hit, person_key, state FROM f WHERE n > 0"""
+
 ORACLE_SQL = {
+    "assign_person": ASSIGNED,
     "validate_no_files": "SELECT DISTINCT 'd' || (page_id % 20) AS file, 0::BIGINT AS line_no, 'no_ndjson_files' AS code, '' AS detail FROM pages WHERE page_id % 20 >= 15",
     "validate_newline": "SELECT 'f' || page_id AS file, 0::BIGINT AS line_no, 'missing_trailing_newline' AS code, '' AS detail FROM pages WHERE page_id % 3 = 1",
     "validate_empty_line": EMPTY,
