@@ -180,11 +180,10 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
         circle = Circulant(LONG, seed=18)
         for batch in batches:
             sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
-            short = Circulant()
-            long = [circle.signatures([s])[0].astype(np.uint8) for s in sets]
-            more = [x.view(np.int32)[:BANDS].tolist() for x in long]  # bands of four bytes
-            bands = [short.bands([s])[0].tobytes() for s in sets]
-            columns = [batch.column(0), pa.array([x.tobytes() for x in long], pa.binary()), pa.array(bands, pa.binary()), pa.array(more, pa.list_(pa.int32()))]
+            long = circle.signatures(sets).astype(np.uint8)
+            more = np.ascontiguousarray(long).view(np.int32)[:, :BANDS]  # bands of four bytes
+            blob = lambda rows: pa.array([x.tobytes() for x in rows], pa.binary())
+            columns = [batch.column(0), blob(long), blob(Circulant().bands(sets)), pa.array(more.tolist(), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "long", "bands", "more"])
 
     wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
