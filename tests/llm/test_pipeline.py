@@ -82,7 +82,9 @@ def test_empty_table(spark, tmp_path):
 def test_rows_under_shared_and_missing_ids(spark, tmp_path):
     """Two texts under one id, rows without an id and repeated rows, through every stage: each row is judged by itself."""
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    plain = [r.text for r in rows.where("lang = 'en' and length(text) between 300 and 3000").orderBy("doc_id").limit(12).collect()]
+    some = [r.text for r in rows.where("lang = 'en' and length(text) between 300 and 3000").orderBy("doc_id").limit(40).collect()]
+    groups = brute(list(enumerate(some)))
+    plain = [" ".join(reversed(t.split())) for i, t in enumerate(some) if groups[i][1] == i]  # like no other document
     secret = lambda i: f" password=hunter{i}secret{i} "
     odd = [(70001, plain[0] + secret(1)), (70001, "!! 12345"), (None, plain[1] + secret(2)), (None, "?"), (None, plain[2] + secret(3)), (None, None), (70001, plain[3] + secret(4))]
     odd += [(70002, plain[4] + secret(5))] * 3 + [(None, plain[5] + secret(6))] * 3
