@@ -9,7 +9,7 @@ with the bucket's smallest class, which links a group of copies of any size by o
 that are still in different components after that are compared one by one, in blocks, first by longer signatures (LONG
 coordinates, a byte of each): those whose estimate is more than 4.5 standard deviations below the threshold are passed
 over, which loses fewer than one link in 100,000; the rest are confirmed on the full sets like the others. A bucket of more
-than LARGE classes is refined first: only those of its classes meet that share one of BANDS further bands, too.
+than LARGE classes, most of them apart, is refined first: only those of its classes meet that share one of BANDS further bands.
 """
 
 from __future__ import annotations
@@ -66,14 +66,17 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
-def permuted(x: np.ndarray, seed: int) -> np.ndarray:
-    """A seeded permutation of the 32-bit numbers (xor-shifts and odd factors undo one another); x is overwritten."""
+def permuted(x: np.ndarray, seed: int, spare: np.ndarray | None = None) -> np.ndarray:
+    """A seeded permutation of the 32-bit numbers (xor-shifts and odd factors undo one another); x is overwritten, as is spare."""
     k = np.random.default_rng(seed).integers(0, 1 << 32, 3, dtype=np.uint32)
+    spare = np.empty_like(x) if spare is None else spare
     x ^= k[0]
     for shift, factor in ((16, k[1] | 1), (15, k[2] | 1)):
-        x ^= x >> np.uint32(shift)
+        np.right_shift(x, np.uint32(shift), out=spare)
+        x ^= spare
         x *= factor
-    x ^= x >> np.uint32(16)
+    np.right_shift(x, np.uint32(16), out=spare)
+    x ^= spare
     return x
 
 
@@ -93,8 +96,10 @@ class Circulant:
             if size >= self.block or i + 1 == len(sets):  # so many places stay in a core's cache
                 place = permuted((np.concatenate(held) & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.seed)
                 starts = np.cumsum([0, *map(len, held[:-1])])
+                shifted, spare = np.empty_like(place), np.empty_like(place)
                 for k in range(self.k):
-                    out[begin : i + 1, k] = np.minimum.reduceat(permuted(place + np.uint32(k), self.seed + 1), starts)
+                    np.add(place, np.uint32(k), out=shifted)
+                    out[begin : i + 1, k] = np.minimum.reduceat(permuted(shifted, self.seed + 1, spare), starts)
                 held, size, begin = [], 0, i + 1
         return out
 
@@ -188,9 +193,10 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
 
     wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sketched = materialize(wanted.select("doc_id", "text").mapInArrow(sketch, "rep long, long binary, bands binary, more array<int>"))
-    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
-    plain = sized.where(F.col("members") <= LARGE).select("rep", "n", "hub", "component", "bucket", F.lit(-1).alias("no"), F.col("bucket").alias("key"))
-    refined = sized.where(F.col("members") > LARGE).join(sketched.select("rep", "more"), "rep").select("rep", "n", "hub", "component", "bucket", F.posexplode("more").alias("no", "word"))
+    sizes = members.groupBy("bucket").agg(((F.count("*") > LARGE) & (2 * F.count_distinct("component") > F.count("*"))).alias("apart"))
+    sized = members.join(sizes, "bucket")
+    plain = sized.where("not apart").select("rep", "n", "hub", "component", "bucket", F.lit(-1).alias("no"), F.col("bucket").alias("key"))
+    refined = sized.where("apart").join(sketched.select("rep", "more"), "rep").select("rep", "n", "hub", "component", "bucket", F.posexplode("more").alias("no", "word"))
     refined = refined.select("rep", "n", "hub", "component", "bucket", "no", F.xxhash64("bucket", "no", "word").alias("key"))
     dealt = dealt_pairs(plain.unionByName(refined), "key", F.col("rep"), chunk_rows, sketched.drop("more"), "rep")
 
