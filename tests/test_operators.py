@@ -199,9 +199,11 @@ def test_identity_rounds_equal_the_fold(spark, tmp_path):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
 
 
-def test_joins_spread_frequent_keys(spark):
+def test_joins_spread_frequent_keys(spark, monkeypatch):
+    from vitalstream.operators import skew
     from vitalstream.operators.skew import spread_join
 
+    monkeypatch.setattr(skew, "SMALL", 0)
     rows = spark.range(3000).selectExpr("CASE WHEN id < 2500 THEN 7 WHEN id < 2900 THEN id ELSE NULL END AS k", "id AS v")
     other = spark.createDataFrame([(7, "hot"), (2600, "once"), (1, "none"), (None, "null")], "k long, name string")
     for how in ("inner", "left"):
@@ -211,11 +213,14 @@ def test_joins_spread_frequent_keys(spark):
         assert sorted(map(tuple, spread_join(rows, other, ["k"], F.col("v"), 3000, per_task=5000, how=how).collect()), key=str) == want
 
 
-def test_components_of_hubs_and_chains(spark, tmp_path):
+def test_components_of_hubs_and_chains(spark, tmp_path, monkeypatch):
     import uuid
 
+    from vitalstream.operators import skew
     from vitalstream.operators.graph import components
 
+    monkeypatch.setattr(skew, "SMALL", 0)
+
     def keep(df):
         path = f"{tmp_path}/{uuid.uuid4().hex}"
         df.write.parquet(path)
