@@ -153,20 +153,35 @@ def all_runs(texts: DataFrame) -> DataFrame:
     return texts.select(*KEY, "text").mapInArrow(run, "id long, rid long, s long, n long, off long, place long, run long")
 
 
-def _steps(raw: bytes, n: int, off: int) -> tuple[np.ndarray, ...]:
-    """(step, first and last offset, core name, whole name) of the steps of a run whose bytes are raw.
+def side_by_side(raws: list[bytes], *columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(names of 128 bytes, first bytes, numbers) of runs, and their columns: as many runs at a time as come to PART bytes."""
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    part = np.cumsum(sizes) // PART
+    for a, z in zip(*(lambda cuts: (cuts, [*cuts[1:], len(raws)]))(np.flatnonzero(np.diff(part, prepend=-1)).tolist())):
+        _, name128 = doubled(np.frombuffer(b"".join(raws[a:z]), np.uint8))
+        yield name128, np.cumsum(sizes[a:z]) - sizes[a:z], np.arange(a, z), *(c[a:z] for c in columns)
+
+
+def spread_out(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, value): each i with the values from low[i] to high[i]."""
+    count = high - low + 1
+    i = np.repeat(np.arange(len(low)), count)
+    return i, low[i] + np.arange(len(i)) - (np.cumsum(count) - count)[i]
+
+
+def _steps(raws: list[bytes], n: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(run number, step, first and last offset, core name, whole name) of the steps of runs whose bytes are raws.
 
     A string start is told by its offset, the distance to the run's place. All strings of a step hold its core; which of
     the step's offsets the run has is part of the whole name.
     """
-    offsets = np.arange(off - n + 1, off + 1)
-    step = np.unique(offsets // STEP)
-    lo, hi = np.maximum(step * STEP, offsets[0]), np.minimum(step * STEP + STEP - 1, offsets[-1])
-    _, name128 = doubled(np.frombuffer(raw, np.uint8))
-    core = named(name128, off - step * STEP, LENGTH - STEP + 1)
-    whole = named(name128, off - hi, LENGTH + hi - lo)
-    same = lambda x: joined(x, lo.astype(np.uint64) * np.uint64(1024) + hi.astype(np.uint64))
-    return step, lo, hi, core, same(whole)
+    for name128, begin, number, own_n, own_off in side_by_side(raws, n, off):
+        i, step = spread_out((own_off - own_n + 1) // STEP, own_off // STEP)
+        lo, hi = np.maximum(step * STEP, (own_off - own_n + 1)[i]), np.minimum(step * STEP + STEP - 1, own_off[i])
+        at = (begin + own_off)[i]
+        core = named(name128, at - step * STEP, LENGTH - STEP + 1)
+        whole = named(name128, at - hi, LENGTH + hi - lo)
+        yield number[i], step, lo, hi, core, joined(whole, lo.astype(np.uint64) * np.uint64(1024) + hi.astype(np.uint64))
 
 
 def counted(rows: DataFrame, *keys: str, **more: Column) -> DataFrame:
@@ -176,7 +191,7 @@ def counted(rows: DataFrame, *keys: str, **more: Column) -> DataFrame:
 
 def found_in(rows: DataFrame, other: DataFrame, keys: list[str], number: str, *columns: str) -> DataFrame:
     """rows with columns of other by keys, a frequent key spread; number is other's column of how many rows a key has."""
-    return spread_join(rows, other.select(*keys, *columns), keys, F.xxhash64(*[c for c in rows.columns if c not in keys]), rows.count(), counts=other.select(*keys, F.col(number).alias("_rows")))
+    return spread_join(rows, other.select(*keys, *columns), keys, F.xxhash64(*[c for c in rows.columns if c not in keys]), rows.count(), per_task=20_000, counts=other.select(*keys, F.col(number).alias("_rows")))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -206,12 +221,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, out = batch.column(0).to_numpy(), []
-            for i, (n, off, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))):
-                found = _steps(raw.as_py(), n, off)
-                out.append((np.full(len(found[0]), uid[i]), *found))
-            c = [np.concatenate(x) for x in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in c], ["uid", "step", "lo", "hi", "core", "whole"])
+            uid, n, off = (batch.column(i).to_numpy() for i in range(3))
+            for number, *found in _steps(batch.column(3).to_pylist(), n, off):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (uid[number], *found)], ["uid", "step", "lo", "hi", "core", "whole"])
 
     stepped = materialize(opened.select("uid", "n", "off", "raw").mapInArrow(step, "uid long, step long, lo long, hi long, core long, whole long"))
     alike = materialize(counted(stepped, "core", "whole", uid=F.min("uid"), step=F.min("step")))
@@ -223,13 +235,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, out = batch.column(0).to_numpy(), []
-            for i, (n, off, raw, steps) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist())):
-                offsets = np.arange(off - n + 1, off + 1)
-                offsets = offsets[np.isin(offsets // STEP, steps)]
-                _, name128 = doubled(np.frombuffer(raw.as_py(), np.uint8))
-                out.append((np.full(len(offsets), uid[i]), offsets, name128[off - offsets].view(np.int64), named(name128, off - offsets, LENGTH).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["uid", "offset", "half", "name"])
+            uid, n, off = (batch.column(i).to_numpy() for i in range(3))
+            steps = batch.column(4).to_pylist()
+            for name128, begin, number, own_n, own_off in side_by_side(batch.column(3).to_pylist(), n, off):
+                listed = [steps[i] for i in number]
+                i, step = np.repeat(np.arange(len(number)), list(map(len, listed))), np.array([x for some in listed for x in some], np.int64)
+                j, offset = spread_out(np.maximum(step * STEP, (own_off - own_n + 1)[i]), np.minimum(step * STEP + STEP - 1, own_off[i]))
+                start = (begin + own_off)[i][j] - offset
+                columns = (uid[number][i][j], offset, name128[start].view(np.int64), named(name128, start, LENGTH).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["uid", "offset", "half", "name"])
 
     wanted = found_in(alike.select("core", "uid", "step"), mixed, ["core"], "kinds").groupBy("uid").agg(F.collect_set("step").alias("steps"))
     strings = materialize(opened.join(wanted, "uid").select("uid", "n", "off", "raw", "steps").mapInArrow(single, "uid long, offset long, half long, name long"))
