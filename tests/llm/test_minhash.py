@@ -67,25 +67,6 @@ def test_large_group_of_near_copies(documents):
     assert got == brute(rows)
 
 
-def test_refined_buckets(documents, monkeypatch):
-    """Buckets of any size are refined: the links stay the same."""
-    monkeypatch.setattr(minhash, "LARGE", 1)
-    rows = fixture()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents([(i, t, None, None) for i, t in rows])).collect()}
-    assert got == brute(rows)
-
-
-def test_permutation_and_estimates():
-    x = np.arange(1 << 16, dtype=np.uint32) * np.uint32(7)
-    assert len(np.unique(minhash.permuted(x.copy(), 3))) == len(x)
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**63, 3000).astype(np.uint64)
-    for same in (1000, 2000, 2700):
-        b = np.concatenate([a[:same], rng.integers(0, 2**63, 3000 - same).astype(np.uint64)])
-        one, two = minhash.Circulant(512).signatures([np.unique(a), np.unique(b)])
-        assert abs((one == two).mean() - same / (6000 - same)) < 0.09
-
-
 def test_repeated_and_null_ids(documents):
     rows = [(1, "a b c d e f", "en", "a")] * 2 + [(None, "a b c d e f", None, None), (2, "a b c d e f", None, None)]
     got = sorted(map(tuple, minhash.near_duplicates(documents(rows)).collect()), key=str)
