@@ -25,7 +25,7 @@ from .bpe import SPLIT, byte_letters, read_vocabulary
 from .common import materialize
 
 #: Bytes of text that are held as tokens at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: White space beyond ASCII, and the mark that a piece has for a blank.
 OTHER_BLANKS = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2581]))
 #: Texts in which not each blank and line end stands alone between other characters; they are encoded whole. In the others no
