@@ -125,10 +125,12 @@ class Aligned:
         self.n_links = np.bincount(self.link_text, minlength=len(self.valid)).astype(np.int64)
         self.both = both
 
-    def pairs(self) -> pa.Array:
-        """A's id and B's, as one number, of each link."""
+    def pairs(self) -> pa.Table:
+        """(text, pair, count_all): how many of a text's links hold A's id and B's, as one number; the texts in order."""
         a, b = (pc.cast(x.take(pa.array(at)), pa.int64()) for x, at in ((self.a, self.i), (self.b, self.j)))
-        return pc.add(pc.shift_left(a, pa.scalar(32, pa.int64())), b)
+        pair = pc.add(pc.shift_left(a, pa.scalar(32, pa.int64())), b)
+        counted = pa.table({"text": self.link_text, "pair": pair}).group_by(["text", "pair"], use_threads=False).aggregate([([], "count_all")])
+        return counted.take(pa.array(np.argsort(counted["text"].to_numpy(), kind="stable")))
 
     def listed(self) -> list[str]:
         """`a1,a2|b1;a3|b2,b3` of each valid text as SHA-256."""
@@ -193,12 +195,12 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, group_no long, end long, a_ids array<int>, b_ids array<int>")
 
 
-_FACTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>, pair array<long>, n array<int>"
+_FACTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>, times array<int>, pair array<long>, n array<int>"
 
 
 def _facts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Rows of two kinds: one per document with its links, as numbers of its chunk's pairs, and one per chunk with its distinct
-    pairs and their counts, the most frequent first. A chunk is a batch of a task."""
+    """Rows of two kinds: one per document with the pairs that its links hold, as numbers of its chunk's pairs, and how often, and
+    one per chunk with its distinct pairs and their counts, the most frequent first. A chunk is a batch of a task."""
     models = _models(docs.sparkSession, a_path, b_path)
     names = [x.split()[0] for x in _FACTS.split(", ")]
 
@@ -207,7 +209,7 @@ def _facts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             if not (rows := len(batch)):
                 continue
-            n_a, n_b, n_links = (np.zeros(rows, np.int64) for _ in range(3))
+            n_a, n_b, n_links, n_pairs = (np.zeros(rows, np.int64) for _ in range(4))
             digests, pairs = [""] * rows, []
             for start, stop in chunks(batch.column(1)):
                 x = Aligned(batch.column(1).slice(start, stop - start), both)
@@ -216,15 +218,17 @@ def _facts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 for i, digest in zip(at.tolist(), x.listed()):
                     digests[i] = digest
                 pairs.append(x.pairs())
-            found = pa.chunked_array(pairs, pa.int64())
-            counted = pa.table({"pair": found}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by([("count_all", "descending"), ("pair", "ascending")])
-            numbers = pc.index_in(found, value_set=counted["pair"].combine_chunks()).combine_chunks()
-            links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_links)), pa.int32()), numbers)
+                n_pairs[at] = np.bincount(pairs[-1]["text"].to_numpy(), minlength=len(at))
+            found = pa.concat_tables(pairs)
+            counted = found.group_by("pair", use_threads=False).aggregate([("count_all", "sum")]).rename_columns(["pair", "n"]).sort_by([("n", "descending"), ("pair", "ascending")])
+            numbers = pc.index_in(found["pair"], value_set=counted["pair"].combine_chunks())
+            cuts = pa.array(np.append(0, np.cumsum(n_pairs)), pa.int32())
+            links, times = (pa.ListArray.from_arrays(cuts, x.combine_chunks().cast(pa.int32())) for x in (numbers, found["count_all"]))
             here = pa.array(np.full(rows, no), pa.int64())
-            own = [here, batch.column(0), *map(pa.array, (n_a, n_b, n_links)), pa.array(digests, pa.string()), links, pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))]
+            own = [here, batch.column(0), *map(pa.array, (n_a, n_b, n_links)), pa.array(digests, pa.string()), links, times, pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(own, names)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(counted)], pa.int32()), counted[c].combine_chunks().cast(k)) for c, k in (("pair", pa.int64()), ("count_all", pa.int32()))]
-            nothing = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(counted)], pa.int32()), counted[c].combine_chunks().cast(k)) for c, k in (("pair", pa.int64()), ("n", pa.int32()))]
+            nothing = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([here[:1], *nothing, *lists], names)
             no += 1
 
@@ -260,18 +264,20 @@ def alignment(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     facts = materialize(_facts(docs, a_path, b_path))
     listed = _listed_pairs(facts)
     told = listed.select("chunk", "no", "pair").join(_totals(listed), "pair").select(F.col("chunk").alias("of_chunk"), "no", "total", "best")
-    own = facts.where("pair is null").select("chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links")
+    own = facts.where("pair is null").select("chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "times")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         total, best = np.zeros(len(right) + 1, np.int64), np.zeros(len(right) + 1, np.int64)
         total[right["no"].to_numpy()], best[right["no"].to_numpy()] = right["total"].to_numpy(), right["best"].to_numpy()
-        links = left["links"].combine_chunks()
-        cuts = np.append(0, np.cumsum(pc.list_value_length(links).to_numpy()))
-        flat = pc.list_flatten(links).to_numpy()
-        of = lambda values: np.diff(np.append(0, np.cumsum(values[flat]))[cuts])
-        columns = [left[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_groups")] + [pa.array(of(best)), pa.array(of(total)), left["groups_sha256"]]
-        return pa.table(columns, names)
+        found = []
+        for start in range(0, len(left), 1024):
+            part = left.slice(start, 1024)
+            cuts = np.append(0, np.cumsum(pc.list_value_length(part["links"]).to_numpy()))
+            flat, times = (pc.list_flatten(part[c]).to_numpy() for c in ("links", "times"))
+            found.append([np.diff(np.append(0, np.cumsum(values[flat] * times))[cuts]) for values in (best, total)])
+        columns = [left[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_groups")] + [pa.array(np.concatenate([f[k] for f in found] or [[]]).astype(np.int64)) for k in (0, 1)]
+        return pa.table([*columns, left["groups_sha256"]], names)
 
     schema = ", ".join(f"{x} {'string' if x == 'groups_sha256' else 'long'}" for x in names)
     return own.groupBy("chunk").cogroup(told.groupBy("of_chunk")).applyInArrow(sums, schema)
