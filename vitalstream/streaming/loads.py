@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,29 +21,61 @@ def incremental(spark: SparkSession, drops: str, sink: str, checkpoint: str) ->
     rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Where a stream's state lies: in files of each task's own store with a bounded cache, not on the heap; a batch saves only what
+#: it has changed.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state on disk; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in ON_DISK}
+    for k, v in ON_DISK.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def replay_safe(spark: SparkSession, drops: str, tables: str, checkpoint: str, files_per_batch: int = 1000) -> None:
     """Load drops so that a record key comes once, however often a drop is replayed.
 
-    The keys seen so far are the stream's state, dealt over the shuffle partitions and kept with the checkpoint, so no batch
-    reads what earlier ones wrote; the sink commits each batch once.
+    The hashes of the keys seen so far are the stream's state (16 bytes each, so a wrong hit is out of the question), dealt over
+    the shuffle partitions, on disk, and kept with the checkpoint. So neither the heap nor a batch's work grows with what
+    earlier batches loaded, and the sink commits each batch once. Rows without a key are one key.
     """
-    rows = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).json(drops).dropDuplicates(["record_key"])
-    rows.writeStream.format("parquet").option("path", tables).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    key = F.coalesce("record_key", F.lit("\0"))
+    rows = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).json(drops)
+    rows = rows.withColumn("h1", F.xxhash64(key)).withColumn("h2", F.xxhash64(F.reverse(key), F.length(key))).dropDuplicates(["h1", "h2"]).drop("h1", "h2")
+    with state_on_disk(spark):
+        rows.writeStream.format("parquet").option("path", tables).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def daily_counts(spark: SparkSession, drops: str, out: str, checkpoint: str) -> DataFrame:
-    """(day, rows) kept current: state is one row per day. Each run with new files writes the full result below out; what is
-    returned is the last one written, also after a run that found nothing new."""
+    """(day, rows) kept current: state is one row per day, and a batch writes the days that it has changed, no others.
+
+    The table has a folder per day; a batch replaces the folders of its days, so doing it again after a failure gives the same.
+    What is returned is the table, without rows where nothing has been loaded yet.
+    """
+    table = "day date, rows long"
+    spark.createDataFrame([], table).write.mode("append").parquet(out)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(out)
 
     rows = spark.readStream.schema(DROP).json(drops).where("event_time is not null")
     counts = rows.groupBy(F.window("event_time", "1 day").alias("w")).agg(F.count("*").alias("rows"))
     counts = counts.select(F.to_date("w.start").alias("day"), "rows")
-    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    written = spark.read.schema("day date, rows long, batch long").parquet(out)
-    return written.where(F.col("batch") == (written.agg(F.max("batch")).first()[0] or 0)).select("day", "rows")
+    with state_on_disk(spark):
+        counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(table).parquet(out).select("day", "rows")
 
 
 def load_streams(rows: DataFrame, tables: str) -> None:
