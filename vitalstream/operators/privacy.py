@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
@@ -11,40 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names that one pass over the texts looks up: what a task holds. More names take more passes, in label order.
-NAMES_PER_PASS = 20_000
-WORD = re.compile(r"\w+")
+from ..sources.tables import written
+from .names import Names, forms
+from .skew import spread_join
 
+#: People that are sent to every task (some 100 MB there); where more are known, a text's own people come to it by joins.
+MOST_NAMES = 200_000
 
-def name_redactor(people: list[tuple[str, str, str]]) -> Callable[[str], str]:
-    """people: (first, last, label) in label order. Replaces `First Last` and `Last, First`, whatever the case and the white space.
-
-    One person after the other is replaced, so where names overlap the earlier label wins, and what a label adds to the text
-    can be part of a later name. Only people two of whose words stand side by side in the text are tried.
-    """
-    index: dict[tuple[str, str], list[int]] = {}
-    patterns: list[tuple[re.Pattern, re.Pattern]] = []
-    for no, (first, last, _) in enumerate(people):
-        a, b = re.escape(first), re.escape(last)
-        patterns.append((re.compile(rf"\b{a}\s+{b}\b", re.I), re.compile(rf"\b{b}\s*,\s*{a}\b", re.I)))
-        for words in (WORD.findall(f"{first} {last}"), WORD.findall(f"{last}, {first}")):
-            index.setdefault((words[0].casefold(), words[1].casefold() if len(words) > 1 else ""), []).append(no)
-
-    def candidates(text: str, after: int) -> int | None:
-        """The first person after a number whose name may stand in the text."""
-        words = [w.casefold() for w in WORD.findall(text)]
-        found = {no for pair in {*zip(words, [*words[1:], ""]), *((w, "") for w in words)} for no in index.get(pair, ()) if no > after}
-        return min(found, default=None)
-
-    def redact(text: str) -> str:
-        no = candidates(text, -1)
-        while no is not None:
-            for pattern in patterns[no]:
-                text = pattern.sub(people[no][2].replace("\\", r"\\"), text)
-            no = candidates(text, no)
-        return text
 
-    return redact
+def name_redactor(people: list[tuple[str, str, str]]) -> Callable[[str], str]:
+    """people: (first, last, label) in label order."""
+    return Names((no, *person) for no, person in enumerate(people)).redact
 
 
 def redact_values(value, redact: Callable[[str], str]):
@@ -124,21 +100,84 @@ def _mapped(df: DataFrame, column: str, change: Callable[..., Callable[..., str]
 def redact_names(df: DataFrame, column: str, people: DataFrame, as_json: bool = False) -> DataFrame:
     """df with the names of people (first, last, label) in column replaced by their labels, in label order.
 
-    The names go to the tasks NAMES_PER_PASS at a time, in label order, so their number per pass changes no result; each pass
-    is another map over the rows, without a shuffle.
+    `First Last` and `Last, First` are replaced, whatever the case and the white space; where names overlap the earlier label
+    wins, and what a label adds can be part of a later name. Of people of one name the earliest label counts. Up to MOST_NAMES
+    people are sent to every task, and the texts are read once, without a shuffle; more are met by joins.
     """
     number = F.regexp_extract("label", r"(\d+)$", 1).cast("long")
-    last = people.agg(F.max(number)).first()[0] or 0
-    for low in range(0, last + 1, NAMES_PER_PASS):
-        rows = people.where(number.between(low, low + NAMES_PER_PASS - 1)).orderBy(number).select("first", "last", "label").collect()
-        names = df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    rows = people.select(number.alias("no"), "first", "last", "label")
+    if rows.count() > MOST_NAMES:
+        return _redacted_by_joins(df, column, rows, as_json)
+    known = df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()])
+
+    def change():
+        redact = Names(known.value).redact
+        return (lambda t: redact_json(t, redact)) if as_json else redact
+
+    return _mapped(df, column, change)
+
 
-        def change(names=names):
-            redact = name_redactor(names.value)
-            return (lambda t: redact_json(t, redact)) if as_json else redact
+def _strings(text: str, as_json: bool) -> list[str]:
+    """The texts in which names are looked for: the string values of JSON, else text itself."""
+    found: list[str] = []
+    redact_json(text, lambda t: found.append(t) or t) if as_json else found.append(text)
+    return found
 
-        df = _mapped(df, column, change)
-    return df
+
+def _redacted_by_joins(df: DataFrame, column: str, people: DataFrame, as_json: bool) -> DataFrame:
+    """redact_names() for any number of people: runs of words of the texts meet the names that they spell by their hashes.
+
+    What labels add makes new runs, which are looked up in a further round; usually none of them is a name and the second round
+    is the last. A text's own people are at most as many as its runs.
+    """
+    key, row = "name_key", "name_row"
+    hashed = F.xxhash64(key).alias(key)
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(" ".join(words), len(words), f"{first.lower()}\0{last.lower()}", no, first, last, label) for no, first, last, label in zip(*(c.to_pylist() for c in batch.columns)) for words in forms(first, last) if words]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], [key, "n", "same", "no", "first", "last", "label"])
+
+    names = people.mapInArrow(spelled, f"{key} string, n int, same string, no long, first string, last string, label string")
+    person = F.struct("no", "first", "last", "label")
+    names = names.select(hashed, "n", "same", "no", person.alias("person")).groupBy(key, "same").agg(F.min_by("person", "no").alias("person"), F.min("n").alias("n"))
+    names = written(names)
+    lengths = sorted(r.n for r in names.select("n").distinct().collect())
+    names = names.groupBy(key).agg(F.collect_list("person").alias("people"))
+    rows = written(df.select(F.monotonically_increasing_id().alias(row), F.col(column).alias("name_text")).where("name_text is not null"))
+    no_people = F.array().cast("array<struct<no:bigint,first:string,last:string,label:string>>")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = Names([], lengths)
+        for batch in batches:
+            found = [(i, " ".join(run)) for i, text in zip(*(c.to_pylist() for c in batch.columns)) for run in {r for t in _strings(text, as_json) for r in every.runs(t)}]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], [row, key])
+
+    def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, made = [], []
+            for text, own in zip(batch.column(1), batch.column(2).to_pylist()):
+                names = Names([(p["no"], p["first"], p["last"], p["label"]) for p in own], lengths)
+                texts.append(redact_json(text.as_py(), names.redact) if as_json else names.redact(text.as_py()))
+                made.append([" ".join(r) for r in names.made])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(made, pa.list_(pa.string()))], [row, "name_new", "made"])
+
+    runs = rows.mapInArrow(asked, f"{row} long, {key} string").select(row, hashed)
+    met = None
+    while True:
+        runs = written(runs)
+        hits = spread_join(runs, names, [key], F.col(row), runs.count()).select(row, F.explode("people").alias("person"))
+        new = hits if met is None else hits.join(met, [row, "person"], "left_anti")
+        new = written(new.distinct())
+        if met is not None and new.isEmpty():
+            break
+        met = new if met is None else written(met.unionByName(new))
+        own = met.groupBy(row).agg(F.collect_list("person").alias("own"))
+        done = written(rows.join(own, row, "left").select(row, "name_text", F.coalesce("own", no_people).alias("own")).mapInArrow(redacted, f"{row} long, name_new string, made array<string>"))
+        runs = done.select(row, F.explode("made").alias(key)).select(row, hashed)
+    numbered = df.withColumn(row, F.monotonically_increasing_id()).join(done.select(row, "name_new"), row, "left")
+    return numbered.select(*[F.col("name_new").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def redact_patients(df: DataFrame, column: str, label: str, people: DataFrame | None = None) -> DataFrame:
