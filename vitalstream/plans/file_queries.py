@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports
-from ..sources import clinical, files, sinks
+from ..sources import clinical, files, markup, sinks
 from ..sources.tables import EVENTS_SQL, STREAMS, all_events, new_folder, table
 from ..streaming import loads
 
@@ -56,15 +56,49 @@ def scan_fhir_files(spark, sf):
 _ONE = "concat('<observation>', chr(10), '<code code=\"c', event_id % 9, '\"/><effectiveTime value=\"', date_format(ts, 'yyyyMMddHHmmss'), '\"/><value value=\"', event_id, '\" unit=\"mg\"/>', chr(10), '<entryRelationship><observation><code code=\"inner\"/></observation></entryRelationship></observation>')"
 
 
-def scan_cda_observations(spark, sf):
-    """Clinical documents of many lines, one file for each 200 events, read from their files."""
+def cda_folder(spark, sf):
+    """Clinical documents of many lines, one file for each 200 events."""
     root = new_folder(spark, "cda")
     ev = table(spark, sf, "events").select(F.expr("event_id div 200").alias("k"), "event_id", F.expr(_ONE).alias("value"))
     ends = ev.groupBy("k").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     first = ends.select("k", (F.col("lo") - 1).alias("event_id"), F.lit('<ClinicalDocument xmlns="urn:x">').alias("value"))
     last = ends.select("k", (F.col("hi") + 1).alias("event_id"), F.lit("</ClinicalDocument>").alias("value"))
     ev.unionByName(first).unionByName(last).repartition("k").sortWithinPartitions("k", "event_id").select("k", "value").write.partitionBy("k").text(root)
-    return files.cda_observations(files.cda_documents(spark, root)).drop("file")
+    return root
+
+
+def scan_cda_observations(spark, sf):
+    return files.cda_observations(files.cda_documents(spark, cda_folder(spark, sf))).drop("file")
+
+
+def scan_cda_ranges(spark, sf):
+    """The same documents, each read range by range, as those are that are too large for a cell."""
+    return markup.all_cda_observations(spark, cda_folder(spark, sf), one_cell=0).drop("file")
+
+
+def tag_counts_files(spark, sf):
+    """Start tags in raw files, which Spark cuts into byte ranges."""
+    return markup.start_tags(markup.pieces(spark, staged(spark, sf)))
+
+
+def raw_exports(spark, sf):
+    """A raw export of device records for each of 16 groups of persons."""
+    path = new_folder(spark, "raw")
+    ev = table(spark, sf, "events").select((F.col("user_id") % 16).alias("k"), "event_id", F.expr(_RAW).alias("value"))
+    ev.repartition("k").sortWithinPartitions("k", "event_id").select("k", "value").write.partitionBy("k").text(path)
+    return path
+
+
+_RAW = "concat('<Record type=\"HK', event_type, '\" unit=\"x\"/>', CASE WHEN event_id % 3 = 0 THEN concat('<Workout type=\"w\"/><Record', chr(10), ' type=\"HKOther\"/>') ELSE '<record/> type=\"x\"' END)"
+
+
+def hk_type_counts_files(spark, sf):
+    return markup.record_types(markup.pieces(spark, raw_exports(spark, sf)))
+
+
+def record_estimate_files(spark, sf):
+    """Estimated records and line ends of each raw export, unparsed."""
+    return markup.record_estimates(markup.pieces(spark, raw_exports(spark, sf)), folder_no("file"))
 
 
 _ROW = (
@@ -216,6 +250,10 @@ QUERIES = {
     "stream_incremental": stream_incremental,
     "stream_append_if_absent": stream_append_if_absent,
     "stream_daily_counts": stream_daily_counts,
+    "scan_cda_ranges": scan_cda_ranges,
+    "tag_counts_files": tag_counts_files,
+    "hk_type_counts_files": hk_type_counts_files,
+    "record_estimate_files": record_estimate_files,
 }
 
 STAGED = "(SELECT page_id // 64 AS k, string_agg(html || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1)"
@@ -240,4 +278,8 @@ ORACLE_SQL = {
     "stream_incremental": "SELECT 'p' || user_id AS canonical_person_id, COUNT(*) + COUNT(*) FILTER (event_id % 4 = 0) AS rows FROM events GROUP BY 1",
     "stream_append_if_absent": "SELECT 'k' || event_id AS record_key, 'p' || user_id AS canonical_person_id, date_trunc('second', ts) AS event_time FROM events",
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, COUNT(*) + COUNT(*) FILTER (event_id % 4 = 0) AS rows FROM events GROUP BY 1",
+    "tag_counts_files": "SELECT regexp_replace(t, '^[^:]*:', '') AS tag, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<\\s*([A-Za-z_][A-Za-z0-9_.:-]*)', 1)) AS t FROM pages) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+    "hk_type_counts_files": "SELECT 'HK' || event_type AS hk_type, COUNT(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'HKOther', COUNT(*) FROM events WHERE event_id % 3 = 0",
+    "record_estimate_files": "SELECT user_id % 16 AS k, (COUNT(*) + COUNT(*) FILTER (event_id % 3 = 0))::BIGINT AS records, (COUNT(*) + COUNT(*) FILTER (event_id % 3 = 0))::BIGINT AS newlines FROM events GROUP BY 1",
 }
+ORACLE_SQL["scan_cda_ranges"] = ORACLE_SQL["scan_cda_observations"]
