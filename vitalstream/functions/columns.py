@@ -25,13 +25,17 @@ def parse_time(text: Column) -> Column:
 def normalize_time(text: Column) -> Column:
     """Three formats to UTC text: `2020-01-01 00:00:00 -0500`, `20200101000000` and ISO; other text as it is, without the blanks
     around it; NULL if nothing is left."""
-    text = F.nullif(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
-    found = F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z"))),
-        F.when(text.rlike(r"^\d{14}$"), F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss"))),
-        parse_time(text),
-    )
-    return F.coalesce(format_time(found), text)
+
+    def of(t: Column) -> Column:
+        found = F.coalesce(
+            F.when(t.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss Z"))),
+            F.when(t.rlike(r"^\d{14}$"), F.try_to_timestamp(t, F.lit("yyyyMMddHHmmss"))),
+            parse_time(t),
+        )
+        return F.when(t != "", F.coalesce(format_time(found), t))
+
+    # As the one element of an array the text is worked out once, however often the formats look at it.
+    return F.transform(F.array(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), of)[0]
 
 
 def blank_to_null(c: Column) -> Column:
@@ -128,6 +132,11 @@ def record_type(stream: Column) -> Column:
 def resource_time(kind: Column, text: Column) -> Column:
     """Event time of a clinical resource from its JSON text, by kind."""
     at = lambda *paths: first_text(*[F.get_json_object(text, p) for p in paths])
+    return time_of_kind(kind, at)
+
+
+def time_of_kind(kind: Column, at) -> Column:
+    """Event time by kind; at(paths) is the first text that a resource has under them."""
     found = (
         F.when(kind == "Observation", at("$.effectiveDateTime", "$.effectivePeriod.start", "$.issued"))
         .when(kind == "DocumentReference", at("$.date", "$.indexed"))

@@ -61,14 +61,13 @@ def _bad_json() -> Column:
     return F.when(F.col("v").isNull(), _error("invalid_json")).when(~F.schema_of_variant("v").like("OBJECT%"), _error("not_object"))
 
 
-def _required() -> list[Column]:
-    checks = []
-    for key in REQUIRED:
-        shape = F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant"))
-        fine = shape.isin("BIGINT", "BOOLEAN") if key == "schema_version" else shape == "STRING"
-        code = F.when(shape.isNull(), "missing_required_key").when(~fine, "invalid_type")
-        checks.append(F.when(code.isNotNull(), _error(code, key)))
-    return checks
+def _required() -> Column:
+    """The errors of an object's required keys; the shape of each is looked up once."""
+    shape = lambda key: F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant"))
+    shapes = F.array(*[F.struct(F.lit(key).alias("key"), shape(key).alias("shape")) for key in REQUIRED])
+    fine = lambda x: F.when(x["key"] == "schema_version", x["shape"].isin("BIGINT", "BOOLEAN")).otherwise(x["shape"] == "STRING")
+    bad = F.filter(shapes, lambda x: x["shape"].isNull() | ~fine(x))
+    return F.transform(bad, lambda x: F.struct(F.when(x["shape"].isNull(), "missing_required_key").otherwise("invalid_type").alias("code"), x["key"].alias("detail")))
 
 
 def bad_json(lines: DataFrame) -> DataFrame:
@@ -77,11 +76,11 @@ def bad_json(lines: DataFrame) -> DataFrame:
 
 def required_keys(lines: DataFrame) -> DataFrame:
     """missing_required_key and invalid_type of the lines that are objects."""
-    return _listed(_parsed(lines.where(~F.col("line").rlike(BLANK))).where(_is_object()), F.array(*_required()))
+    return _listed(_parsed(lines.where(~F.col("line").rlike(BLANK))).where(_is_object()), _required())
 
 
 def all_errors(lines: DataFrame, tokens: list[str], patterns: list[str]) -> DataFrame:
     """Every line error, by file, line, code and detail: each line is read and parsed once."""
-    keys = F.when(_is_object(), F.array(*_required())).otherwise(F.array(_bad_json()))
+    keys = F.when(_is_object(), _required()).otherwise(F.array(_bad_json()))
     found = F.when(F.col("line").rlike(BLANK), F.array(_error("empty_line"))).otherwise(F.concat(F.array(*_banned(tokens, patterns)), keys) if tokens or patterns else keys)
     return _listed(_parsed(lines), found).orderBy("file", "line_no", "code", "detail")

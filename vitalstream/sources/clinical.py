@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CODINGS, codings, external_ids, first_text, resource_time, subject_id
+from ..functions.columns import CODINGS, codings, external_ids, first_text, subject_id, time_of_kind
 from .tables import table
 
 #: event_id % 7 gives the kind; the two broken ones are cut JSON and an array.
@@ -42,24 +42,38 @@ def field(path: str) -> Column:
     return F.get_json_object("text", path)
 
 
+#: What is read of a resource, as text; a number keeps its digits only in the text itself, so values are not here.
+FIELDS = (
+    "resourceType string, id string, status string, subject struct<reference:string>, effectiveDateTime string, effectivePeriod struct<start:string>, issued string, "
+    "date string, indexed string, authoredOn string, recordedDate string, onsetDateTime string, code struct<coding:string>, type struct<coding:string>"
+)
+
+
 def resource_rows(raw: DataFrame) -> DataFrame:
-    """Canonical columns of every resource of the four kinds; patients and other kinds give no row."""
-    kind = F.col("kind")
-    rows = valid_resources(raw).where(kind.isin("Observation", "DocumentReference", "MedicationRequest", "Condition"))
+    """Canonical columns of every resource of the four kinds; patients and other kinds give no row.
+
+    A text is parsed once to see that it is JSON and once for its fields. These come out of a generator, so that the plan does
+    not parse anew for each of them.
+    """
+    parsed = F.try_parse_json("text")
+    rows = raw.where(parsed.isNotNull() & F.schema_of_variant(parsed).like("OBJECT%")).select("file", "text", F.explode(F.array(F.from_json("text", FIELDS))).alias("r"))
+    kind = F.col("r.resourceType")
+    rows = rows.where(kind.isin("Observation", "DocumentReference", "MedicationRequest", "Condition"))
     stream = F.when(kind == "Observation", "observations").when(kind == "DocumentReference", "documents").when(kind == "MedicationRequest", "medications").otherwise("conditions")
     coded = kind.isin("Observation", "Condition")
-    listed = lambda path: F.to_json(codings(F.coalesce(field(path), F.lit("[]"))))
+    at = lambda *paths: first_text(*[F.col(f"r{p[1:]}") for p in paths])
+    listed = lambda c: F.to_json(codings(F.coalesce(c, F.lit("[]"))))
     return rows.select(
         "file",
         stream.alias("stream"),
-        F.concat_ws("/", "kind", field("$.id")).alias("source_id"),
-        subject_id(field("$.subject.reference")).alias("subject"),
-        resource_time(kind, F.col("text")).alias("event_time"),
-        F.when(coded, listed("$.code.coding")).alias("code_coding_json"),
-        F.when(kind == "DocumentReference", listed("$.type.coding")).alias("type_coding_json"),
+        F.concat_ws("/", kind, "r.id").alias("source_id"),
+        subject_id(F.col("r.subject.reference")).alias("subject"),
+        time_of_kind(kind, at).alias("event_time"),
+        F.when(coded, listed(F.col("r.code.coding"))).alias("code_coding_json"),
+        F.when(kind == "DocumentReference", listed(F.col("r.type.coding"))).alias("type_coding_json"),
         F.when(kind == "Observation", field("$.valueQuantity.value")).alias("value"),
         F.when(kind == "Observation", field("$.valueQuantity.unit")).alias("unit"),
-        F.when(kind != "Condition", field("$.status")).alias("status"),
+        F.when(kind != "Condition", F.col("r.status")).alias("status"),
     )
 
 
