@@ -85,46 +85,80 @@ def test_article_tags_are_not_needed(pages):
     assert all(html.main_text(page) == text for page, text in plain)
 
 
-def test_the_ratios_decide(pages, monkeypatch):
-    """Other ratios give other texts."""
-    rng, ratios = np.random.default_rng(0), html.ratios
-    monkeypatch.setattr(html, "ratios", lambda page: rng.permutation(ratios(page)))
-    assert sum(html.main_text(page) == text for page, text in pages) <= 0.1 * len(pages)
+@pytest.fixture(scope="module")
+def neutral(pages):
+    """The same pages without names: no class, id or role, and divisions for all semantic elements."""
+    bare = lambda page: re.sub(r"(</?)(article|nav|footer|header|aside|main|section)\b", r"\1div", re.sub(r'\s(class|id|role)="[^"]*"', "", page))
+    return [(bare(page), text) for page, text in pages]
+
+
+def equal(pages):
+    return sum(html.main_text(page) == text for page, text in pages) / len(pages)
+
+
+def test_names_are_not_needed(neutral):
+    assert equal(neutral) >= 0.9
+
+
+@pytest.mark.parametrize(
+    "what, change, most",
+    [
+        ("ratios", lambda of: lambda page: (of(page) > 0).astype(float), 0),
+        ("ratios", lambda of: lambda page: (of(page) > 0) * np.random.default_rng(0).uniform(1, 200, len(page.lines)), 0.05),
+        ("two_clusters", lambda of: lambda values: 0.0, 0),
+        ("smoothed", lambda of: lambda page, values: values, 0.7),
+    ],
+)
+def test_each_step_of_the_method_decides(neutral, monkeypatch, what, change, most):
+    """Equal or random ratios, no threshold and no smoothing give other texts; zeros of markup stay where they are."""
+    monkeypatch.setattr(html, what, change(getattr(html, what)))
+    assert equal(neutral) <= most
 
 
 def plainly(page):
-    """Text-to-tag ratios for pages without nested containers, by a regular expression instead of a parser."""
+    """The same for pages without nested parts or odd names, by a regular expression and loops over single lines."""
     page = re.sub(r"<!--.*?-->|<(script|style|title)\b.*?</\1>", "", page, flags=re.S)
-    lines, text, tags, inside, link = [], "", 0, [], False
+    lines, text, tags, inside, linked, link = [], "", 0, [0], 0, False
+    parent, boxes = [-1], 1
     for tag, close, name, words in re.findall(r"(<(/?)([a-zA-Z0-9!]+)[^>]*>)|([^<]+)", page):
         if words:
             text += words
+            linked += len(words.strip()) if link else 0
             continue
         if name in ("p", "h1", "ul", "li", "div", "nav", "footer", "article", "body", "html", "head"):
             if t := " ".join(unescape(text).split()):
-                lines.append((t, tags, tuple(inside)))
+                lines.append((t, tags, inside[-1], min(linked, len(t)), {"nav", "footer", "*"} & {b for b in named[inside[-1]]} if inside[-1] else set()))
                 tags = 0
-            text = ""
+            text, linked = "", 0
         elif name == "br":
             text += " "
+        elif name == "a":
+            link = not close
         tags += 1
-        if name in ("nav", "footer", "div", "article"):
-            inside.append(name + ("*" if 'class="ad"' in tag else "")) if not close else inside.pop()
-    ratio = [0 if {"nav", "footer", "div*"} & set(box) else len(t) / max(1, n) for t, n, box in lines]
-    bell = [np.exp(-(k**2) / 2) for k in range(-3, 4)]
-    at = lambda i: ratio[min(max(i, 0), len(ratio) - 1)]
-    smooth = [sum(w * at(i + k) for k, w in zip(range(-3, 4), bell)) / sum(bell) for i in range(len(ratio))]
-    low, high = min(smooth), max(smooth)
+        if name in ("nav", "footer", "div", "article", "ul", "head", "body"):
+            if close:
+                inside.pop()
+            else:
+                parent.append(inside[-1])
+                named = {**(named if boxes > 1 else {0: ()}), boxes: (*(named[inside[-1]] if boxes > 1 else ()), name, "*" if 'class="ad"' in tag else "")}
+                inside.append(boxes)
+                boxes += 1
+    value = [0.0 if barred else float(np.log1p((len(t) - 0.9 * n_link) / max(1, n))) for t, n, _, n_link, barred in lines]
+    chain = lambda b: {b} if b <= 0 else {b} | chain(parent[b])
+    smooth = []
+    for i, (_, _, box, _, _) in enumerate(lines):
+        near = [(j, np.exp(-((i - j) ** 2) / 8) * (1 if lines[j][2] in chain(box) or box in chain(lines[j][2]) else 0.25)) for j in range(max(0, i - 6), min(len(lines), i + 7)) if value[j]]
+        smooth.append(sum(w * value[j] for j, w in near) / sum(w for _, w in near) if value[i] else 0.0)
+    every = [*smooth, 0.0]
+    low, high = min(every), max(every)
     for _ in range(50):
-        a, b = [x for x in smooth if x < (low + high) / 2], [x for x in smooth if x >= (low + high) / 2]
+        a, b = [x for x in every if x < (low + high) / 2], [x for x in every if x >= (low + high) / 2]
         if a and b:
             low, high = sum(a) / len(a), sum(b) / len(b)
-    held = {}
-    for (t, _, box), r, s in zip(lines, ratio, smooth):
-        if r > 0 and s >= (low + high) / 2:
-            held[box] = held.get(box, 0) + len(t)
-    box = max(held, key=held.get)
-    return "\n".join(t for (t, _, b), r in zip(lines, ratio) if r > 0 and b == box)
+    cut = (low + high) / 2
+    votes = {k: sum(s - cut for s, x in zip(smooth, lines) if k in chain(x[2])) for k in range(boxes)}
+    best = max(votes, key=lambda k: (round(votes[k], 9), -k))
+    return "\n".join(x[0] for x, s, v in zip(lines, smooth, value) if v and best in chain(x[2]) and s >= cut)
 
 
 def test_agrees_with_a_plain_implementation(pages):
@@ -132,6 +166,17 @@ def test_agrees_with_a_plain_implementation(pages):
         assert html.main_text(page) == plainly(page)
 
 
+def test_a_page_of_content_only():
+    short = "".join(f"<p>{'word ' * n}</p>" for n in (3, 40, 2, 9, 100, 4))
+    assert html.main_text(short).count("\n") == 5
+
+
 def test_clusters_and_smoothing():
     assert abs(html.two_clusters(np.array([0.0, 1, 2, 50, 51])) - 25.75) < 1e-9
-    assert np.allclose(html.smoothed(np.ones(9)), 1)
+    page = html.Lines()
+    page.feed("<div><p>a<p>b<p>c</div><div><p>d</div>")
+    page.end_line()
+    assert np.allclose(html.smoothed(page, np.ones(4)), 1)
+    got = html.smoothed(page, np.array([0.0, 2, 4, 8]))
+    near, far = np.exp(-1 / 8), np.exp(-4 / 8)
+    assert got[0] == 0 and abs(got[1] - (2 + near * 4 + far * 0.25 * 8) / (1 + near + far * 0.25)) < 1e-12

@@ -1,14 +1,15 @@
 """Main text of HTML pages by text-to-tag ratios.
 
 Events of the standard library's parser cut a page into lines, one per block element, and note the container that each is in.
-A line's ratio is its text length over its tags. Text that a page presents as no part of its article (menus, forms, adverts,
-comments, runs of links, ...) counts as markup, so such a line has the ratio 0. Ratios are smoothed by a Gaussian over the
-page's lines, two clusters split them at a threshold, and the lines of the upper cluster are content.
-
-The content lines choose the region: the innermost container that holds MOST of their text, widened by neighbours that add
-little to it. Lines of the region with a ratio above 0 are the article, so its headings, lists and short paragraphs stay.
-Article and main elements only help: their names are never read as adverts or menus, a container around one is no menu, and
-an article next to the chosen one belongs to it.
+A line's ratio is its text length over its tags. Text that a page presents as no part of its article (forms, adverts, comments,
+...) counts as markup, so such a line has the ratio 0, and of the text of links only a tenth counts. The logarithms of the ratios are smoothed by a
+Gaussian over the page's lines, where containers side by side blur less than what is nested, and two clusters split them at
+a threshold. The lines of the upper cluster are content.
+
+The lines also choose the region by what they lie above or below the threshold: the container with the greatest sum. Content
+lines of the region are the article, with the lists, tables and nested parts that follow on from them. Article and main
+elements only help: their names are never read as adverts or menus, a container around one is no menu, and an article next to
+the chosen one belongs to it.
 """
 
 from __future__ import annotations
@@ -44,9 +45,11 @@ ROLES = frozenset(
 )
 ABOUT = frozenset("cat category format has is no not post tag type with without".split())
 FREE, WEAK, STRONG = 0, 1, 2
-SIGMA = 1.0
-#: The part of the content that a region must hold, and what a wider one may add.
-MOST, MORE = 0.8, 0.25
+SIGMA = 2.0
+#: The weight of lines in containers side by side, and the part of its text that a wider region may add.
+ASIDE, MORE = 0.25, 0.25
+#: The part of a link's text that does not count, and the part of a line that links are in menus.
+UNLINKED, MENU = 0.9, 0.6
 
 
 class Lines(HTMLParser):
@@ -142,36 +145,59 @@ def barred(page: Lines) -> list[bool]:
     """The containers whose text counts as markup.
 
     A weak mark (a name, a form) does not count where the container holds an article with text, or, on pages without one,
-    three paragraphs and more than half of the text. A container of three links and more that are most of its text is a menu.
+    three paragraphs and more than half of the text.
     """
     nodes = len(page.tag)
     out = [page.mark[0] == STRONG] * nodes
     for i in range(1, nodes):
         out[i] = out[page.parent[i]] or page.mark[i] == STRONG
-    text, paragraphs, links, linked = (np.zeros(nodes) for _ in range(4))
-    for words, _, node, link_chars, paragraph in page.lines:
+    text, paragraphs = np.zeros(nodes), np.zeros(nodes)
+    for words, _, node, _, paragraph in page.lines:
         if not out[node]:
             text[node] += len(words)
             paragraphs[node] += paragraph
-            if link_chars and len(words) <= 120:
-                links[node] += 1
-                linked[node] += link_chars
-    text, paragraphs, links, linked = (below(page, x) for x in (text, paragraphs, links, linked))
+    text, paragraphs = below(page, text), below(page, paragraphs)
     articles = below(page, np.array([t in ARTICLES and not out[i] and text[i] > 0 for i, t in enumerate(page.tag)]))
     for i in range(1, nodes):
         if out[page.parent[i]]:
             out[i] = True
         elif page.mark[i] == WEAK:
             out[i] = not (articles[i] or not articles[0] and paragraphs[i] >= 3 and 2 * text[i] > text[0])
-        elif page.mark[i] == FREE and page.tag[i] not in ARTICLES and not articles[i]:
-            out[i] = bool(links[i] >= 3 and linked[i] >= 0.6 * text[i] and not paragraphs[i])
     return out
 
 
-def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    reach = int(np.ceil(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+def ratios(page: Lines) -> np.ndarray:
+    """Text over tags of each line; of the text of links a part, of markup's nothing."""
+    out = barred(page)
+    return np.array([0.0 if out[node] else (len(text) - UNLINKED * linked) / max(1, tags) for text, tags, node, linked, _ in page.lines])
+
+
+def smoothed(page: Lines, values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """values averaged with those of the lines nearby by a Gaussian. Lines of containers side by side count as ASIDE of their
+    weight, those of one container or of nested ones in full; markup (0) stays 0 and blurs nothing."""
+    n, reach = len(values), int(np.ceil(3 * sigma))
+    use = (values > 0).astype(float)
+    total, weight = values * use, use.copy()
+    node = np.array([x[2] for x in page.lines])
+    order = nested(page)
+    for d in range(1, min(reach, n - 1) + 1):
+        a, b = node[:-d], node[d:]
+        w = np.exp(-0.5 * (d / sigma) ** 2) * np.where(order(a, b) | order(b, a), 1.0, ASIDE) * use[:-d] * use[d:]
+        total[:-d] += w * values[d:]
+        total[d:] += w * values[:-d]
+        weight[:-d] += w
+        weight[d:] += w
+    return total / np.maximum(weight, 1e-12)
+
+
+def nested(page: Lines):
+    """Whether container b is a or lies in a, for arrays of containers. Numbers are given when containers open, so all inside
+    of one follow it up to the last that it holds."""
+    last = list(range(len(page.tag)))
+    for i in range(len(last) - 1, 0, -1):
+        last[page.parent[i]] = max(last[page.parent[i]], last[i])
+    last_of = np.array(last)
+    return lambda a, b: (a <= b) & (b <= last_of[a])
 
 
 def two_clusters(values: np.ndarray) -> float:
@@ -189,32 +215,31 @@ def two_clusters(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def ratios(page: Lines) -> np.ndarray:
-    out = barred(page)
-    return np.array([0.0 if out[node] else len(text) / max(1, tags) for text, tags, node, _, _ in page.lines])
+def content(page: Lines, ratio: np.ndarray) -> np.ndarray:
+    """How far each line lies above the threshold between the two clusters of smoothed ratios. Ratios count by their logarithm,
+    as those of paragraphs reach over several powers of ten; a page has a line of markup, even if it shows none."""
+    smooth = smoothed(page, np.log1p(ratio))
+    return smooth - two_clusters(np.append(smooth, 0.0))
 
 
-def region(page: Lines, ratio: np.ndarray) -> list[bool]:
-    """The containers that the content lines choose."""
+def region(page: Lines, ratio: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The lines of the container that the lines choose: those above the threshold speak for the containers they are in, those
+    below against them, and the most favoured one counts, the outermost of equals; widened by what adds little text to it."""
     nodes = len(page.tag)
     node = np.array([x[2] for x in page.lines])
     chars = np.array([len(x[0]) for x in page.lines], float)
-    smooth = smoothed(ratio)
-    content = (smooth >= two_clusters(smooth)) & (ratio > 0)
-    if not content.any():
-        content[ratio.argmax()] = True
-    seeds = below(page, np.bincount(node, chars * content, nodes))
+    votes = below(page, np.bincount(node, above, nodes))
     kept = below(page, np.bincount(node, chars * (ratio > 0), nodes))
-    best = 0
-    for i in range(1, nodes):  # parents come first, and only one child can hold that much
-        if page.parent[i] == best and seeds[i] >= MOST * seeds[0]:
-            best = i
-    inside = [False] * nodes
+    votes[kept == 0] = -np.inf
+    best = int(np.flatnonzero(votes >= votes.max() - 1e-9)[0])
     while page.tag[best] not in ARTICLES and page.parent[best] > 0 and page.tag[page.parent[best]] != "body" and kept[page.parent[best]] <= (1 + MORE) * kept[best]:
         best = page.parent[best]
-    for i in range(nodes):
-        beside = page.tag[best] in ARTICLES and page.tag[i] in ARTICLES and page.parent[i] == page.parent[best]
-        inside[i] = i == best or beside or i > 0 and inside[page.parent[i]]
+    order = nested(page)
+    inside = order(np.full(len(node), best), node)
+    if page.tag[best] in ARTICLES:
+        for i in range(nodes):
+            if page.tag[i] in ARTICLES and page.parent[i] == page.parent[best]:
+                inside |= order(np.full(len(node), i), node)
     return inside
 
 
@@ -231,8 +256,19 @@ def main_text(html: str | None) -> str:
     ratio = ratios(page)
     if not ratio.any():
         return ""
-    inside = region(page, ratio)
-    return "\n".join(line[0] for line, r in zip(page.lines, ratio) if r > 0 and inside[line[2]])
+    above = content(page, ratio)
+    own = np.flatnonzero(region(page, ratio, above) & (ratio > 0))
+    keep = above[own] >= 0
+    if not keep.any():
+        keep[above[own].argmax()] = True
+    # The lists, tables and parts inside the region that follow on from content lines belong to them.
+    top = {page.lines[i][2] for i in own[keep]}
+    part = np.array([page.lines[i][2] not in top and page.lines[i][3] < MENU * len(page.lines[i][0]) for i in own])
+    for order in (range(1, len(own)), range(len(own) - 2, -1, -1)):
+        step = 1 if order.step > 0 else -1
+        for k in order:
+            keep[k] |= part[k] and keep[k - step]
+    return "\n".join(page.lines[i][0] for i in own[keep])
 
 
 def extract(pages: DataFrame) -> DataFrame:
