@@ -3,6 +3,7 @@ import re
 import numpy as np
 
 from vitalstream.llm import minhash
+from vitalstream.operators import skew
 
 
 def brute(rows):
@@ -75,6 +76,24 @@ def test_repeated_and_null_ids(documents):
     assert minhash.near_duplicates(documents(rows).limit(0)).collect() == []
 
 
+def test_several_texts_under_one_id(documents):
+    """Links of each of the texts count for the id."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "nothing of the kind here at all"), (1, None)]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents([(*r, None, None) for r in order])).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_many_exact_copies(documents, monkeypatch):
+    """Also where the rows of a set are spread over tasks."""
+    monkeypatch.setattr(skew, "SMALL", 100)
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, text, None, None) for i in range(5, 3005)] + [(4, text + " x", None, None), (9999, "alone in all of this", None, None)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert got == {i: 4 for i in range(4, 3005)} | {9999: 9999}
+
+
 def test_one_row_of_each_group(documents):
     """Repeated rows and rows without an id are copies too; two texts under one id are two documents."""
     rows = [(3, "a b c d e f", "en", "a")] * 3 + [(None, "a b c d e f", None, None)] * 2 + [(2, "A b c d e f", None, None)]

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_names, materialize
+from ..operators.skew import spread_join
+from .common import components, free_names, materialize, release
 from .runs import dealt_pairs, key_runs, pairs_of_chunks
 
 SHINGLE_WORDS = 5
@@ -92,7 +93,7 @@ class Circulant:
 
 
 def sketches(docs: DataFrame, chunk_shingles: int = 200_000) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands): set_key is a digest of the full set, null (as bands) if it is empty."""
+    """(doc_id, text_hash, n_shingles, set_key, bands): set_key is a digest of the full set, null (as bands) if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = Circulant()
@@ -114,10 +115,11 @@ def sketches(docs: DataFrame, chunk_shingles: int = 200_000) -> DataFrame:
                 if sum(map(len, held)) > chunk_shingles if len(held) % 16 == 0 or len(s) > chunk_shingles else False:
                     flush()
             flush()
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
@@ -200,24 +202,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     of several texts under one id, links of any count for the id. Other columns are ignored.
     """
     found = materialize(sketches(docs))
-    filled = found.where("set_key is not null and doc_id is not null")
-    classes = materialize(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "bands"))["bands"].alias("bands")))
+    total = found.count()
+    # A class, all rows of one set, goes by a number of its own: several texts under one id are several classes.
+    filled = found.where("set_key is not null and doc_id is not null").withColumn("rep", F.xxhash64("set_key"))
+    classes = filled.groupBy("rep", "set_key").agg(F.count("*").alias("_rows"), F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("first"))
+    classes = materialize(classes.select("rep", "set_key", "_rows", "n", "first.*"))
     bands = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
     members = materialize(bands.join(hubs, "bucket").select("bucket", "rep", "n", "hub"))
-    # The texts that share a bucket with another are all that is compared from here on.
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # The texts of classes that share a bucket with another are all that is compared from here on, one of each class.
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
+    given = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_hash", F.xxhash64("text"))
+    texts = materialize(given.join(wanted, ["doc_id", "text_hash"]).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     first = materialize(confirmed(texts, star, percent))
     groups = materialize(components(first))
     grouped = members.join(groups, members["rep"] == groups["id"], "left").select("bucket", "rep", "n", "hub", F.coalesce("component", "rep").alias("component"))
     unlike = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    second = confirmed(texts, materialize(alike(texts, materialize(grouped.join(unlike, "bucket", "left_semi")), percent)), percent)
-    same = filled.join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(first.unionByName(second).unionByName(same))
-    out = found.join(final, found["doc_id"] == final["id"], "left")
-    component = F.coalesce("component", "doc_id")
+    second = materialize(confirmed(texts, materialize(alike(texts, materialize(grouped.join(unlike, "bucket", "left_semi")), percent)), percent))
+    # Classes that share an id are linked by it.
+    several = filled.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    links = first.unionByName(second)
+    if not several.isEmpty():
+        owned = filled.select("doc_id", "rep").distinct()
+        links = links.unionByName(spread_join(owned, several, ["doc_id"], F.col("rep"), total).where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    joined = components(links)
+    placed = classes.join(joined, classes["rep"] == joined["id"], "left").select("set_key", "_rows", "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A large component's classes spread over tasks, as do the copies of a class.
+    named = materialize(spread_join(placed, least, ["component"], F.col("set_key"), classes.count()).select("set_key", "_rows", "component_id"))
+    for done in (members, texts, first, groups, second, classes):
+        release(done)
+    out = spread_join(found.drop("bands", "text_hash"), named.drop("_rows"), ["set_key"], F.col("doc_id"), total, how="left", counts=named.select("set_key", "_rows"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
