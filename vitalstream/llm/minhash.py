@@ -207,8 +207,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     filled = found.where("set_key is not null and doc_id is not null").withColumn("rep", F.xxhash64("set_key"))
     classes = filled.groupBy("rep", "set_key").agg(F.count("*").alias("_rows"), F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("first"))
     classes = materialize(classes.select("rep", "set_key", "_rows", "n", "first.*"))
-    bands = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
+    bands = classes.select("rep", "n", "doc_id", F.explode("bands").alias("bucket"))
+    # A bucket's hub is the class of its smallest id: the first of a group of copies, which all are like, rather than one of them.
+    hubs = bands.groupBy("bucket").agg(F.min(F.struct("doc_id", "rep"))["rep"].alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
     members = materialize(bands.join(hubs, "bucket").select("bucket", "rep", "n", "hub"))
     # The texts of classes that share a bucket with another are all that is compared from here on, one of each class.
     wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
