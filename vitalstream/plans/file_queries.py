@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports
-from ..sources import clinical, files, markup, sinks
+from ..sources import canonical, clinical, files, markup, sinks
 from ..sources.tables import EVENTS_SQL, STREAMS, all_events, new_folder, table
 from ..streaming import loads
 
@@ -20,7 +20,8 @@ def lines_of(spark, sf, sql, name="events", folder="lines"):
     return path
 
 
-def scan_healthkit_records(spark, sf):
+def device_exports(spark, sf):
+    """A device export for each of 64 groups of persons."""
     record = (
         "concat('<Record type=\"', CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END, '\" unit=\"u', u, '\" value=\"', event_id, '\"', "
         "CASE WHEN event_id % 2 = 0 THEN concat(' startDate=\"', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' -0500\"') ELSE '' END, ' endDate=\"', date_format(ts, 'yyyyMMddHHmmss'), '\"/>')"
@@ -33,7 +34,11 @@ def scan_healthkit_records(spark, sf):
     lines = ev.select("user_id", F.lit(1).alias("n"), F.expr(record).alias("value")).unionByName(ends[0]).unionByName(ends[1])
     # An export file for each group of persons, its lines written one by one.
     lines.repartition("user_id").sortWithinPartitions("user_id", "n").select("user_id", "value").write.partitionBy("user_id").text(path)
-    return files.healthkit_records(spark, path).drop("record_key")
+    return path
+
+
+def scan_healthkit_records(spark, sf):
+    return files.healthkit_records(spark, device_exports(spark, sf)).drop("record_key")
 
 
 def scan_fhir_resources(spark, sf):
@@ -147,6 +152,17 @@ def export_ndjson_lines(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def canonical_export(spark, sf):
+    """The canonical lines of device records, clinical resources and clinical documents, all keys of theirs, read back."""
+    path = new_folder(spark, "canonical")
+    people = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.lit("fhir:id").alias("system"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("value"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("person"))
+    lines = canonical.device_lines(files.healthkit_records(spark, device_exports(spark, sf)), "source/export.xml", "run1")
+    lines = lines.unionByName(canonical.document_lines(files.cda_observations(files.cda_documents(spark, cda_folder(spark, sf))), "source/export_cda.xml", "run1"))
+    lines = lines.unionByName(canonical.resource_lines(clinical.raw_resources(spark, sf).select("file", "text"), people, "run1"))
+    canonical.export(lines, path)
+    return spark.read.schema("value string, stream string").text(path).select("stream", F.col("value").alias("line"))
+
+
 def export_device_lines(spark, sf):
     """Device rows as lines sorted by key, read back."""
     path = new_folder(spark, "device")
@@ -241,6 +257,7 @@ QUERIES = {
     "file_inventory": lambda s, d: files.inventory(s, staged(s, d)).select(folder_no(), "length"),
     "staging_manifest": lambda s, d: files.manifest(s, staged(s, d)).select(folder_no(), "size", "sha256"),
     "export_ndjson_lines": export_ndjson_lines,
+    "canonical_export": canonical_export,
     "export_device_lines": export_device_lines,
     "csv_result": csv_result,
     "report_sinks": report_sinks,
@@ -282,4 +299,24 @@ ORACLE_SQL = {
     "hk_type_counts_files": "SELECT 'HK' || event_type AS hk_type, COUNT(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'HKOther', COUNT(*) FROM events WHERE event_id % 3 = 0",
     "record_estimate_files": "SELECT user_id % 16 AS k, (COUNT(*) + COUNT(*) FILTER (event_id % 3 = 0))::BIGINT AS records, (COUNT(*) + COUNT(*) FILTER (event_id % 3 = 0))::BIGINT AS newlines FROM events GROUP BY 1",
 }
+_TIMED = "',\"event_time\":' || COALESCE('\"' || t || '\"', 'null')"
+_RUN = "'\"run_id\":\"run1\",\"schema_version\":2,\"source\":\"'"
+#: The members before event_key, between it and record_key, and after it, of each source's rows.
+_PARTS = f"""SELECT 'observations' AS stream, '"canonical_person_id":"unresolved"' AS head, substr({_TIMED}, 2) || ',"hk_type":"' || event_type || '"' AS middle,
+ {_RUN} || 'healthkit","source_file":"source/export.xml","unit":"u' || user_id || '","value":"' || event_id || '"' AS tail
+ FROM (SELECT *, strftime(ts + (CASE WHEN event_id % 2 = 0 THEN 5 ELSE 0 END) * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events WHERE event_id % 5 <> 0)
+UNION ALL SELECT DISTINCT 'observations', '"canonical_person_id":"unresolved","code":"' || code || '"', substr({_TIMED}, 2),
+ {_RUN} || 'cda","source_file":"source/export_cda.xml","unit":' || COALESCE('"' || unit || '"', 'null') || ',"value":' || COALESCE('"' || value || '"', 'null')
+ FROM (SELECT {T} AS t, 'c' || (event_id % 9) AS code, 'mg' AS unit, event_id::VARCHAR AS value FROM events UNION ALL SELECT NULL, 'inner', NULL, NULL FROM events)
+UNION ALL SELECT CASE k WHEN 2 THEN 'documents' WHEN 3 THEN 'medications' WHEN 4 THEN 'conditions' ELSE 'observations' END,
+ '"canonical_person_id":"' || COALESCE('p' || c_custkey, 'unresolved') || '"' || CASE WHEN k IN (0, 1, 4) THEN ',"code_coding":' || coded ELSE '' END, substr({_TIMED}, 2),
+ '"resource_type":"' || kind || '",' || {_RUN} || 'fhir","source_file":"clinical-records/' || event_id || '.json","source_id":"' || kind || '/r' || event_id || '"'
+ || CASE k WHEN 0 THEN ',"status":"final"' WHEN 2 THEN ',"status":"current"' WHEN 3 THEN ',"status":"active"' ELSE '' END || CASE WHEN k = 2 THEN ',"type_coding":' || coded ELSE '' END
+ || CASE WHEN k = 0 THEN ',"unit":"bpm","value":' || (event_id % 100) ELSE '' END
+ FROM (SELECT *, event_id % 7 AS k, {KIND} AS kind, {T} AS t, '[{{"code":"c' || (event_id % 5) || '","system":"s1"}},{{"code":"' || event_type || '","system":"s2"}}]' AS coded FROM events WHERE event_id % 7 < 5) e
+ LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 3 <> 0"""
+ORACLE_SQL["canonical_export"] = (
+    f"SELECT stream, '{{' || head || ',\"event_key\":\"' || h || '\",' || middle || ',\"record_key\":\"' || h || '\",' || tail || '}}' AS line "
+    f"FROM (SELECT *, sha256('{{' || head || ',' || middle || ',' || tail || '}}') AS h FROM ({_PARTS}))"
+)
 ORACLE_SQL["scan_cda_ranges"] = ORACLE_SQL["scan_cda_observations"]

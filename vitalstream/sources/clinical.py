@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CODINGS, codings, external_ids, first_text, subject_id, time_of_kind
+from ..functions.columns import CODINGS, blank_to_null, codings, external_ids, first_text, subject_id, time_of_kind
 from .tables import table
 
 #: event_id % 7 gives the kind; the two broken ones are cut JSON and an array.
@@ -49,8 +49,9 @@ FIELDS = (
 )
 
 
-def resource_rows(raw: DataFrame) -> DataFrame:
-    """Canonical columns of every resource of the four kinds; patients and other kinds give no row.
+def resource_rows(raw: DataFrame, *more: Column) -> DataFrame:
+    """Canonical columns of every resource of the four kinds; patients and other kinds give no row. A resource without an id
+    has no source_id. more are further columns, of text or of the fields in r.
 
     A text is parsed once to see that it is JSON and once for its fields. These come out of a generator, so that the plan does
     not parse anew for each of them.
@@ -66,7 +67,7 @@ def resource_rows(raw: DataFrame) -> DataFrame:
     return rows.select(
         "file",
         stream.alias("stream"),
-        F.concat_ws("/", kind, "r.id").alias("source_id"),
+        F.concat(kind, F.lit("/"), blank_to_null(F.col("r.id"))).alias("source_id"),
         subject_id(F.col("r.subject.reference")).alias("subject"),
         time_of_kind(kind, at).alias("event_time"),
         F.when(coded, listed(F.col("r.code.coding"))).alias("code_coding_json"),
@@ -74,6 +75,7 @@ def resource_rows(raw: DataFrame) -> DataFrame:
         F.when(kind == "Observation", field("$.valueQuantity.value")).alias("value"),
         F.when(kind == "Observation", field("$.valueQuantity.unit")).alias("unit"),
         F.when(kind != "Condition", F.col("r.status")).alias("status"),
+        *more,
     )
 
 
