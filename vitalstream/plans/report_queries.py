@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_time, record_type, source_bucket
-from ..operators import reports
-from ..sources.tables import EVENTS_SQL, all_events, stream_of
+from ..operators import adhoc, reports
+from ..sources import sinks
+from ..sources.tables import EVENTS_SQL, STREAMS, all_events, new_folder, stream_of
 
 over = lambda f: lambda spark, sf: f(all_events(spark, sf))
 
@@ -43,14 +44,29 @@ UNION ALL SELECT 13, 'signals.top_observations=' || string_agg(label || ':' || r
 UNION ALL SELECT 14, 'Figures only: names, dates of birth and texts stay out.'"""
 
 
+JOINED = (
+    "SELECT o.canonical_person_id, o.n AS observation_rows, m.n AS medication_rows FROM (SELECT canonical_person_id, COUNT(*) AS n FROM stream_observations GROUP BY 1) o "
+    "JOIN (SELECT canonical_person_id, COUNT(*) AS n FROM stream_medications GROUP BY 1) m ON o.canonical_person_id = m.canonical_person_id WHERE o.n < m.n"
+)
+#: Windows, subtotals and sets over all streams, in words that both engines know.
+TOTALLED = (
+    "WITH every AS (SELECT stream, source, run_id, event_time FROM stream_observations UNION ALL SELECT stream, source, run_id, event_time FROM stream_documents "
+    "UNION ALL SELECT stream, source, run_id, event_time FROM stream_medications UNION ALL SELECT stream, source, run_id, event_time FROM stream_conditions), "
+    "totals AS (SELECT stream, source, COUNT(*) AS n, MAX(event_time) AS latest FROM every WHERE EXISTS (SELECT 1 FROM stream_medications m WHERE m.run_id = every.run_id) GROUP BY GROUPING SETS ((stream, source), (stream), ())) "
+    "SELECT stream, source, n, latest, RANK() OVER (ORDER BY n DESC) AS place FROM totals"
+)
+
+
 def adhoc_sql(spark, sf):
-    """Any SQL over the four streams, as views."""
-    for s in ("observations", "documents", "medications", "conditions"):
-        stream_of(spark, sf, s).createOrReplaceTempView(f"stream_{s}")
-    return spark.sql(
-        "SELECT o.canonical_person_id, o.n AS observation_rows, m.n AS medication_rows FROM (SELECT canonical_person_id, COUNT(*) AS n FROM stream_observations GROUP BY 1) o "
-        "JOIN (SELECT canonical_person_id, COUNT(*) AS n FROM stream_medications GROUP BY 1) m ON o.canonical_person_id = m.canonical_person_id WHERE o.n < m.n"
-    )
+    """Any SQL that only reads, over the four streams."""
+    return adhoc.query(spark, JOINED, {f"stream_{s}": stream_of(spark, sf, s) for s in STREAMS})
+
+
+def adhoc_csv(spark, sf):
+    """The result of an SQL text as CSV, in its rows' order, read back without its header."""
+    path = new_folder(spark, "adhoc")
+    sinks.csv_rows(adhoc.query(spark, TOTALLED, {f"stream_{s}": stream_of(spark, sf, s) for s in STREAMS}), path, "place", "stream", "source")
+    return spark.read.text(path).where("value not like 'stream,source,%'").select(F.col("value").alias("line"))
 
 
 QUERIES = {
@@ -77,6 +93,7 @@ QUERIES = {
     "csv_cells": over(lambda ev: ev.select("record_key", F.coalesce(format_time(F.col("event_time")), F.lit("")).alias("event_time"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce("code", F.lit("")).alias("code"))),
     "merge_observations": lambda spark, sf: merge_observations(spark, sf),
     "adhoc_sql": adhoc_sql,
+    "adhoc_csv": adhoc_csv,
 }
 
 
@@ -112,6 +129,12 @@ ORACLE_SQL = {
         "format_ts": f"SELECT record_key, strftime(event_time, {STAMP}) AS event_time_text FROM ev",
         "csv_cells": f"SELECT record_key, COALESCE(strftime(event_time, {STAMP}), '') AS event_time, COALESCE(status, '') AS status, COALESCE(code, '') AS code FROM ev",
         "merge_observations": "SELECT record_key, source, event_time, hk_type, resource_type, code FROM ev WHERE stream = 'observations'",
-        "adhoc_sql": "SELECT o.canonical_person_id, o.n AS observation_rows, m.n AS medication_rows FROM (SELECT canonical_person_id, COUNT(*) AS n FROM ev WHERE stream = 'observations' GROUP BY 1) o JOIN (SELECT canonical_person_id, COUNT(*) AS n FROM ev WHERE stream = 'medications' GROUP BY 1) m USING (canonical_person_id) WHERE o.n < m.n",
+        **{
+            name: "".join(f", stream_{s} AS (SELECT * FROM ev WHERE stream = '{s}')" for s in STREAMS) + sql
+            for name, sql in {
+                "adhoc_sql": f" SELECT * FROM ({JOINED})",
+                "adhoc_csv": f" SELECT concat_ws(',', COALESCE(stream, ''), COALESCE(source, ''), n, COALESCE(strftime(latest, {STAMP}), ''), place) AS line FROM ({TOTALLED})",
+            }.items()
+        },
     }.items()
 }
