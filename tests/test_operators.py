@@ -199,6 +199,48 @@ def test_identity_rounds_equal_the_fold(spark, tmp_path):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
 
 
+def settled_by_turns(ids):
+    taken, claims = set(), []
+    for hit, own in ids:
+        if not taken & set(own):
+            taken |= set(own)
+            claims += [(hit, i) for i in own]
+    return sorted(claims)
+
+
+def rounds_of(spark, tmp_path, ids):
+    import uuid
+
+    written = []
+
+    def keep(df):
+        written.append(f"{tmp_path}/{uuid.uuid4().hex}")
+        df.write.parquet(written[-1])
+        return spark.read.schema(df.schema).parquet(written[-1])
+
+    given = spark.createDataFrame([(h, i) for h, own in ids for i in own], "hit long, id string")
+    return sorted(map(tuple, identity.settled(given, keep).collect())), len(written)
+
+
+def test_a_long_chain_of_hits_settles_in_few_rounds(spark, tmp_path):
+    """Each of 10,000 hits shares an id with the one before: by turns every second one claims."""
+    ids = [(h, [f"i{h}", f"i{h + 1}"]) for h in range(10_000)]
+    got, tables = rounds_of(spark, tmp_path, ids)
+    assert got == settled_by_turns(ids) and tables < 22
+
+
+def test_chains_hubs_and_forks_settle_as_by_turns(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    hub = [(h, ["hub", f"s{h}"]) for h in range(200)]
+    fork = [(200 + h, [f"s{h}", f"t{h // 2}"]) for h in range(200)]
+    chains = [(400 + h, [f"c{h % 5}-{h // 5}", f"c{h % 5}-{h // 5 + 1}"] + ([f"s{rng.randrange(200)}"] if h % 37 == 0 else [])) for h in range(400)]
+    ids = hub + fork + chains
+    got, tables = rounds_of(spark, tmp_path, ids)
+    assert got == settled_by_turns(ids) and tables < 60
+
+
 def test_joins_spread_frequent_keys(spark, monkeypatch):
     from vitalstream.operators import skew
     from vitalstream.operators.skew import spread_join

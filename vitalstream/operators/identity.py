@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import spread_join
+
 
 def fold(rows: pd.DataFrame, run: str) -> pd.DataFrame:
     """Persons of one component's hits (hit, ids, linked, name_person), in hit order.
@@ -34,18 +36,44 @@ def fold(rows: pd.DataFrame, run: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["hit", "person_key", "state"])
 
 
+def claiming(left: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(hit): open hits of left (hit, id) that are sure to claim their ids.
+
+    A hit without an earlier one at any of its ids claims. A hit with exactly one earlier one claims if that one does not, so
+    along a chain of such hits claims alternate: each hit points at the end of its chain by pointer doubling, with the parity
+    of the way, and claims if the way is even and the chain ends at a hit that claims. Chains that end at a hit with several
+    earlier ones stay open.
+    """
+    total = left.count()
+    firsts = left.groupBy("id").agg(F.min("hit").alias("first"))
+    met = spread_join(left, firsts, ["id"], F.col("hit"), total)
+    seconds = met.where("hit > first").groupBy("id").agg(F.min("hit").alias("second"))
+    near = spread_join(met, seconds, ["id"], F.col("hit"), total, how="left")
+    before = F.when(F.col("hit") > F.col("first"), F.col("first"))
+    third = F.coalesce(F.col("hit") > F.col("second"), F.lit(False))
+    hits = keep(near.groupBy("hit").agg(F.min(before).alias("to"), F.max(before).alias("most"), F.max(third).alias("several")))
+    points = hits.where("to = most and not several").select("hit", "to", F.lit(True).alias("odd"), F.lit(False).alias("done"))
+    while count := points.where("not done").count():
+        further = points.select(F.col("hit").alias("to"), F.col("to").alias("next"), F.col("odd").alias("flip"), F.col("done").alias("last"))
+        stepped = spread_join(points.where("not done"), further, ["to"], F.col("hit"), count, how="left")
+        odd = F.col("odd") != F.coalesce("flip", F.lit(False))
+        stepped = stepped.select("hit", F.coalesce("next", "to").alias("to"), odd.alias("odd"), F.coalesce("last", F.lit(True)).alias("done"))
+        points = keep(points.where("done").unionByName(stepped))
+    free = hits.where("to is null").select("hit")
+    even = points.where("not odd").join(free.withColumnRenamed("hit", "to"), "to", "left_semi").select("hit")
+    return free.unionByName(even)
+
+
 def settled(ids: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(hit, id) of the hits that claim their ids, of ids (hit, id) of the hits without a linked id.
 
-    A hit claims its ids unless an earlier one has claimed any of them. In a round the hits that are the earliest open ones
-    of all their ids claim, which settles them and all that share an id with them. A round's tables are written; there are
-    as many rounds as the longest run of hits of which each waits for the one before.
+    A hit claims its ids unless an earlier one has claimed any of them. A round settles all hits that are sure to claim
+    (claiming()) and all that share an id with them; its tables are written. A chain of hits of which each waits for the one
+    before takes as many steps as its length has binary digits; rounds follow the longest run of hits that wait for several.
     """
     claims, left = None, keep(ids.distinct())
     while not left.isEmpty():
-        first = left.groupBy("id").agg(F.min("hit").alias("first"))
-        own = left.join(first, "id").groupBy("hit").agg(F.max(F.col("first") < F.col("hit")).alias("waits")).where("not waits").select("hit")
-        new = keep(left.join(own, "hit", "left_semi").select("hit", "id"))
+        new = keep(left.join(claiming(left, keep), "hit", "left_semi").select("hit", "id"))
         claims = new if claims is None else claims.unionByName(new)
         gone = left.join(new.select("id"), "id", "left_semi").select("hit").distinct()
         left = keep(left.join(gone, "hit", "left_anti").select("hit", "id"))
