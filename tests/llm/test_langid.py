@@ -66,8 +66,17 @@ def test_lookup_tables_equal_the_convolution():
 
 
 def test_labels_and_rows_of_training_are_bounded(documents):
-    """One label of most rows, rows without an id, and more labels than are learned."""
+    """One label of most rows, rows without an id, and more labels than the sample has documents for at full share."""
     rows = [(None, f"text number {i} of many", "en", None) for i in range(400)] + [(i, f"label {i}", f"l{i:03}", None) for i in range(50)]
-    found = langid.training_windows(documents(rows), sample_per_label=8, windows_per_doc=2, most_labels=5)
+    found = langid.training_windows(documents(rows), sample_per_label=8, windows_per_doc=2, sample_docs=120)
     labels = [lang for lang, _ in found]
-    assert sorted(set(labels)) == ["en", "l000", "l001", "l002", "l003"] and labels.count("en") <= 16
+    assert len(set(labels)) == 51 and labels.count("en") == 2 and len(found) == 52
+
+
+def test_many_labels_are_learned(documents):
+    """Labels beyond a minibatch, rare ones included, are predicted."""
+    rng = np.random.default_rng(7)
+    words = {f"l{k:02}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(4)] for k in range(80)}
+    rows = [(100 * k + i, " ".join(rng.choice(words[lang], 40)), lang, None) for k, lang in enumerate(words) for i in range(60 if k == 0 else 6)]
+    found = langid.identify(documents(rows)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 100:02}" for r in found if r.held_out) >= 0.8 * sum(r.held_out for r in found)

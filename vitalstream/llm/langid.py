@@ -1,8 +1,8 @@
 """Language ID: a byte convolutional network trained in numpy on labelled text.
 
 Filters of several widths run over the bytes of fixed-length windows, are max-pooled over each window and go through a
-softmax layer. Training takes a bounded sample (sample_per_label documents of each label, windows_per_doc windows of each);
-prediction covers every window of every text. After training, a filter of width w is a sum of w table look-ups, so two
+softmax layer. Training takes a bounded sample (sample_per_label documents of each label, sample_docs of all,
+windows_per_doc windows of each); prediction covers every window of every text. After training, a filter of width w is a sum of w table look-ups, so two
 neighbouring bytes share one table of 65,536 rows and no byte needs a matrix product.
 """
 
@@ -31,10 +31,11 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def training_windows(docs: DataFrame, sample_per_label: int = 256, windows_per_doc: int = 4, most_labels: int = 512) -> list[tuple[str, bytes]]:
-    """(label, window) pairs, at most sample_per_label * windows_per_doc of each label, spread over each whole text.
+def training_windows(docs: DataFrame, sample_per_label: int = 256, windows_per_doc: int = 4, sample_docs: int = 131_072) -> list[tuple[str, bytes]]:
+    """(label, window) pairs of every label, at most sample_per_label * windows_per_doc of each, spread over each whole text.
 
-    most_labels labels are learned, the most frequent ones if there are more; so sample and network have a fixed bound.
+    The sample has at most sample_docs documents: with more than sample_docs / sample_per_label labels each label gets an
+    equal share of them, and one document at least.
 
     Of every label and each of sample_per_label hash slots, one row of least hash of (id, text) is taken: a partial
     aggregate, so a label with most of the rows costs nothing extra, and rows without an id or with a repeated one take
@@ -42,9 +43,8 @@ def training_windows(docs: DataFrame, sample_per_label: int = 256, windows_per_d
     """
     h = F.xxhash64("doc_id", "text")
     usable = docs.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "lang", F.encode("text", "utf-8").alias("raw"), h.alias("h"))
-    frequent = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels + 1).collect()
-    if len(frequent) > most_labels:
-        usable = usable.where(F.col("lang").isin([r.lang for r in frequent[:most_labels]]))
+    labels = usable.select("lang").distinct().count()
+    sample_per_label = max(1, min(sample_per_label, sample_docs // max(1, labels)))
     slots = usable.groupBy(F.col("lang").alias("l"), F.pmod("h", F.lit(sample_per_label)).alias("slot")).agg(F.min("h").alias("least"))
     chosen = usable.join(slots, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("least")))
     step = F.greatest(F.lit(0), F.octet_length("raw") - WINDOW) / F.lit(max(1, windows_per_doc - 1))
@@ -99,7 +99,8 @@ class ByteCNN:
         return loss, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 5) -> ByteCNN:
-        """Adam on minibatches that take each label equally often."""
+        """Adam on minibatches that take each label equally often; beyond batch labels, as many more steps."""
+        steps = max(steps, steps * len(self.labels) // batch)
         rng = np.random.default_rng(seed)
         own = [np.flatnonzero(y == k) for k in range(len(self.labels))]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
