@@ -49,7 +49,7 @@ def job_stages(spark, sf):
     """
 
     def found(done):
-        patients = clinical.walk(done["staged"]).where("kind = 'Patient'").withColumn("n", name_parts(clinical.patient_name())).where("n is not null")
+        patients = clinical.walk(done["staged"], ("Patient",)).withColumn("n", name_parts(clinical.patient_name())).where("n is not null")
         return patients.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("hit"), F.transform(clinical.patient_ids(), lambda x: F.concat_ws("|", x["system"], x["value"])).alias("ids"), fold_name(F.col("n.first")).alias("first"), fold_name(F.col("n.last")).alias("last"))
 
     def persons(done):

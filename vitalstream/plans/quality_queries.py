@@ -105,7 +105,7 @@ def patient_hits(spark, sf):
     from ..functions.columns import name_parts
 
     raw = clinical.raw_resources(spark, sf)
-    found = clinical.walk(raw.select("file", "text")).where("kind = 'Patient'")
+    found = clinical.walk(raw.select("file", "text"), ("Patient",))
     parts = name_parts(clinical.patient_name())
     rows = found.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("event_id"), parts.alias("n"), clinical.patient_ids().alias("ids")).where("n is not null")
     return rows.select("event_id", fold_name(F.col("n.first")).alias("first"), fold_name(F.col("n.last")).alias("last"), F.to_json("ids").alias("ids"))

@@ -90,35 +90,125 @@ def patient_ids(text: str = "text") -> Column:
     return external_ids(F.get_json_object(text, "$.id"), F.get_json_object(text, "$.identifier"))
 
 
-def _nested(value) -> Iterator[tuple[str, str, str]]:
-    """(path, kind, text) of every object in a parsed value that has a resourceType, in document order."""
-    waiting = [("$", value)]
-    while waiting:
-        path, value = waiting.pop()
-        if isinstance(value, dict):
-            if isinstance(kind := value.get("resourceType"), str):
-                yield path, kind, json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-            waiting += reversed([(f"{path}.{key}", x) for key, x in value.items()])
-        elif isinstance(value, list):
-            waiting += reversed([(f"{path}[{i:06}]", x) for i, x in enumerate(value)])
-
-
-def walk(raw: DataFrame) -> DataFrame:
-    """(file, path, kind, text): every nested object that has a resourceType, whatever its depth, of raw (file, text).
+#: A mark, a string, or a number or word of JSON, behind white space; the words are those that Python's own reader takes.
+_TOKEN = re.compile(
+    r'[ \t\n\r]*+(?:([][{},:])|("[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+")'
+    r"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)"
+)
+_VALUE = "{[sv"
+
+
+def _unquoted(string: str) -> str:
+    """The characters of a JSON string; halves of surrogate pairs become ?."""
+    return string[1:-1] if "\\" not in string else json.loads(string).encode("utf-8", "replace").decode()
+
+
+class _Open:
+    """An object or array that is being read: where it starts, the key or index it is at, and where the finds of each key lie."""
+
+    __slots__ = ("at", "begun", "is_object", "kind", "seen", "slot", "start")
+
+    def __init__(self, is_object: bool, start: int, slot: int):
+        self.is_object, self.start, self.slot, self.kind = is_object, start, slot, None
+        self.at, self.begun, self.seen = None if is_object else 0, slot, {}
+
+    def step(self) -> str:
+        return f".{self.at}" if self.is_object else f"[{self.at:06}]"
+
+
+def _nested(text: str, kinds: frozenset[str] | None = None) -> Iterator[tuple[str, str, str]]:
+    """(path, kind, text) of every object of a JSON text that has a resourceType, in document order; ValueError if it is no JSON.
+
+    The tokens are read once with a stack of open objects, so depth has no limit, and an object's text is a piece of the
+    document without its white space: numbers and strings stay as written. Of a repeated key the last value counts.
+    """
+    out, size, end = [], 0, 0
+    stack: list[_Open] = []
+    found: list[tuple[str, str, int, int] | None] = []
+    allowed = _VALUE
+    while True:
+        token = _TOKEN.match(text, end)
+        if token is None:
+            raise ValueError(f"no JSON at {end}")
+        end = token.end()
+        mark, string = token.groups()
+        sign = mark or ("s" if string else "v")
+        if sign not in allowed:
+            raise ValueError(f"no JSON at {end}")
+        piece = mark or string or token[0].lstrip(" \t\n\r")
+        out.append(piece)
+        size += len(piece)
+        top = stack[-1] if stack else None
+        if sign == "{" or sign == "[":
+            stack.append(_Open(sign == "{", size - 1, len(found)))
+            found.append(None)
+            allowed = "s}" if sign == "{" else _VALUE + "]"
+            continue
+        if sign == ":":
+            allowed = _VALUE
+            continue
+        if sign == ",":
+            if top.is_object:
+                top.at, allowed = None, "s"
+            else:
+                top.at, allowed = top.at + 1, _VALUE
+            continue
+        if sign == "s" and top is not None and top.is_object and top.at is None:
+            top.at = _unquoted(string)
+            for i in range(*top.seen.get(top.at, (0, 0))):
+                found[i] = None
+            top.begun, allowed = len(found), ":"
+            continue
+        value = None
+        if sign == "}" or sign == "]":
+            stack.pop()
+            if top.kind is not None and (kinds is None or top.kind in kinds):
+                found[top.slot] = ("$" + "".join(o.step() for o in stack), top.kind, top.start, size)
+        elif sign == "s":
+            value = string
+        if not stack:
+            break
+        top = stack[-1]
+        if top.is_object:
+            top.seen[top.at] = (top.begun, len(found))
+            if top.at == "resourceType":
+                top.kind = None if value is None else _unquoted(value)
+        allowed = ",}" if top.is_object else ",]"
+    if text[end:].strip(" \t\n\r"):
+        raise ValueError(f"no JSON at {end}")
+    whole = "".join(out)
+    return ((path, kind, whole[a:b]) for path, kind, a, b in filter(None, found))
+
+
+def walk(raw: DataFrame, kinds: tuple[str, ...] | None = None, batch_chars: int = 16 << 20) -> DataFrame:
+    """(file, path, kind, text): every nested object that has a resourceType (of kinds, if given), whatever its depth, of raw
+    (file, text).
 
     A document is walked in its task, in one pass; array positions in the path are zero-padded, so paths sort in document
-    order within arrays. Text that is no JSON, or too deeply nested to be read, gives no row.
+    order within arrays. Text that is no JSON gives no row. Rows go out batch_chars at a time, as each object's text holds
+    those of the objects in it.
     """
+    wanted = None if kinds is None else frozenset(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 4)], ["file", "path", "kind", "text"])
+
         for batch in batches:
-            rows = []
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for file, text in zip(*batch.columns):
                 try:
-                    rows += [(file, *found) for found in _nested(json.loads(text or ""))]
-                except (ValueError, RecursionError):
+                    found = _nested(text.as_py() or "", wanted)
+                except ValueError:
                     continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 4)], ["file", "path", "kind", "text"])
+                for path, kind, piece in found:
+                    rows.append((file.as_py(), path, kind, piece))
+                    size += len(path) + len(piece)
+                    if size > batch_chars:
+                        yield batch_of()
+                        rows, size = [], 0
+        yield batch_of()
 
     return raw.select("file", "text").mapInArrow(run, "file string, path string, kind string, text string")
 
