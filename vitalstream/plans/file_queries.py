@@ -199,20 +199,19 @@ def load_tables(spark, sf):
 
 
 def partitioned_events(spark, sf):
-    """Upsert and delete events by year and person group, days in order, gzipped; what is left after the deletes, by day and stream.
+    """Upsert and delete events by stream, month and person group, sorted by person, day and type, gzipped; what is left after
+    the deletes, by day and stream. Every fifth record is deleted by a later event.
 
-    A folder per person and day would be millions of small files, so persons go to 16 groups by hash and days are sorted. Every fifth record is deleted
-    by a later event.
+    A folder per person, type and day would be millions of small files, so those are kept together by sorting.
     """
     path = new_folder(spark, "partitioned")
-    rows = all_events(spark, sf).select("record_key", "canonical_person_id", "stream", F.coalesce(F.to_date("event_time").cast("string"), F.lit("none")).alias("day"))
+    kind = F.coalesce("hk_type", "code", "resource_type", F.lit("none"))
+    rows = all_events(spark, sf).select("record_key", "canonical_person_id", "stream", kind.alias("record_type"), F.to_date("event_time").cast("string").alias("day"))
     ops = rows.withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(1))
     ops = ops.unionByName(rows.where("cast(regexp_extract(record_key, '(\\\\d+)$', 1) as bigint) % 5 = 0").withColumn("op", F.lit("delete")).withColumn("seq", F.lit(2)))
-    ops = ops.withColumn("year", F.substring("day", 1, 4)).withColumn("person_group", F.pmod(F.xxhash64("canonical_person_id"), F.lit(16)).cast("int"))
-    ops.repartition("year", "person_group").sortWithinPartitions("year", "person_group", "day").write.partitionBy("year", "person_group").option("compression", "gzip").json(path)
-    back = spark.read.schema("record_key string, canonical_person_id string, stream string, day string, op string, seq int, year string, person_group int").json(path)
-    current = back.groupBy("stream", "record_key").agg(F.max_by("op", "seq").alias("op"), F.max_by("day", "seq").alias("day"), F.max_by("canonical_person_id", "seq").alias("person"))
-    return current.where("op = 'upsert'").groupBy("day", "stream").agg(F.count("*").alias("rows"), F.count_distinct("person").alias("people"))
+    sinks.event_stream(ops, path)
+    current = sinks.current_events(sinks.stream_events(spark, path))
+    return current.groupBy(F.coalesce("day", F.lit("none")).alias("day"), "stream").agg(F.count("*").alias("rows"), F.count_distinct("canonical_person_id").alias("people"))
 
 
 def drops(spark, sf):

@@ -3,7 +3,7 @@ as a whole; lines and rows end with a newline and stand in the stated order, par
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_time
@@ -43,3 +43,47 @@ def report_files(reports: dict[str, tuple[DataFrame, tuple[str, ...]]], path: st
     for name, (df, order) in reports.items():
         csv_rows(df, f"{path}/csv/{name}", *order)
         df.orderBy(*order).select(json_line(df.columns).alias("value")).write.text(f"{path}/json/{name}")
+
+
+#: Folders of an event stream by person; more where a group's month would pass some 100 MB.
+PERSON_GROUPS = 4
+_OPS = "record_key string, canonical_person_id string, record_type string, day string, op string, seq int, stream string, month string, person_group int"
+
+
+def _person_group(person: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(person), F.lit(groups)).cast("int")
+
+
+def event_stream(ops: DataFrame, path: str, groups: int = PERSON_GROUPS) -> None:
+    """Append upsert and delete events (record_key, canonical_person_id, stream, record_type, day, op, seq) below path.
+
+    Folders are stream, month and person group (a hash); in them rows are sorted by person, day and type in gzipped Parquet
+    files, whose statistics leave out what lies between. Rows are dealt by ranges of all these keys, so a person with many
+    rows goes to several tasks and files. A null day is in month `none`.
+    """
+    rows = ops.withColumn("month", F.coalesce(F.substring("day", 1, 7), F.lit("none"))).withColumn("person_group", _person_group(F.col("canonical_person_id"), groups))
+    keys = ["stream", "month", "person_group", "canonical_person_id", "day", "record_type", "record_key"]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows.write.mode("append").partitionBy("stream", "month", "person_group").option("compression", "gzip").parquet(path)
+
+
+def stream_events(spark: SparkSession, path: str, stream: str | None = None, person: str | None = None, day: str | None = None, groups: int = PERSON_GROUPS) -> DataFrame:
+    """The events below path, of a stream, a person and a day where given: other folders are not listed for reading, and
+    files and row groups of the folders that are read are chosen by their statistics. groups is that of event_stream()."""
+    rows = spark.read.schema(_OPS).parquet(path)
+    if stream is not None:
+        rows = rows.where(F.col("stream") == stream)
+    if person is not None:
+        rows = rows.where((F.col("person_group") == _person_group(F.lit(person), groups)) & (F.col("canonical_person_id") == person))
+    if day is not None:
+        rows = rows.where((F.col("month") == day[:7]) & (F.col("day") == day))
+    return rows
+
+
+def current_events(events: DataFrame) -> DataFrame:
+    """One row per stream and record_key, as its last event (by seq, a delete before an upsert of the same seq) has it; deleted ones left out.
+
+    The last event may move a record to another day or person, so give all events of the keys in question.
+    """
+    last = F.max_by(F.struct("op", "canonical_person_id", "record_type", "day"), F.struct("seq", (F.col("op") != "delete").alias("_up"), "day", "canonical_person_id", "record_type"))
+    return events.groupBy("stream", "record_key").agg(last.alias("last")).where("last.op = 'upsert'").select("stream", "record_key", "last.canonical_person_id", "last.record_type", "last.day")
