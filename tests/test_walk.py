@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,3 +76,27 @@ def test_five_thousand_levels(spark):
     assert (row.n, row.paths, row.longest, row.path) == (5001, 5001, len(deep), 10_001)
     bottom = clinical.walk(frame, ("Patient",)).collect()
     assert [(r.kind, r.text) for r in bottom] == [("Patient", '{"resourceType":"Patient","id":"9","v":1.10}')]
+
+
+PLAIN = '{"resourceType": "Bundle", "n": -0.5, "entry": [{"resource": {"resourceType": "Patient", "id": "\u00e9", "k": 12}}, [], 1]}'
+
+
+@settings(max_examples=300, deadline=None)
+@given(VALUES, st.sampled_from([None, 1]), st.booleans())
+def test_python_s_reader_and_the_tokens_agree(value, indent, ascii_only):
+    text = json.dumps(value, indent=indent, ensure_ascii=ascii_only)
+    assert list(clinical.nested(text)) == list(clinical._nested(text))
+    assert list(clinical.nested(text, frozenset(["Patient"]))) == list(clinical._nested(text, frozenset(["Patient"])))
+
+
+@pytest.mark.parametrize("number", ["1.10", "-0", "-0.0", "1E5", "1e999", "9" * 400, "12", "0.1", "1e+20", "NaN"])
+def test_numbers_as_written(number):
+    text = f'{{"resourceType":"A","v":[{number}]}}'
+    assert list(clinical.nested(text)) == [("$", "A", text)]
+
+
+def test_usual_documents_need_no_tokens(monkeypatch):
+    want = list(clinical._nested(PLAIN))
+    monkeypatch.setattr(clinical, "_nested", lambda *_: pytest.fail("read token by token"))
+    assert list(clinical.nested(PLAIN)) == want
+    assert [(path, kind) for path, kind, _ in want] == [("$", "Bundle"), ("$.entry[000000].resource", "Patient")]
