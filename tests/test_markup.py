@@ -72,3 +72,18 @@ def test_counts_over_ranges(spark, cuts, tmp_path):
     assert {r.hk_type: r.n for r in markup.record_types(cut).collect()} == types
     got = {r.file[-5:]: (r.records, r.newlines) for r in markup.record_estimates(cut, cut["file"]).collect()}
     assert got == {f"{n}.xml": (x.count("<Record"), x.count("\n")) for n, x in zip("ab", both)}
+
+
+def test_documents_of_one_range_are_read_once(spark, tmp_path, monkeypatch):
+    """Small documents need no first pass and no shuffle; ones whose tags do not match give no row."""
+    rng = random.Random(7)
+    for i in range(3):
+        (tmp_path / f"d{i}.xml").write_text(f"<ClinicalDocument xmlns:h='u' xmlns:xsi='v'>{document(rng)}</ClinicalDocument>\n")
+    for name, text in (("cut", "<a><observation><code code='x'/></observation>"), ("crossed", "<a><observation><code code='x'/></a></observation>"), ("more", "<a><observation/></a></b>"), ("open", "<a><observation/></a><!-- "), ("empty", "")):
+        (tmp_path / f"{name}.xml").write_text(text)
+    whole = files.cda_observations(files.cda_documents(spark, str(tmp_path))).collect()
+    monkeypatch.setattr(markup, "large_cda_observations", lambda *_: pytest.fail("read in two passes"))
+    ranged = markup.all_cda_observations(spark, str(tmp_path), one_cell=0)
+    assert "Exchange" not in ranged._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: repr((r.file.rpartition("/")[2], r.event_time, r.code, r.value, r.unit))
+    assert len(whole) > 20 and sorted(map(key, ranged.collect())) == sorted(map(key, whole))
