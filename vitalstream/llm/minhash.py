@@ -92,8 +92,8 @@ class Circulant:
         return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, chunk_shingles: int = 200_000) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_key, bands): set_key is a digest of the full set, null (as bands) if it is empty."""
+def sketches(docs: DataFrame, lead: str = "doc_id", chunk_shingles: int = 200_000) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, set_key, bands, lead): set_key is a digest of the full set, null (as bands) if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = Circulant()
@@ -115,11 +115,11 @@ def sketches(docs: DataFrame, chunk_shingles: int = 200_000) -> DataFrame:
                 if sum(map(len, held)) > chunk_shingles if len(held) % 16 == 0 or len(s) > chunk_shingles else False:
                     flush()
             flush()
-            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "bands", "lead"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.col(f"`{lead}`").try_cast("long").alias("lead"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, lead long")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
@@ -194,22 +194,23 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+def near_duplicates(docs: DataFrame, percent: int = 75, lead: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row. Of several classes that may be alike, that of the
+    smallest lead (long) is met by the others first; it changes the work, not the result.
 
     component_id is the smallest doc_id that links reach. Empty sets (null, empty or blank texts) and rows without an id
     link with nothing; a row without an id has no component and is kept. Rows with equal ids and texts have equal results;
     of several texts under one id, links of any count for the id. Other columns are ignored.
     """
-    found = materialize(sketches(docs))
+    found = materialize(sketches(docs, lead))
     total = found.count()
     # A class, all rows of one set, goes by a number of its own: several texts under one id are several classes.
     filled = found.where("set_key is not null and doc_id is not null").withColumn("rep", F.xxhash64("set_key"))
-    classes = filled.groupBy("rep", "set_key").agg(F.count("*").alias("_rows"), F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("first"))
-    classes = materialize(classes.select("rep", "set_key", "_rows", "n", "first.*"))
-    bands = classes.select("rep", "n", "doc_id", F.explode("bands").alias("bucket"))
+    classes = filled.groupBy("rep", "set_key").agg(F.count("*").alias("_rows"), F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("first"), F.min("lead").alias("lead"))
+    classes = materialize(classes.select("rep", "set_key", "_rows", "n", "lead", "first.*"))
+    bands = classes.select("rep", "n", "lead", "doc_id", F.explode("bands").alias("bucket"))
     # A bucket's hub is the class of its smallest id: the first of a group of copies, which all are like, rather than one of them.
-    hubs = bands.groupBy("bucket").agg(F.min(F.struct("doc_id", "rep"))["rep"].alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
+    hubs = bands.groupBy("bucket").agg(F.min(F.struct(F.col("lead").isNull().alias("none"), "lead", "doc_id", "rep"))["rep"].alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
     members = materialize(bands.join(hubs, "bucket").select("bucket", "rep", "n", "hub"))
     # The texts of classes that share a bucket with another are all that is compared from here on, one of each class.
     wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = materialize(spread_join(placed, least, ["component"], F.col("set_key"), classes.count()).select("set_key", "_rows", "component_id"))
     for done in (members, texts, first, groups, second, classes):
         release(done)
-    out = spread_join(found.drop("bands", "text_hash"), named.drop("_rows"), ["set_key"], F.col("doc_id"), total, how="left", counts=named.select("set_key", "_rows"))
+    out = spread_join(found.drop("bands", "text_hash", "lead"), named.drop("_rows"), ["set_key"], F.col("doc_id"), total, how="left", counts=named.select("set_key", "_rows"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
@@ -254,7 +255,8 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     columns = docs.columns
     (no,) = free_names(docs, "row_no")
     numbered = materialize(docs.withColumn(no, F.monotonically_increasing_id()))
-    groups = near_duplicates(numbered.select(F.col(f"`{no}`").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("row"), "component_id")
+    # Rows come in any order, in which a copy of a copy may be the first; the ids lead, as in near_duplicates() by itself.
+    groups = near_duplicates(numbered.select(F.col(f"`{no}`").alias("doc_id"), "text", F.col("doc_id").alias("lead_id")), percent, "lead_id").select(F.col("doc_id").alias("row"), "component_id")
     ids = numbered.select(F.col(f"`{no}`").alias("row"), "doc_id")
     first = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("kept_row"))
     return numbered.join(first, numbered[no] == first["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -13,7 +13,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, free_names, materialize
 
 
 #: Keys that more than one in so many rows have are hot.
@@ -57,7 +57,8 @@ def hot_keys(sized: DataFrame, rows: int, bucket_rows: int) -> list[str]:
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = 20000, whole: bool = False, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) and the columns keep of docs, one row per input row.
+    """(doc_id, source, size, source_size, target, taken) and the columns keep of docs, one row per input row; of rows of one id
+    and size the first of keep gives the order.
 
     size is the number of words of the text (null: 0). taken counts the words the mix takes, repeats included: the source's
     target, rounded to a word, is reached exactly, the document at the cut giving its leading words. With whole=True the
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     goal = goal.select(F.col("source").alias("g_source"), "source_size", "target")
     plan = offsets.join(goal, F.col("b_source").eqNullSafe(F.col("g_source"))).drop("g_source")
     kept = sized.columns[4:-1]
-    rest = [F.xxhash64(*kept)] if kept else []  # the same order in every run also among rows of one id
+    rest = kept[:1]  # the same order in every run also among rows of one id
     inside = Window.partitionBy("source", "bucket").orderBy("mix_key", "doc_id", "size", *rest).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
@@ -114,13 +115,16 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as mix(whole=True) takes each of them: a document of one and a half epochs comes once or twice.
 
-    Each row is taken by itself, whatever rows share its id. Documents without words are not in the mix.
+    Each row is taken by itself, whatever rows share its id. Documents without words are not in the mix. Rows are numbered and
+    mixed without their texts, which meet their numbers in one join and so are shuffled once.
     """
-    row, copy = "mix_row", "mix_copy"
-    found = mix(docs, whole=True, keep=(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row),), **options)
+    no, hashed, copies = free_names(docs, "mix_no", "mix_hash", "mix_times")
+    numbered = materialize(docs.withColumn(no, F.monotonically_increasing_id()))
+    whole = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = mix(numbered, whole=True, keep=(whole.alias(hashed), F.col(f"`{no}`").alias(no)), **options)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    often = found.select(row, times.alias("times")).where(F.col("times") > 0)
-    return often.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
+    often = found.select(no, times.alias(copies)).where(F.col(copies) > 0)
+    return numbered.join(often, no).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rules in SQL; {weights} etc. are the production parameters.
