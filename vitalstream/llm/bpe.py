@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Fixed by the vocabulary's pre-tokenizer: the split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts without the characters of UNUSUAL, where letters and digits can be listed and a faster engine serves.
@@ -169,9 +171,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(model.value)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
+        bpe.memo.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
 
@@ -200,7 +203,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(model.value)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             n, listed, decoded, every = [], [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
@@ -215,6 +218,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str, with_ids: bool =
                 offsets = pa.array(list(accumulate(n, initial=0)), pa.int32())
                 columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(map(bytes, every)), np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.memo.clear()  # the worker goes on to tasks of other operators
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

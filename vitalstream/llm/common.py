@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,18 @@ def release(written: DataFrame) -> None:
     where.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def pieces(batch: pa.RecordBatch, column: int | str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of some most_bytes of a text column, a longer text alone: a batch of Spark's has up to
+    64 MB of text, and what is made of it by rows comes on top, in the Python worker and in the executor that reads it."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes not to clash with a column of df."""
     taken = {c.lower() for c in df.columns}

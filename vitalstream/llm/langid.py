@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import free_names
+from .common import free_names, pieces
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, names: tuple[str, str] = ("l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model_b.value
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text", batch_bytes)):
             out: list[tuple[str, float]] = [("und", 0.0)] * len(batch)
             held, where, size = [], [], 0
             for i, value in enumerate(batch.column(batch.schema.get_field_index("text"))):

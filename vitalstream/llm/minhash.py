@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
-from .common import components, free_names, materialize, release
+from .common import components, free_names, materialize, pieces, release
 from .runs import dealt_pairs, key_runs, pairs_of_chunks
 
 SHINGLE_WORDS = 5
@@ -31,8 +31,8 @@ BANDS, ROWS = 24, 4
 PLACES = 1 << 18
 LONG = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 500_000
-_memo: dict[bytes, int] = {}
+#: Entries of a task's table of word hashes; beyond, it starts anew. A longer word than MEMO_BYTES is not kept.
+MEMO, MEMO_BYTES = 131_072, 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -40,24 +40,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_memo) > MEMO:
-        _memo.clear()
-    known = _memo.get
+def _word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
+    known = memo.get
 
     def new(word: bytes) -> int:
-        _memo[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[word] = h
         return h
 
     return np.fromiter((known(w) or new(w) for w in words), np.uint64, len(words))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles of a text; of the whole sequence if it has fewer words."""
+def shingle_hashes(text: str | None, memo: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of a text; of the whole sequence if it has fewer words.
+
+    memo is a task's table of word hashes. It ends with the task: a Python worker goes on to tasks of other operators.
+    """
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    h = _word_hashes(words)
+    h = _word_hashes(words, {} if memo is None else memo)
     n = max(1, len(h) - SHINGLE_WORDS + 1)
     s = np.full(n, min(len(h), SHINGLE_WORDS), np.uint64)
     for j in range(min(len(h), SHINGLE_WORDS)):
@@ -96,8 +101,8 @@ def sketches(docs: DataFrame, lead: str = "doc_id", chunk_shingles: int = 200_00
     """(doc_id, text_hash, n_shingles, set_key, bands, lead): set_key is a digest of the full set, null (as bands) if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circle = Circulant()
-        for batch in batches:
+        circle, memo = Circulant(), {}
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             sizes, digests, bands = [], [], []
             held: list[np.ndarray] = []
 
@@ -108,7 +113,7 @@ def sketches(docs: DataFrame, lead: str = "doc_id", chunk_shingles: int = 200_00
                 held.clear()
 
             for value in batch.column(1):
-                s = shingle_hashes(value.as_py())
+                s = shingle_hashes(value.as_py(), memo)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 held.append(s)
@@ -133,10 +138,11 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, tuple[int, np.ndarray]] = {}
+        memo: dict[bytes, int] = {}
 
         def of(side: str, i: int, text: pa.Scalar) -> np.ndarray:
             if last.get(side, (None,))[0] != i:
-                last[side] = (i, shingle_hashes(text.as_py()))
+                last[side] = (i, shingle_hashes(text.as_py(), memo))
             return last[side][1]
 
         for batch in batches:
@@ -161,9 +167,9 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
     least = percent / 100 - 4.5 * np.sqrt(percent / 100 * (1 - percent / 100) / LONG)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        circle = Circulant(LONG, seed=18)
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
+        circle, memo = Circulant(LONG, seed=18), {}
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
+            sets = [shingle_hashes(t.as_py(), memo) for t in batch.column(1)]
             short = Circulant()
             long = [circle.signatures([s])[0].astype(np.uint8).tobytes() for s in sets]
             bands = [short.bands([s])[0].tobytes() for s in sets]
@@ -174,7 +180,7 @@ def alike(texts: DataFrame, members: DataFrame, percent: int = 75, chunk_rows: i
     dealt = dealt_pairs(members, "bucket", F.col("rep"), chunk_rows, sketched, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in key_runs(batches, ["bucket", "i", "j"]):
+        for rows, starts in key_runs(batches, ["bucket", "i", "j"], 4 * chunk_rows):
             a, b = pairs_of_chunks(rows, starts)
             rep, n, hub, component, bucket = (rows[c].to_numpy() for c in ("rep", "n", "hub", "component", "bucket"))
             use = (component[a] != component[b]) & (rep[a] != hub[a]) & (rep[b] != hub[b])

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, starts) from batches that come sorted by keys: rows holds whole groups only, starts has each group's first row.
 
     The last group of a batch waits for the next batch, so a group is never split; its size is the caller's to bound.
+    With most_rows, rows has no more than that, or one group: what the caller makes of the pairs in it is bounded too.
     """
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -24,11 +25,23 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
         starts = group_starts(rows, keys)
         if len(starts) > 1:
             cut = int(starts[-1])
-            yield rows.slice(0, cut), starts[:-1]
+            yield from parts(rows.slice(0, cut), starts[:-1], most_rows)
             held = rows.slice(cut).combine_chunks().to_batches()
     if held:
         rows = pa.Table.from_batches(held).combine_chunks()
-        yield rows, group_starts(rows, keys)
+        yield from parts(rows, group_starts(rows, keys), most_rows)
+
+
+def parts(rows: pa.Table, starts: np.ndarray, most_rows: int | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """rows and starts in runs of whole groups of most_rows rows at most, a larger group alone."""
+    if most_rows is None or len(rows) <= most_rows:
+        yield rows, starts
+        return
+    ends, first = np.append(starts[1:], len(rows)), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + most_rows, "right")))
+        yield rows.slice(starts[first], ends[last - 1] - starts[first]).combine_chunks(), starts[first:last] - starts[first]
+        first = last
 
 
 def group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:

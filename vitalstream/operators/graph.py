@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import spread_join
 
+#: A round of few links is written by as few tasks as keep all cores busy, whatever the session shuffles to.
+ROWS_PER_FILE = 100_000
+
 
 def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b", rounds: int = 60, drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
     """(id, component): for every id with a link the smallest id that links reach.
@@ -20,6 +24,7 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = state(edges)
+    tasks = links.sparkSession.sparkContext.defaultParallelism
     for no in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -27,7 +32,7 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], a: str
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # Only ids with many smaller neighbours are frequent here, and a round leaves none of them.
         small = spread_join(large, least, ["u"], F.col("v"), before[0]) if no == 0 else large.join(least, "u")
-        old, edges = edges, keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, edges = edges, keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(max(tasks, ceil(before[0] / ROWS_PER_FILE))))
         now = state(edges)
         drop(old)
         if now == before:
