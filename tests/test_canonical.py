@@ -1,10 +1,16 @@
 """Canonical lines: every key of each source, JSON types kept, order over six keys, empty streams."""
 
+import gzip
 import hashlib
 import json
+import shutil
+import time
 from pathlib import Path
 
-from vitalstream.sources import canonical
+from pyspark.sql import functions as F
+
+from vitalstream.plans import file_queries
+from vitalstream.sources import canonical, tables
 
 PEOPLE = "system string, value string, person string"
 
@@ -84,3 +90,51 @@ def test_an_empty_export(spark, tmp_path):
     path = str(tmp_path / "out")
     canonical.export(lines(spark, []), path)
     assert sorted(p.name for p in Path(path).glob("stream=*")) == ["stream=documents", "stream=observations"]
+
+
+def test_sources_are_put_by_one_after_another(spark, tmp_path):
+    """What a source was read from may go before the next is asked for; the lines of all are in one order, without repeats."""
+    path, gone = str(tmp_path / "out"), []
+
+    def sources():
+        for i in range(2):
+            raw = tmp_path / f"raw{i}"
+            rows = [(f"{i}.json", json.dumps({"resourceType": "Observation", "id": f"{k % 40}", "issued": f"20{k % 30 + 10}-01-01"})) for k in range(200)]
+            spark.createDataFrame(rows, "file string, text string").write.parquet(str(raw))
+            yield canonical.resource_lines(spark.read.parquet(str(raw)), spark.createDataFrame([], PEOPLE), "r")
+            shutil.rmtree(raw)
+            gone.append(i)
+
+    canonical.export(sources(), path, "gzip")
+    parts = sorted(Path(path).glob("stream=observations/part-*"))
+    read = [json.loads(x) for p in parts for x in gzip.decompress(p.read_bytes()).decode().splitlines()]
+    order = [tuple(r[k] or "" for k in canonical.SIX_KEYS) for r in read]
+    assert gone == [0, 1] and len(order) == len(set(order)) == 240 and order == sorted(order)
+    for r in read:
+        key = r.pop("event_key")
+        assert r.pop("record_key") == key == hashlib.sha256(json.dumps(r, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_the_query_leaves_its_export_alone_on_disk(spark):
+    """Raw files and lines that were put by are gone; the export takes far less than its lines, whose hashes don't compress."""
+    shared = Path(tables.shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    lines = file_queries.canonical_export(spark, "/root/testdata/sf0.001").collect()
+    (left,) = set(shared.iterdir()) - before
+    on_disk = sum(p.stat().st_size for p in left.rglob("part-*"))
+    assert left.name.startswith("canonical-") and on_disk < sum(len(r.line) for r in lines) / 3
+
+
+def test_shuffle_files_go_with_their_write(spark, tmp_path):
+    """A source's shuffles would else lie beside those of all others."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    kept = lambda: {p.name for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    before = kept()
+    with tables.shuffles_dropped(spark):
+        given = spark.range(1000).withColumn("k", F.col("id") % 7)
+        given.join(given.groupBy("k").count(), "k").repartition(3, "id").write.parquet(str(tmp_path / "out"))
+    until = time.time() + 5
+    while kept() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not kept() - before and spark.conf.get(key, "false") == "false" and spark.read.parquet(str(tmp_path / "out")).count() == 1000
