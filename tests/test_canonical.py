@@ -7,6 +7,8 @@ import shutil
 import time
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from vitalstream.plans import file_queries
@@ -138,3 +140,16 @@ def test_shuffle_files_go_with_their_write(spark, tmp_path):
     while kept() - before and time.time() < until:
         time.sleep(0.1)
     assert not kept() - before and spark.conf.get(key, "false") == "false" and spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_lines_of_many_small_files_are_shuffled_by_few_tasks(spark, tmp_path):
+    """A row or two from each task to each partition don't compress."""
+
+    def task(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([None] * len(b), pa.string()), pa.array([str(TaskContext.get().partitionId())] * len(b), pa.string()), pa.array(map(str, b.column(0).to_pylist()), pa.string())], ["event_time", "code", "value"])
+
+    small = spark.range(0, 300, 1, 100).mapInArrow(task, "event_time string, code string, value string").withColumn("unit", F.lit(None).cast("string"))
+    canonical.export(canonical.document_lines(small, "cda.xml", "r"), str(tmp_path / "out"))
+    read = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/stream=observations").collect()]
+    assert len({r["value"] for r in read}) == len(read) == 300 and len({r["code"] for r in read}) <= 8
